@@ -1,0 +1,90 @@
+import random
+
+import numpy as np
+import pytest
+import xxhash
+
+from corvane.llm import simhash
+from corvane.llm.components import components
+
+
+def brute_print(text):
+    words = (text or "").encode().lower().split()
+    if not words:
+        return 0
+    shingles = [b" ".join(words[i : i + 3]) for i in range(max(1, len(words) - 2))]
+    hashes = [xxhash.xxh64_intdigest(s, 42) for s in shingles]
+    return sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes) > len(hashes))
+
+
+def brute_components(prints):
+    """prints: [(doc_id, fingerprint)] -> {doc_id: smallest doc_id reachable}."""
+    label = {d: d for d, _ in prints}
+    changed = True
+    while changed:
+        changed = False
+        for d, x in prints:
+            for e, y in prints:
+                if (x ^ y).bit_count() <= 3 and label[e] < label[d]:
+                    label[d], changed = label[e], True
+    return label
+
+
+def test_masks_cover():
+    masks = simhash.covering_masks()
+    assert len(masks) == 15
+    rng = random.Random(5)
+    for _ in range(3000):
+        differ = sum(1 << i for i in rng.sample(range(64), 3))
+        assert any(differ & m == 0 for m in masks)
+
+
+def test_query_equals_brute_force(spark, sf):
+    from corvane.llm.queries import op7_simhash_dedup
+
+    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    prints = [(d, brute_print(t)) for d, t in texts.items()]
+    label = brute_components(prints)
+    rows = op7_simhash_dedup(spark, sf).collect()
+    assert sorted((r["doc_id"], r["fingerprint"], r["component_id"]) for r in rows) == sorted((d, f"{x:016x}", label[d]) for d, x in prints)
+    assert len(set(label.values())) < len(label)
+
+
+@pytest.mark.parametrize("bucket", [20_000, 3])
+def test_links_keep_components(spark, bucket):
+    """Dense families and chains; with a low bound on buckets the crowded way finds the same components."""
+    rng, prints = random.Random(7), []
+    for family in range(6):
+        x = rng.getrandbits(64)
+        for _ in range(70 if family == 0 else 12):
+            prints.append(x)
+            for i in rng.sample(range(64), rng.choice([1, 2, 3, 5])):
+                x ^= 1 << i
+    prints = list(dict.fromkeys([*prints, *(rng.getrandbits(64) for _ in range(100))]))
+    rows = list(enumerate(prints))
+    nodes = spark.createDataFrame([(simhash._signed(x), i) for i, x in rows], "fp long, rep long")
+    found = {r["node"]: r["component"] for r in components(simhash.near_links(nodes, bucket=bucket), "a", "b").collect()}
+    assert {i: found.get(i, i) for i, _ in rows} == brute_components(rows)
+
+
+def test_long_bucket_roots():
+    rng = random.Random(3)
+    x, prints = rng.getrandbits(64), []
+    for _ in range(300):
+        prints.append(x)
+        x ^= 1 << rng.randrange(64) | 1 << rng.randrange(64) | 1 << rng.randrange(64)
+    root = simhash._crowd_roots(np.array(prints, np.uint64), 3)
+    label = brute_components(list(enumerate(prints)))
+    assert {i: int(r) for i, r in enumerate(root)} == label
+
+
+def test_odd_tables(odd_docs, no_docs):
+    rows = simhash.near_duplicates(odd_docs).collect()
+    assert len(rows) == odd_docs.count()
+    assert {r["component_id"] for r in rows if r["doc_id"] in (1, 2, 3)} == {1}  # null, empty and blank texts link
+    assert {r["component_id"] for r in rows if r["doc_id"] in (4, 5)} == {4}
+    assert {r["component_id"] for r in rows if r["doc_id"] in (6, 7)} == {6}
+    kept = simhash.keep_one_of_each(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 4, 6, 8] and kept.where("doc_id is null").count() == 2
+    assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one_of_each(no_docs).count() == 0
