@@ -7,13 +7,14 @@ posterior probability that it is good, in place of having to pass every rule.
 
 from __future__ import annotations
 
+import json
 import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, text_or_empty
+from corvane.llm.common import WORD, keep, table, text_or_empty
 
 WINDOW = 8
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -63,47 +64,69 @@ def votes() -> dict[str, Column]:
     return {
         "length": rule(col("n_words") >= 50, col("n_words") < 20),
         "symbols": rule(100 * col("n_symbols") <= col("n_words"), 100 * col("n_symbols") > 20 * col("n_words")),
-        "lines": rule(col("n_dup_lines") == 0, 100 * col("n_dup_lines") > 30 * col("n_lines")),
-        "repeats": rule(100 * col("n_repeat_words") <= 5 * col("n_words"), 100 * col("n_repeat_words") > 20 * col("n_words")),
+        "lines": rule(2 * col("n_dup_lines") <= col("n_lines"), 2 * col("n_dup_lines") > col("n_lines")),
+        "repeats": rule(100 * col("n_repeat_words") <= 30 * col("n_words"), 100 * col("n_repeat_words") > 30 * col("n_words")),
         "case": rule(100 * col("n_upper") <= 10 * col("n_letters"), 100 * col("n_upper") > 30 * col("n_letters")),
-        "letters": rule(100 * col("n_letters") >= 85 * col("word_chars"), 100 * col("n_letters") < 75 * col("word_chars")),
+        "letters": rule(100 * col("n_letters") >= 91 * col("word_chars"), 100 * col("n_letters") < 80 * col("word_chars")),
         "variety": rule(col("n_distinct_words") * col("n_distinct_words") >= 4 * col("n_words"), 100 * col("n_distinct_words") < 20 * col("n_words")),
     }
 
 
 @dataclass
 class LabelModel:
-    """Log odds of being good: before any vote, and what each vote of each rule adds."""
+    """What the estimation found: the share of good documents, each rule's rates of votes on them, and of each bad kind."""
 
-    prior: float
-    weights: dict[str, dict[int, float]]
+    names: list[str]
+    shares: dict[str, float]
+    rates: dict[str, list[dict[int, float]]]
 
-    def posterior(self) -> Column:
-        z = F.lit(self.prior)
-        for name, by_vote in self.weights.items():
-            z = z + F.when(F.col(f"_vote_{name}") == 1, by_vote[1]).when(F.col(f"_vote_{name}") == -1, by_vote[-1]).otherwise(by_vote[0])
-        return 1 / (1 + F.exp(-z))
+    def good(self, votes: tuple[int, ...]) -> float:
+        """Posterior probability that a document with these votes is good."""
+        return _posterior(self, votes)[GOOD]
 
+    def accuracy(self, name: str) -> float:
+        """Probability that a vote of this rule, if it votes, is right."""
+        j, right, all_ = self.names.index(name), 0.0, 0.0
+        for kind, share in self.shares.items():
+            rate = self.rates[kind][j]
+            right += share * rate[1 if kind == GOOD else -1]
+            all_ += share * (rate[1] + rate[-1])
+        return right / all_
 
-def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 100) -> LabelModel:
-    """Expectation-maximisation over the combinations of votes and their counts; there are at most 3 ** len(names)."""
+
+GOOD = "good"
+#: Rates of a rule's votes on the bad kind that it stands for; these define the kind and aren't estimated.
+_ANCHOR = {-1: 0.9, 0: 0.08, 1: 0.02}
+
+
+def _posterior(model: LabelModel, votes: tuple[int, ...]) -> dict[str, float]:
+    log = {k: math.log(share) + sum(math.log(model.rates[k][j][v]) for j, v in enumerate(votes)) for k, share in model.shares.items()}
+    most = max(log.values())
+    weight = {k: math.exp(x - most) for k, x in log.items()}
+    total = sum(weight.values())
+    return {k: w / total for k, w in weight.items()}
+
+
+def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60) -> LabelModel:
+    """Expectation-maximisation over the combinations of votes and their counts; there are at most 3 ** len(names).
+
+    A document is good or bad in one of several kinds, one for each rule: junk comes in kinds that other rules pass, so
+    one class of bad documents would follow whichever rules agree most and turn the others round.
+    """
+    typical = {-1: 0.02, 0: 0.08, 1: 0.9}
+    model = LabelModel(names, {GOOD: 0.8} | {n: 0.2 / len(names) for n in names}, {k: [dict(_ANCHOR if n == k else typical) for n in names] for k in (GOOD, *names)})
     total = sum(n for _, n in patterns)
-    prior, table = 0.8, {y: [{v: (0.7 if v == y else 0.1 if v == -y else 0.2) for v in (-1, 0, 1)} for _ in names] for y in (-1, 1)}
-    if not total:
-        return LabelModel(0.0, {name: {v: 0.0 for v in (-1, 0, 1)} for name in names})
-    for _ in range(rounds):
-        good = []
-        for p, _n in patterns:
-            z = math.log(prior / (1 - prior)) + sum(math.log(table[1][j][v] / table[-1][j][v]) for j, v in enumerate(p))
-            good.append(1 / (1 + math.exp(-max(-500, min(500, z)))))
-        mass = sum(g * n for g, (_, n) in zip(good, patterns, strict=True))
-        prior = min(max(mass / total, 0.01), 0.99)
-        for y, weight in ((1, mass), (-1, total - mass)):
-            for j in range(len(names)):
-                for v in (-1, 0, 1):
-                    hit = sum((g if y == 1 else 1 - g) * n for g, (p, n) in zip(good, patterns, strict=True) if p[j] == v)
-                    table[y][j][v] = (hit + 1) / (weight + 3)
-    return LabelModel(math.log(prior / (1 - prior)), {name: {v: math.log(table[1][j][v] / table[-1][j][v]) for v in (-1, 0, 1)} for j, name in enumerate(names)})
+    for _ in range(rounds if total else 0):
+        share = {k: 1.0 for k in model.shares}
+        hits = {k: [{v: 10 * typical[v] for v in (-1, 0, 1)} for _ in names] for k in model.shares}
+        for votes, n in patterns:
+            for k, p in _posterior(model, votes).items():
+                share[k] += n * p
+                for j, v in enumerate(votes):
+                    hits[k][j][v] += n * p
+        rates = {k: [dict(_ANCHOR) if name == k else {v: h / sum(by.values()) for v, h in by.items()} for name, by in zip(names, hits[k], strict=True)] for k in hits}
+        model = LabelModel(names, {k: s / sum(share.values()) for k, s in share.items()}, rates)
+    return model
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -111,25 +134,24 @@ def judge(docs: DataFrame) -> DataFrame:
 
     A document is kept if it passes the base and its posterior is at least 0.5. The votes of all rows are counted by
     combination, which leaves a bounded table for the estimation. Null and empty texts fail the base; repeated rows each
-    count and are judged alike; an empty table gives no rows.
+    count and are judged alike; an empty table gives no rows. The text, and columns named as the new ones are, go.
     """
-    from corvane.llm.common import keep
-
-    narrow = [c for c in docs.columns if c != "text"]
     rules = votes()
-    rows = keep(signals(docs).select(*narrow, *SIGNALS).withColumns({f"_vote_{k}": v for k, v in rules.items()}))
-    marks = [f"_vote_{k}" for k in rules]
-    counted = rows.groupBy(*marks).count().collect()
-    model = fit(sorted((tuple(r[m] for m in marks), r["count"]) for r in counted), list(rules))
-    rows = rows.withColumn("base_failed", base_failed()).withColumn("quality", model.posterior())
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)).drop(*marks)
+    new = {*SIGNALS, "text", "base_failed", "quality", "kept", "_votes"}
+    number = sum(((v + 1) * 3**j for j, v in enumerate(rules.values())), F.lit(0)).cast("int")
+    rows = keep(signals(docs).withColumn("_votes", number).select(*(c for c in docs.columns if c not in new), *SIGNALS, "_votes"))
+    combination = lambda x: tuple(x // 3**j % 3 - 1 for j in range(len(rules)))
+    counted = sorted((r["_votes"], r["count"]) for r in rows.groupBy("_votes").count().collect())
+    model = fit([(combination(x), n) for x, n in counted], list(rules))
+    good = {x: model.good(combination(x)) for x, _ in counted}
+    by_votes = F.from_json(F.lit(json.dumps([good.get(x, 0.5) for x in range(3 ** len(rules))])), "array<double>")
+    rows = rows.withColumn("base_failed", base_failed()).withColumn("quality", F.get(by_votes, F.col("_votes")))
+    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)).drop("_votes")
 
 
 SIGNALS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_letters", "n_upper"]
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
-    from corvane.llm.common import table
-
     rows = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")
