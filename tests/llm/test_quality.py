@@ -37,17 +37,17 @@ def test_repeats(spark):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == brute(texts[r["doc_id"]])
 
 
-def test_estimation_finds_accuracies():
-    """Two kinds of junk, each seen by one rule and passed by the other; a third rule is often wrong."""
+def test_estimation_finds_kinds_of_junk():
+    """Two kinds of junk, each seen by two rules and passed by the other two; a fifth rule abstains and errs more often."""
     rng, seen = random.Random(1), Counter()
     for _ in range(20_000):
         kind = rng.choices("gab", [8, 1, 1])[0]
-        votes = [-1 if rng.random() < (0.95 if kind == k else 0.01) else 1 for k in "ab"]
-        seen[(*votes, rng.choice([1, 1, 0, -1]))] += 1
-    model = quality.fit(sorted(seen.items()), ["a", "b", "c"])
-    assert 0.7 < model.shares["good"] < 0.9
-    assert model.accuracy("c") < min(model.accuracy("a"), model.accuracy("b"))
-    assert model.good((1, 1, 1)) > 0.9 and model.good((-1, 1, 0)) < 0.1 and model.good((1, -1, 1)) < 0.3
+        votes = [-1 if rng.random() < (0.95 if kind == k else 0.01) else 1 for k in "aabb"]
+        fifth = -1 if rng.random() < (0.03 if kind == "g" else 0.5) else 1
+        seen[(*votes, fifth if rng.random() < 0.7 else 0)] += 1
+    model = quality.fit(sorted(seen.items()), ["a1", "a2", "b1", "b2", "c"])
+    assert 0.7 < model.shares["good"] < 0.9 and all(0.8 < model.accuracy(k) < 0.98 for k in model.names)
+    assert model.good((1, 1, 1, 1, 1)) > 0.99 and model.good((-1, -1, 1, 1, 0)) < 0.1 and model.good((1, 1, -1, -1, 1)) < 0.1
 
 
 def test_agrees_with_labels(spark):
