@@ -1,0 +1,113 @@
+"""Delivery analytics over the append-only injection log."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from corvane.functions import text as t
+
+SESSIONS, RECENT = 15, 500
+
+
+def by_event(injections: DataFrame) -> DataFrame:
+    return injections.groupBy("event", "granularity").agg(F.count("*").alias("n"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+
+
+def session_totals(injections: DataFrame) -> DataFrame:
+    return injections.agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("deliveries"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens"))
+
+
+def daily_tokens(injections: DataFrame, days: int = 14) -> DataFrame:
+    """(day, tokens) of the last `days` days that have deliveries."""
+    rows = injections.groupBy(F.to_date("ts").alias("day")).agg(F.sum("tokens").alias("tokens"))
+    return rows.orderBy(F.desc("day")).limit(days)
+
+
+def injected_levels(injections: DataFrame) -> DataFrame:
+    """(session_id, card_id, level): the highest form of a card that a session has had."""
+    level = F.when(F.col("granularity") == "body", 3).when(F.col("granularity") == "summary", 2).otherwise(1)
+    return injections.groupBy("session_id", "card_id").agg(F.max(level).alias("level"))
+
+
+def content_cards(injections: DataFrame) -> DataFrame:
+    return injections.where("granularity != 'hook'").select("session_id", "card_id").distinct()
+
+
+def card_report(injections: DataFrame, cards: DataFrame) -> DataFrame:
+    """One row for each delivered card: sessions, deliveries, tokens, last use, repositories, and how many harnesses.
+
+    Distinct counts come from two groupings that are summed up before each shuffle. A card that is gone has its id for a title.
+    """
+    fine = injections.groupBy("card_id", "session_id", "cwd", "harness").agg(F.count("*").alias("n"), F.sum("tokens").alias("tokens"), F.max("ts").alias("ts"))
+    rows = fine.groupBy("card_id").agg(
+        F.countDistinct("session_id").alias("sessions"), F.sum("n").alias("deliveries"), F.sum("tokens").alias("tokens"), F.max("ts").alias("last_used"),
+        F.array_join(F.array_sort(F.collect_set("cwd")), ",").alias("repos"), F.countDistinct("harness").alias("harnesses"),
+    )
+    known = cards.select(F.col("id").alias("card_id"), "title")
+    return rows.join(known, "card_id", "left").select("card_id", F.coalesce("title", "card_id").alias("title"), F.col("title").isNotNull().alias("available"), "sessions", "deliveries", "tokens", "last_used", "repos", "harnesses")
+
+
+def card_harness_report(injections: DataFrame) -> DataFrame:
+    return injections.groupBy("card_id", "harness").agg(F.countDistinct("session_id").alias("sessions"), F.count("*").alias("deliveries"), F.sum("tokens").alias("tokens"))
+
+
+def counterfactual(injections: DataFrame, cards: DataFrame) -> DataFrame:
+    """(sessions, dump, injected, saved, pct): what handing all live cards to every session had cost."""
+    a = injections.agg(F.countDistinct("session_id").alias("sessions"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("injected"), F.lit(1).alias("k"))
+    b = cards.where("status not in ('candidate', 'retired')").agg(F.coalesce(F.sum("tok_body"), F.lit(0)).alias("corpus"), F.lit(1).alias("k"))
+    rows = a.join(b, "k").withColumn("dump", F.col("sessions") * F.col("corpus")).withColumn("saved", F.col("dump") - F.col("injected"))
+    return rows.select("sessions", "dump", "injected", "saved", F.when(F.col("dump") > 0, F.round(100.0 * F.col("saved") / F.col("dump"), 6)).otherwise(0.0).alias("pct"))
+
+
+def card_counts(cards: DataFrame) -> DataFrame:
+    return cards.groupBy("type").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "candidate").alias("candidates"), F.count_if(F.col("status") == "retired").alias("retired"))
+
+
+def stale_cards(cards: DataFrame, injections: DataFrame, stats: DataFrame) -> DataFrame:
+    """Live cards that were never delivered and hardly ever used."""
+    live = cards.where("status not in ('candidate', 'retired')").select("id")
+    used = stats.where("expanded + referenced > 0.1").select(F.col("card_id").alias("id"))
+    return live.join(injections.select(F.col("card_id").alias("id")).distinct(), "id", "left_anti").join(used, "id", "left_anti")
+
+
+def recent_sessions(injections: DataFrame, newest: int = RECENT, most: int = SESSIONS) -> DataFrame:
+    """The latest sessions among the newest rows, with totals, the last directory and the first harness that isn't empty."""
+    order = [F.desc("ts"), "session_id", "event", "card_id", "tokens"]
+    rows = injections.orderBy(*order).limit(newest)
+    grouped = rows.groupBy("session_id").agg(
+        F.max("ts").alias("last_ts"), F.count("*").alias("deliveries"), F.sum("tokens").alias("tokens"),
+        F.max_by(F.when(F.col("cwd") != "", F.col("cwd")), F.when(F.col("cwd") != "", F.struct("ts", "cwd"))).alias("cwd"),
+        F.min_by(F.when(F.col("harness") != "", F.col("harness")), F.when(F.col("harness") != "", F.struct("ts", "harness"))).alias("harness"),
+    )
+    return grouped.orderBy(F.desc("last_ts"), "session_id").limit(most)
+
+
+def granularity_mix(injections: DataFrame) -> DataFrame:
+    """(body, summary, hook): shares in whole percent; the last is what is left."""
+    n = F.count("*")
+    part = lambda g: F.when(n > 0, F.floor(100.0 * F.count_if(F.col("granularity") == g) / n + 0.5)).otherwise(0)
+    rows = injections.agg(part("body").alias("body"), part("summary").alias("summary"))
+    return rows.withColumn("hook", F.greatest(F.lit(0), 100 - F.col("body") - F.col("summary")))
+
+
+def spend(calls: DataFrame, today: Column) -> DataFrame:
+    """(calls_today, usd_today, calls_week, usd_week)."""
+    day = F.to_date("ts")
+    now, week = day == today, (day <= today) & (day > F.date_sub(today, 7))
+    total = lambda when, name: [F.count_if(when).alias(f"calls_{name}"), F.round(F.coalesce(F.sum(F.when(when, F.col("usd"))), F.lit(0.0)), 6).alias(f"usd_{name}")]
+    return calls.agg(*total(now, "today"), *total(week, "week"))
+
+
+def gate_skips(reasons: DataFrame) -> DataFrame:
+    return reasons.where("reason is not null").groupBy("reason").agg(F.count("*").alias("n"))
+
+
+def trend(days: DataFrame) -> DataFrame:
+    """(day, height): daily tokens as 6 to 100 of the largest day."""
+    top = F.max("tokens").over(Window.partitionBy())
+    return days.select("day", F.when(top > 0, F.floor(6 + 94.0 * F.col("tokens") / top + 0.5)).otherwise(6).cast("int").alias("height"))
+
+
+def human(tokens: Column) -> Column:
+    return t.human_tokens(tokens)

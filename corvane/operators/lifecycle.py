@@ -1,0 +1,68 @@
+"""Snapshots and their changes: sync plans, upserts, exports, missing vectors, states of cards from their events."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+
+def sync_plan(files: DataFrame, state: DataFrame) -> DataFrame:
+    """(path, action): insert, update, delete or keep, by the fingerprint of size and time."""
+    a, b = files.select("path", F.struct("mtime", "size").alias("now")), state.select("path", F.struct("mtime", "size").alias("was"))
+    action = F.when(F.col("now").isNull(), "delete").when(F.col("was").isNull(), "insert").when(F.col("now") != F.col("was"), "update").otherwise("keep")
+    return a.join(b, "path", "full_outer").select("path", action.alias("action"))
+
+
+def upsert(existing: DataFrame, new: DataFrame, key: str = "path") -> DataFrame:
+    """The next snapshot: `new` in place of the rows with its keys."""
+    return existing.join(new.select(key), key, "left_anti").select(existing.columns).unionByName(new)
+
+
+def delete(existing: DataFrame, keys: DataFrame, key: str = "path") -> DataFrame:
+    return existing.join(keys.select(key), key, "left_anti").select(existing.columns)
+
+
+def first_of(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """One row of each key, the first by `order`: earlier ids win, and repeated files are skipped."""
+    return rows.withColumn("_nth", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_nth = 1").drop("_nth")
+
+
+def missing_vectors(cards: DataFrame, vectors: DataFrame, model: str) -> DataFrame:
+    """Cards without a vector of this model and of their present content."""
+    fresh = vectors.where(F.col("model") == model).select(F.col("card_id").alias("id"), "content_hash")
+    return cards.join(fresh, ["id", "content_hash"], "left_anti").select("id")
+
+
+def export_status(desired: DataFrame, manifest: DataFrame, disk: DataFrame) -> DataFrame:
+    """(path, status): what to do with each file, by its wanted, last written and present hash."""
+    rows = desired.select("path", F.col("hash").alias("want")).join(manifest.select("path", F.col("hash").alias("wrote")), "path", "full_outer").join(disk.select("path", F.col("hash").alias("has")), "path", "full_outer")
+    want, wrote, has = F.col("want"), F.col("wrote"), F.col("has")
+    status = (
+        F.when(want.isNull() & wrote.isNull(), "foreign").when(want.isNull() & (has.isNull() | (has == wrote)), "remove").when(want.isNull(), "edited")
+        .when(has.isNull(), "write").when(has == want, "same").when(has == wrote, "write").otherwise("edited")
+    )
+    return rows.select("path", status.alias("status"))
+
+
+def card_states(events: DataFrame, confirm_at: int = 2) -> DataFrame:
+    """(card_id, observations, status) from events of kinds observe, confirm, reject and retire.
+
+    A card is a candidate until it is confirmed or observed often enough; a rejected or retired one stays so.
+    """
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    rows = events.groupBy("card_id").agg(count("observe").alias("observations"), count("confirm").alias("c"), count("reject").alias("r"), count("retire").alias("x"))
+    status = F.when(F.col("x") + F.col("r") > 0, "retired").when((F.col("c") > 0) | (F.col("observations") >= confirm_at), "active").otherwise("candidate")
+    return rows.select("card_id", "observations", status.alias("status"))
+
+
+def stale_candidates(cards: DataFrame, now: Column, days: int) -> DataFrame:
+    """Candidates untouched for longer than `days`; none if that is zero or less."""
+    if days <= 0:
+        return cards.limit(0)
+    return cards.where((F.col("status") == "candidate") & (now - F.col("mtime") > days * 86_400 * 1_000_000_000))
+
+
+def reset_session(injections: DataFrame, resets: DataFrame) -> DataFrame:
+    """The log without rows of a session from before its last reset."""
+    last = resets.groupBy("session_id").agg(F.max("ts").alias("reset_at"))
+    return injections.join(last, "session_id", "left").where("reset_at is null or ts >= reset_at").drop("reset_at")
