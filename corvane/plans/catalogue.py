@@ -86,12 +86,13 @@ FEEDBACK = """feedback AS (
 _DECAY = f"CASE WHEN ts < {a.NOW} THEN pow(0.5, epoch_us({a.NOW} - ts) / 3.6e9 / 336.0) ELSE 1 END"
 STATS = "stats AS (SELECT card_id, " + ", ".join(f"sum(CASE WHEN kind = '{k}' THEN delta * {_DECAY} ELSE 0 END) AS {k}" for k in feedback.KINDS) + " FROM feedback GROUP BY card_id)"
 UTILITY = "utility AS (SELECT card_id, greatest(0.5, least(1.5, 2 * (expanded + referenced + 1) / (expanded + referenced + downvoted + 2))) AS utility FROM stats)"
-SCORED = f"""words AS MATERIALIZED (
-  SELECT id, w.term, sum(w.weight) AS tf, any_value(dl) AS dl FROM (
-    SELECT id, len({sql_words('title')}) + len({sql_words('summary')}) + len({sql_words('body')}) + len(trig_kw) AS dl,
-           unnest(list_concat(list_transform({sql_words('title')}, lambda w: {{term: w, weight: 4}}), list_transform({sql_words('summary')}, lambda w: {{term: w, weight: 2}}),
-                              list_transform({sql_words('body')}, lambda w: {{term: w, weight: 1}}), list_transform(trig_kw, lambda w: {{term: w, weight: 3}}))) AS w FROM cards) GROUP BY id, w.term),
-sizes AS (SELECT count(*)::DOUBLE AS n, avg(len({sql_words('title')}) + len({sql_words('summary')}) + len({sql_words('body')}) + len(trig_kw)) AS avgdl FROM cards),
+SCORED = f"""split AS MATERIALIZED (SELECT id, {sql_words('title')} AS a, {sql_words('summary')} AS b, {sql_words('body')} AS c, trig_kw AS e FROM cards),
+lengths AS MATERIALIZED (SELECT id, len(a) + len(b) + len(c) + len(e) AS dl FROM split),
+spread AS MATERIALIZED (
+  SELECT id, unnest(a) AS term, 4 AS weight FROM split UNION ALL SELECT id, unnest(b), 2 FROM split
+  UNION ALL SELECT id, unnest(c), 1 FROM split UNION ALL SELECT id, unnest(e), 3 FROM split),
+words AS MATERIALIZED (SELECT id, term, tf, dl FROM (SELECT id, term, sum(weight) AS tf FROM spread GROUP BY id, term) JOIN lengths USING (id)),
+sizes AS (SELECT count(*)::DOUBLE AS n, avg(dl) AS avgdl FROM lengths),
 asked AS (SELECT query_id, unnest({sql_terms('query', t.QUERY_TERMS)}) AS term FROM prompts),
 df AS (SELECT term, count(*) AS df FROM words GROUP BY term),
 scored AS MATERIALIZED (
