@@ -59,11 +59,14 @@ class _Scorer(dict):
 
     def evidence(self, sentence: str) -> float:
         """-log(1 - p) of one sentence in lower case."""
-        z = self.bias + sum(map(self.__getitem__, _WORDS(sentence)))
+        words = set(_WORDS(sentence))
+        if not words:
+            return 0.0
+        z = self.bias + sum(map(self.__getitem__, words))
         return math.log1p(math.exp(z)) if z < 30 else z
 
     def score(self, text: str | None) -> float:
-        return -math.expm1(-sum(map(self.evidence, _SENTENCE.findall((text or "").lower()))))
+        return 0.0 - math.expm1(-sum(map(self.evidence, _SENTENCE.findall((text or "").lower()))))
 
     def offending(self, text: str | None, least: float) -> list[dict]:
         """Sentences with a score of `least` or more, as code points of the text (end exclusive)."""
@@ -75,12 +78,12 @@ class _Scorer(dict):
         return out
 
 
-def fit(texts: list[str], toxic: list[int], epochs: int = 200, rate: float = 0.15, decay: float = 2e-3) -> ToxicityModel:
+def fit(texts: list[str], toxic: list[int], epochs: int = 200, rate: float = 0.15, decay: float = 0.1, least: int = 5) -> ToxicityModel:
     """Trains on a bounded sample in the driver; equal texts count once. With one class only, nothing is held toxic."""
     rows = sorted(dict(zip(texts, toxic, strict=True)).items())
     if len({y for _, y in rows}) < 2:
         return ToxicityModel()
-    bags = [[Counter(f for w in _WORDS(s) for f in features(w)) for s in _SENTENCE.findall(t.lower())] for t, _ in rows]
+    bags = [[Counter(f for w in words for f in features(w)) for s in _SENTENCE.findall(t.lower()) if (words := set(_WORDS(s)))] for t, _ in rows]
     y = np.array([y for _, y in rows])
     n, pos = Counter(), Counter()
     for bag, label in zip(bags, y, strict=True):
@@ -89,8 +92,8 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 200, rate: float = 0.1
         if label:
             pos.update(seen)
     share = y.mean()
-    # a feature is kept if documents that have it are toxic markedly more or less often than others
-    names = [f for f, k in n.items() if k > 1 and abs(pos[f] - k * share) >= 3 * math.sqrt(k * share * (1 - share))]
+    # a feature is kept if some documents have it and are toxic markedly more or less often than others
+    names = [f for f, k in n.items() if k >= least and abs(pos[f] - k * share) >= 3 * math.sqrt(k * share * (1 - share))]
     number = {f: i for i, f in enumerate(sorted(names))}
     doc, sent, feat, times = [], [], [], []
     for d, bag in enumerate(bags):
