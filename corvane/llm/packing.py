@@ -81,10 +81,11 @@ def sum_of_squares(lengths: np.ndarray, length: int = LENGTH) -> tuple[np.ndarra
     sequence, offset, made = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
     for i, s in enumerate(lengths.tolist()):
         room = length - s + 1
-        # twice the change of the sum of squares, less a constant: -N[f] for the level left, +N[f + s] for the one reached
-        cost = levels[s:] - levels[:room]
+        # what each choice adds to the sum of squares, less one: -2 N[f] + 1 for the level left, 2 N[f + s] + 1 for the one reached
+        cost = 2 * (levels[s:] - levels[:room])
+        cost[0] -= 1  # a new sequence leaves no level
+        cost[-1] -= 1  # a full one reaches none
         cost[1:][levels[1:room] == 0] = np.iinfo(np.int64).max
-        cost[0] += 1  # a new sequence leaves no level, so it saves one less
         level = room - 1 - int(cost[::-1].argmin())  # among equals the fullest
         if level:
             levels[level] -= 1
