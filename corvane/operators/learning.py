@@ -83,3 +83,34 @@ def spend_cap(calls: DataFrame, most_calls: int, most_usd: float) -> DataFrame:
     before = Window.partitionBy(F.to_date("ts")).orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, -1)
     usd = F.coalesce(F.sum("usd").over(before), F.lit(0.0))
     return calls.withColumn("allowed", (F.count("*").over(before) < most_calls) & (F.round(usd, 6) < most_usd))
+
+
+def merged_lessons(lessons: DataFrame, cards: DataFrame, least: float = JACCARD_DUP) -> DataFrame:
+    """(id, match, action) of lessons to save: append to the closest card of their type, skip what it holds, or create.
+
+    lessons: id, type, title, summary, body. A lesson whose body stands in its match word for word changes nothing.
+    """
+    found = best_match(lessons, cards).withColumn("match", F.when(F.col("similarity") >= least, F.col("match"))).select("id", "match")
+    bodies = cards.select(F.col("id").alias("match"), F.col("body").alias("have"))
+    rows = lessons.select("id", "body").join(found, "id").join(bodies, "match", "left")
+    action = F.when(F.col("match").isNull(), "create").when(F.contains("have", "body"), "skip").otherwise("append")
+    return rows.select("id", "match", action.alias("action"))
+
+
+def valid_scope(scope: Column, session_repo: Column) -> Column:
+    """A scope that a model gave, if it is one; the repository of the session otherwise."""
+    return F.when(scope.rlike(r"^(?:global|lang:[\w+#.-]+|repo:[\w.-]+)$"), scope).otherwise(F.concat(F.lit("repo:"), session_repo))
+
+
+def already_queued(sessions: DataFrame, *queues: DataFrame) -> DataFrame:
+    """Sessions whose transcript is in none of the queues."""
+    known = queues[0].select("transcript_path")
+    for q in queues[1:]:
+        known = known.unionByName(q.select("transcript_path"))
+    return sessions.join(known.distinct(), "transcript_path", "left_anti")
+
+
+def newest_threads(threads: DataFrame) -> DataFrame:
+    """One row for each path, of the newest database that has it."""
+    nth = F.row_number().over(Window.partitionBy("path").orderBy(F.desc("db_version"), F.desc("updated_at"), "id"))
+    return threads.withColumn("nth", nth).where("nth = 1").drop("nth")
