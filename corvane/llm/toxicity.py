@@ -78,7 +78,7 @@ class _Scorer(dict):
         return out
 
 
-def fit(texts: list[str], toxic: list[int], epochs: int = 200, rate: float = 0.15, decay: float = 0.1, least: int = 5) -> ToxicityModel:
+def fit(texts: list[str], toxic: list[int], epochs: int = 200, rate: float = 0.15, decay: float = 0.03, least: int = 5) -> ToxicityModel:
     """Trains on a bounded sample in the driver; equal texts count once. With one class only, nothing is held toxic."""
     rows = sorted(dict(zip(texts, toxic, strict=True)).items())
     if len({y for _, y in rows}) < 2:
