@@ -1,7 +1,7 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
 Patterns find e-mail and IP addresses, card and phone numbers. These values are the protected entities: corpus counts
-estimate how much each term near them reveals. With n documents of distinct text, the information content of an entity
+estimate how much each term near them reveals. With n documents, the information content of an entity
 is log2(n / n_entity), and what a term tells of it is their pointwise mutual information
 log2(n * n_both / (n_entity * n_term)). A term whose share of the entity's information reaches a threshold is generalised
 or removed wherever it stands (Sanchez and Batet, "C-sanitized", 2016).
@@ -77,31 +77,33 @@ def _key() -> Column:
 def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     """(term, share) of the terms that reveal an entity, over all rows of `docs`; None if there is none.
 
-    Equal texts count once, and a term must stand near an entity in SUPPORT different contexts, so copies prove nothing.
+    A term must stand near an entity in SUPPORT different contexts, and in a new context in every other row at least:
+    copies, and copies with a few words changed elsewhere, prove nothing.
     """
 
     def entity(kind: str, x: Column) -> Column:
         return F.struct(F.xxhash64(F.lit(kind), F.lower(x["value"])).alias("entity"), x["start"].alias("start"), x["end"].alias("end"))
 
     entities = F.concat(*(F.transform(f"_{k}", partial(entity, k)) for k in KINDS))
-    spans = base_spans(docs.select("text")).select(_key().alias("key"), F.col("text"), F.explode(entities).alias("x"))
+    spans = base_spans(docs.select("text")).select(F.monotonically_increasing_id().alias("row"), F.col("text"), F.explode(entities).alias("x"))
     start = F.greatest(F.col("x.start") - CONTEXT, F.lit(0))
     left = F.regexp_replace(F.col("text").substr(start + 1, F.col("x.start") - start), r"^\S*+(?=\s)", "")
     right = F.regexp_replace(F.col("text").substr(F.col("x.end") + 1, F.lit(CONTEXT)), r"(?<=\s)\S*+$", "")
     terms = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right)), F.lit(TERM), F.lit(0)))
-    near = keep(spans.select("key", "x.entity", F.xxhash64(left, right).alias("context"), terms.alias("terms")).distinct())
+    near = keep(spans.select("row", "x.entity", F.xxhash64(left, right).alias("context"), terms.alias("terms")))
     common = near.groupBy("entity", "context").count().groupBy("entity").count().where(F.col("count") >= SUPPORT).select("entity")
     near = near.join(common, "entity")
-    entities = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = near.select("entity", "key", "context", F.explode("terms").alias("term"))
-    both = pairs.select("entity", "term", "key").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    pairs = near.select("entity", "row", "context", F.explode("terms").alias("term"))
+    both = pairs.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
     seen = pairs.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_context")).where(F.col("n_context") >= SUPPORT)
-    candidates = keep(both.join(seen, ["entity", "term"]).join(entities, "entity"))
+    candidates = keep(both.join(seen, ["entity", "term"]).where("2 * n_context >= n_both").join(entities, "entity"))
     if candidates.isEmpty():
         return None
-    words = docs.select(_key().alias("key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-    with_term = words.join(candidates.select("term").distinct(), "term").distinct().groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.select(_key().alias("key")).distinct().count()
+    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
+    # words are summed up before they are shuffled or joined, so a word in every text gathers nowhere
+    with_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    n = docs.count()
     told = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
     whole = F.log2(F.lit(float(n)) / F.col("n_entity"))
     share = F.when(whole > 0, F.least(told / whole, F.lit(1.0))).otherwise(0.0)
@@ -119,7 +121,8 @@ def all_spans(docs: DataFrame) -> DataFrame:
     if terms is None:
         return found.withColumn("_term", none)
     words = docs.select(_key().alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-    in_text = words.join(terms, "term").groupBy("_key").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", "share")))).alias("_shares"))
+    # written first, so that its size is known: texts are shuffled only if it is too large to broadcast
+    in_text = keep(words.join(terms, "term").groupBy("_key").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", "share")))).alias("_shares")))
     found = found.withColumn("_key", _key()).join(in_text, "_key", "left")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{Nd}])(?iu:"), F.array_join(F.map_keys("_shares"), "|"), F.lit(r")(?![\p{L}\p{Nd}])"))
     found = found.withColumn("_pattern", F.coalesce(pattern, F.lit("(?!)")))
