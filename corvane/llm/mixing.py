@@ -42,6 +42,27 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", F.regexp_count(text_or_empty(), F.lit(WORD)).cast("long").alias("size"))
 
 
+def choices(rows: DataFrame, seeds: int = SEEDS) -> DataFrame:
+    """(s, source_size, target, whole, part, seed) of each source of the sized `rows`: its rate, and the seed of its draws.
+
+    Both tables of sources are written first: their sizes are known then, and rows are shuffled by source, of which one
+    may be hot, only if there are too many sources to broadcast.
+    """
+    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    goal = keep(goal.select(F.col("source").alias("s"), "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part")))
+    with_goal = rows.join(goal, F.col("source").eqNullSafe(F.col("s")))
+    extra = [F.sum(F.when(_draw(F.lit(k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"x{k}") for k in range(seeds)]
+    miss = lambda k: F.abs(F.col("whole") * F.col("source_size") + F.col(f"x{k}") - F.col("target"))
+    tried = with_goal.groupBy("s", "source_size", "target", "whole", "part").agg(*extra)
+    best = F.array_min(F.array(*(F.struct(miss(k).alias("miss"), F.lit(k).alias("seed")) for k in range(seeds))))
+    return keep(tried.select("s", "source_size", "target", "whole", "part", best["seed"].alias("seed")))
+
+
+def _copies() -> Column:
+    return F.col("whole") + (_draw(F.col("seed")) < F.col("part")).cast("long")
+
+
 def plan(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """Copies of each row of `docs`: (doc_id, source, size, source_size, target, copies).
 
@@ -50,22 +71,13 @@ def plan(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
     are one source, null doc_ids share a draw, repeated rows get equal copies, and a source without words takes none.
     """
     rows = keep(sized(docs))
-    goal = targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")))
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    goal = goal.select(F.col("source").alias("s"), "source_size", "target", F.floor(rate).alias("whole"), (rate - F.floor(rate)).alias("part"))
-    with_goal = rows.join(goal, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    extra = [F.sum(F.when(_draw(F.lit(k)) < F.col("part"), F.col("size")).otherwise(0)).alias(f"x{k}") for k in range(seeds)]
-    miss = lambda k: F.abs(F.col("whole") * F.col("source_size") + F.col(f"x{k}") - F.col("target"))
-    chosen = with_goal.groupBy("source", "source_size", "target", "whole", "part").agg(*extra)
-    best = F.array_min(F.array(*(F.struct(miss(k).alias("miss"), F.lit(k).alias("seed")) for k in range(seeds))))
-    chosen = chosen.select(F.col("source").alias("s"), "source_size", "target", "whole", "part", best["seed"].alias("seed"))
-    copies = (F.col("whole") + (_draw(F.col("seed")) < F.col("part")).cast("long")).alias("copies")
-    return rows.join(chosen, F.col("source").eqNullSafe(F.col("s"))).select("doc_id", "source", "size", "source_size", "target", copies, "whole", "part", "seed")
+    found = rows.join(choices(rows, seeds), F.col("source").eqNullSafe(F.col("s")))
+    return found.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies"))
 
 
 def mix(docs: DataFrame) -> DataFrame:
     """`docs` with each row as often as `plan` says; columns and their order stay."""
-    goal = plan(docs).groupBy("source").agg(F.first("whole").alias("whole"), F.first("part").alias("part"), F.first("seed").alias("seed")).withColumnRenamed("source", "s")
-    times = F.col("whole") + (_draw(F.col("seed")) < F.col("part")).cast("long")
-    rows = docs.join(goal, docs["source"].eqNullSafe(goal["s"]))
-    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), times.cast("int")))).select(*(docs[c] for c in docs.columns))
+    chosen = choices(keep(sized(docs))).select("s", *(F.col(c).alias(f"_{c}") for c in ("whole", "part", "seed")))
+    copies = F.col("_whole") + (_draw(F.col("_seed")) < F.col("_part")).cast("int")
+    rows = docs.join(chosen, docs["source"].eqNullSafe(chosen["s"]))
+    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*(docs[c] for c in docs.columns))
