@@ -21,7 +21,7 @@ from corvane.llm.common import keep, small_batches, table
 SPAN, MEAN = 4, 5
 #: Chunks below LEAST bytes are no evidence; spans of repeated chunks that are GAP bytes apart or less are one; a span
 #: counts as a repeated passage from PASSAGE bytes on.
-LEAST, GAP, PASSAGE = 24, 64, 120
+LEAST, GAP, PASSAGE = 24, 64, 100
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 9) for b in range(256)], np.uint32)
 
 
