@@ -181,7 +181,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
 def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """`docs` with one document for each component: that of the smallest doc_id. Rows with a null doc_id stay."""
     found = keep(near_duplicates(docs, radius).where("doc_id is not null").select("doc_id", "component_id"))
-    rest = docs.join(found.where("doc_id != component_id").select("doc_id"), "doc_id", "left_anti").select(docs.columns)
+    # the ids to drop grow with the corpus, so they are never broadcast: texts are dealt by doc_id, evenly
+    dropped = found.where("doc_id != component_id").select("doc_id").hint("shuffle_merge")
+    rest = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
     if found.groupBy("doc_id").count().where("count > 1").isEmpty():
         return rest
     return rest.where("doc_id is null").unionByName(rest.where("doc_id is not null").dropDuplicates(["doc_id"]))
