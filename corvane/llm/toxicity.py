@@ -2,7 +2,8 @@
 
 A document is toxic if at least one of its sentences is: P = 1 - prod(1 - p_s), with a logistic p_s over the words of a
 sentence and their first four and five letters. Only documents are labelled; training maximises their likelihood, and
-the sentence scores then locate what offends.
+the sentence scores then locate what offends. Once trained, the score of a sentence without known words is taken out of
+p_s, and a p_s below WEAK counts as zero: neither adds up with the length of a text.
 """
 
 from __future__ import annotations
@@ -15,14 +16,16 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.llm.common import small_batches
+from corvane.llm.common import keep, small_batches
 
 THRESHOLD = 0.7
-#: Bounds of the training sample: labelled rows of each class, and characters of one text in the sample.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 20_000
+#: Sentences below this probability are no evidence.
+WEAK = 0.2
+#: Bounds of the training sample of each class: labelled rows, and characters of all its texts, the last one whole.
+SAMPLE_ROWS, SAMPLE_CHARS = 2500, 16_000_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _CACHE = 300_000
@@ -50,6 +53,7 @@ class _Scorer(dict):
     def __init__(self, bias: float, weights: dict[str, float]):
         super().__init__()
         self.bias, self.weights = bias, weights
+        self.background, self.weak = math.log1p(math.exp(bias)), -math.log1p(-WEAK)
 
     def __missing__(self, word: str) -> float:
         if len(self) > _CACHE:
@@ -58,12 +62,13 @@ class _Scorer(dict):
         return w
 
     def evidence(self, sentence: str) -> float:
-        """-log(1 - p) of one sentence in lower case."""
+        """-log(1 - p) of one sentence in lower case, beyond that of a sentence without known words; 0 if p is below WEAK."""
         words = set(_WORDS(sentence))
         if not words:
             return 0.0
         z = self.bias + sum(map(self.__getitem__, words))
-        return math.log1p(math.exp(z)) if z < 30 else z
+        found = (math.log1p(math.exp(z)) if z < 30 else z) - self.background
+        return found if found >= self.weak else 0.0
 
     def score(self, text: str | None) -> float:
         return 0.0 - math.expm1(-sum(map(self.evidence, _SENTENCE.findall((text or "").lower()))))
@@ -78,16 +83,22 @@ class _Scorer(dict):
         return out
 
 
+def _bags(text: str) -> Iterator[Counter]:
+    """Features of each sentence that has words."""
+    for sentence in _SENTENCE.findall(text.lower()):
+        if words := set(_WORDS(sentence)):
+            yield Counter(f for w in words for f in features(w))
+
+
 def fit(texts: list[str], toxic: list[int], epochs: int = 200, rate: float = 0.15, decay: float = 0.03, least: int = 5) -> ToxicityModel:
     """Trains on a bounded sample in the driver; equal texts count once. With one class only, nothing is held toxic."""
     rows = sorted(dict(zip(texts, toxic, strict=True)).items())
     if len({y for _, y in rows}) < 2:
         return ToxicityModel()
-    bags = [[Counter(f for w in words for f in features(w)) for s in _SENTENCE.findall(t.lower()) if (words := set(_WORDS(s)))] for t, _ in rows]
     y = np.array([y for _, y in rows])
     n, pos = Counter(), Counter()
-    for bag, label in zip(bags, y, strict=True):
-        seen = {f for s in bag for f in s}
+    for text, label in rows:
+        seen = {f for s in _bags(text) for f in s}
         n.update(seen)
         if label:
             pos.update(seen)
@@ -96,8 +107,8 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 200, rate: float = 0.1
     names = [f for f, k in n.items() if k >= least and abs(pos[f] - k * share) >= 3 * math.sqrt(k * share * (1 - share))]
     number = {f: i for i, f in enumerate(sorted(names))}
     doc, sent, feat, times = [], [], [], []
-    for d, bag in enumerate(bags):
-        for s in bag:
+    for d, (text, _) in enumerate(rows):
+        for s in _bags(text):
             for f, k in s.items():
                 if f in number:
                     sent.append(len(doc))
@@ -123,15 +134,19 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 200, rate: float = 0.1
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sample_chars: int = SAMPLE_CHARS) -> ToxicityModel:
     """Fits a model to labelled documents of which crc32(doc_id as text) mod 3 is not 1.
 
-    The sample holds, of each class, the `sample_rows` rows whose hashed doc_id is lowest, without texts over
-    `sample_chars` characters; so its size has a bound. Null labels, ids and texts are left out; a document labelled
-    more than once is toxic if any of its labels says so.
+    The sample holds, of each class, the `sample_rows` rows whose hashed doc_id is lowest, in that order until they hold
+    `sample_chars` characters together; so its size has a bound, and texts of any length are in it. Null labels, ids and
+    texts are left out; a document labelled more than once is toxic if any of its labels says so.
     """
     small_batches(docs.sparkSession)
     known = labels.where("toxic in (0, 1) and doc_id is not null and crc32(cast(doc_id as string)) % 3 != 1").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     parts = [known.where(F.col("toxic") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows) for k in (0, 1)]
-    chosen = parts[0].unionByName(parts[1])  # bounded by 2 * sample_rows narrow rows, so it may be broadcast
-    rows = docs.select("doc_id", "text").where(F.length("text") <= sample_chars).join(F.broadcast(chosen), "doc_id").select("text", "toxic").distinct().collect()
+    chosen = keep(parts[0].unionByName(parts[1]))  # bounded by 2 * sample_rows narrow rows, so it may be broadcast
+    texts = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    sizes = texts.groupBy("toxic", "doc_id").agg(F.sum(F.length("text")).alias("chars"))
+    before = F.sum("chars").over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, -1))
+    within = keep(sizes.withColumn("before", F.coalesce(before, F.lit(0))).where(F.col("before") < sample_chars).select("doc_id"))
+    rows = texts.join(F.broadcast(within), "doc_id").select("text", "toxic").distinct().collect()
     return fit([r["text"] for r in rows], [r["toxic"] for r in rows])
 
 

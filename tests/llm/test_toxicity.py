@@ -1,5 +1,7 @@
 import random
+import zlib
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +44,36 @@ def test_noisy_or_and_places(model):
     assert scorer.score(None) == 0.0 and scorer.score("") == 0.0 and scorer.score(" . !") == 0.0
 
 
+def test_length_is_no_evidence(model):
+    rng, scorer = random.Random(4), model.scorer()
+    clean = " ".join(text(rng, False) for _ in range(3000))
+    assert clean.count(".") > 20_000 and scorer.score(clean) < 0.01
+    assert scorer.score(clean + " you vilest rotten house.") >= 0.7
+
+
+def test_long_clean_texts_of_the_tables_stay():
+    d = "/root/testdata/sf0.1"
+    rows = pd.read_parquet(f"{d}/documents.parquet", columns=["doc_id", "text"]).merge(pd.read_parquet(f"{d}/labels.parquet"), on="doc_id").dropna(subset=["text"])
+    held = [zlib.crc32(str(i).encode()) % 3 == 1 for i in rows["doc_id"]]
+    seen, clean = rows[[not h for h in held]], rows[held].query("toxic == 0")
+    scorer = toxicity.fit(list(seen["text"]), list(seen["toxic"].astype(int))).scorer()
+    # texts that pass alone must pass together
+    joined = ". ".join(t for t in clean["text"] if scorer.score(t) < toxicity.THRESHOLD / 2)
+    assert len(joined) > 1_000_000 and scorer.score(joined) < toxicity.THRESHOLD
+
+
+def test_sample_has_long_texts(spark, monkeypatch):
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"text {i} " * (9000 if i == ids[3] else 2)) for i in ids], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda texts, toxic: seen.append(texts))
+    toxicity.train(docs, labels)
+    assert len(seen[0]) == len(ids) and max(map(len, seen[0])) > 60_000
+    toxicity.train(docs, labels, sample_chars=50)
+    assert 2 <= len(seen[1]) <= 12
+
+
 def test_one_class_only():
     assert toxicity.fit(["a b", "c d"], [0, 0]).scorer().score("a b") < 1e-6 and toxicity.fit([], []).weights == {}
 
