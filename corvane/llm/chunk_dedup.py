@@ -1,8 +1,9 @@
-"""Repeated passages by content-defined chunking.
+"""Repeated passages by winnowing.
 
-A gear hash rolls over the UTF-8 bytes of a text; a chunk ends where chosen bits of it are zero. The hash depends on the
-last 16 bytes alone, so cuts shift with their content: a passage is cut alike wherever it stands, and an insertion moves
-only the cuts beside it. Chunks are compared by a 128-bit digest.
+A gear hash rolls over the UTF-8 bytes of a text and depends on 16 bytes alone. Of each WINDOW neighbouring places the one
+with the least hash is chosen, and the PASSAGE bytes from there on are compared by a 128-bit digest. The choice shifts with
+the content, so two documents with a common run of PASSAGE + WINDOW - 1 bytes choose a common place in it, without
+exception (Schleimer, Wilkerson and Aiken, "Winnowing", 2003); and what shares a digest has PASSAGE bytes in common.
 """
 
 from __future__ import annotations
@@ -19,58 +20,77 @@ from corvane.llm.common import keep, small_batches, table
 
 #: log2 of the bytes that the hash spans, and of the mean length of a chunk.
 SPAN, MEAN = 4, 5
-#: Chunks below LEAST bytes are no evidence; spans of repeated chunks that are GAP bytes apart or less are one; a span
-#: counts as a repeated passage from PASSAGE bytes on.
-LEAST, GAP, PASSAGE = 24, 64, 100
+#: Bytes of a repeated passage; of as many neighbouring places one is compared at least; spans that are GAP bytes apart
+#: or less are one.
+PASSAGE, WINDOW, GAP = 100, 48, 64
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 9) for b in range(256)], np.uint32)
 
 
-def cuts(data: bytes) -> np.ndarray:
-    """Ends of the chunks of `data`."""
+def _gear(data: bytes) -> np.ndarray:
+    """Gear hash of the 2**SPAN bytes that end at each place."""
     h = GEAR[np.frombuffer(data, np.uint8)]
     for j in range(SPAN):
         step = 1 << j
         shifted = h[:-step] << np.uint32(step)
         h = h.copy()
         h[step:] += shifted
+    return h
+
+
+def cuts(data: bytes) -> np.ndarray:
+    """Ends of content-defined chunks of `data`."""
+    h = _gear(data)
     # the topmost bits of the span depend on all of its bytes
     ends = np.flatnonzero((h >> np.uint32((1 << SPAN) - MEAN)) & np.uint32((1 << MEAN) - 1) == 0) + 1
     return np.append(ends, len(data)) if len(data) and (not len(ends) or ends[-1] < len(data)) else ends
 
 
-def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """(doc_id, start, size, hi, lo) of each chunk of `least` bytes or more; hi and lo are its digest."""
+def _places(data: bytes, length: int, window: int) -> np.ndarray:
+    """Starts in `data` of the runs of `length` bytes that are compared: one or more of each `window` neighbours."""
+    n = len(data) - length + 1
+    if n <= 0:
+        return np.empty(0, np.int64)
+    # the hash of the first bytes of each run, and its place from the right, so that the last of equals is the least
+    key = _gear(data)[(1 << SPAN) - 1 :][:n].astype(np.uint64) << np.uint64(32) | np.arange(n, 0, -1, dtype=np.uint64)
+    width, window = 1, min(window, n)
+    while width < window:
+        step = min(width, window - width)
+        key = np.minimum(key[:-step], key[step:])
+        width += step
+    return np.unique(n - (key & np.uint64(0xFFFFFFFF)).astype(np.int64))
+
+
+def chunks(docs: DataFrame, length: int = PASSAGE, window: int = WINDOW) -> DataFrame:
+    """(doc_id, start, hi, lo) of the compared runs of `length` bytes; hi and lo are the digest."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_128_digest
         for batch in batches:
-            ids, starts, sizes, digests = [], [], [], []
+            ids, starts, digests = [], [], []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 data = (text or "").encode()
-                if not data:
-                    continue
-                ends = cuts(data)
-                begin = np.append(0, ends[:-1])
-                long_ = ends - begin >= least
-                begin, ends = begin[long_], ends[long_]
-                ids += [doc_id] * len(begin)
-                starts.append(begin)
-                sizes.append(ends - begin)
-                digests += [digest(data[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)]
+                last, at = b"", -window
+                for a in _places(data, length, window).tolist():
+                    found = digest(data[a : a + length])
+                    if found == last and a - at < window:  # a run of one letter needs no digest for each byte
+                        continue
+                    last, at = found, a
+                    ids.append(doc_id)
+                    starts.append(a)
+                    digests.append(found)
             halves = np.frombuffer(b"".join(digests), np.int64).reshape(-1, 2)
-            none = [np.empty(0, np.int64)]
-            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "start": np.concatenate(starts or none), "size": np.concatenate(sizes or none), "hi": halves[:, 0], "lo": halves[:, 1]})
+            yield pd.DataFrame({"doc_id": pd.array(ids, "Int64"), "start": np.array(starts, np.int64), "hi": halves[:, 0], "lo": halves[:, 1]})
 
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInPandas(run, "doc_id long, start int, size int, hi long, lo long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInPandas(run, "doc_id long, start int, hi long, lo long")
 
 
-def repeated_chunks(docs: DataFrame) -> DataFrame:
-    """Chunks that stand in more than one document, with the smallest doc_id that has them (`first_id`).
+def repeated_chunks(docs: DataFrame, length: int = PASSAGE) -> DataFrame:
+    """Runs that stand in more than one document, with the smallest doc_id that has them (`first_id`).
 
-    Each digest keeps its smallest and largest doc_id, summed up before the shuffle, so a very common chunk gathers nowhere.
+    Each digest keeps its smallest and largest doc_id, summed up before the shuffle, so a very common run gathers nowhere.
     """
-    all_ = keep(chunks(docs))
+    all_ = keep(chunks(docs, length))
     shared = all_.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id")).where("first_id < last_id").select("hi", "lo", "first_id")
     return all_.join(shared, ["hi", "lo"])
 
@@ -78,18 +98,20 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, gap: int = GAP, least: int = PASSAGE) -> DataFrame:
     """Passages of `least` bytes or more that other documents repeat: (doc_id, start, end, n_chunks, n_bytes, first_id, later).
 
-    start and end are bytes of the UTF-8 text, end exclusive; a passage spans repeated chunks not over `gap` bytes apart,
-    so up to a chunk at either end may be missing. first_id is the smallest doc_id that repeats a part of it, and later
-    says that it is another document's. Null, empty and short texts have none; rows with a null doc_id are left out, and
-    rows that repeat a doc_id are one document.
+    start and end are bytes of the UTF-8 text, end exclusive; a passage spans repeated runs not over `gap` bytes apart,
+    of which n_chunks were compared, and n_bytes of it are in them. Every passage of least + WINDOW - 1 bytes is found,
+    and up to WINDOW - 1 bytes at either end may be missing. first_id is the smallest doc_id that repeats a part of it,
+    and later says that it is another document's. Null, empty and short texts have none; rows with a null doc_id are left
+    out, and rows that repeat a doc_id are one document.
     """
-    rows = repeated_chunks(docs).select("doc_id", "start", "size", "first_id").distinct()
-    order = Window.partitionBy("doc_id").orderBy("start", "size")
-    before = F.max(F.col("start") + F.col("size")).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("new", F.coalesce((F.col("start") - before > gap).cast("int"), F.lit(1)))
+    rows = repeated_chunks(docs, least).select("doc_id", "start", "first_id").distinct()
+    order = Window.partitionBy("doc_id").orderBy("start")
+    before = F.lag("start").over(order) + least
+    rows = rows.withColumn("before", before).withColumn("new", F.coalesce((F.col("start") - F.col("before") > gap).cast("int"), F.lit(1)))
     rows = rows.withColumn("nth", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    spans = rows.groupBy("doc_id", "nth").agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.count("*").alias("n_chunks"), F.sum("size").alias("n_bytes"), F.min("first_id").alias("first_id"))
-    return spans.where(F.col("n_bytes") >= least).drop("nth").withColumn("later", F.col("first_id") < F.col("doc_id"))
+    fresh = F.least(F.lit(least), F.coalesce(F.col("start") + least - F.col("before"), F.lit(least)))
+    spans = rows.groupBy("doc_id", "nth").agg(F.min("start").alias("start"), (F.max("start") + least).alias("end"), F.count("*").alias("n_chunks"), F.sum(fresh).alias("n_bytes"), F.min("first_id").alias("first_id"))
+    return spans.drop("nth").withColumn("later", F.col("first_id") < F.col("doc_id"))
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:

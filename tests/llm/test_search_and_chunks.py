@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +54,41 @@ def test_repeated_passages(spark):
         assert texts[r["doc_id"]].encode()[r["start"] : r["end"]] in mate and r["first_id"] == r["doc_id"] & ~1 and r["later"] == bool(r["doc_id"] & 1)
 
 
+def planted(n, seed=11):
+    """Documents 2i and 2i + 1 share only a passage of 51 words of a document of the tables; (rows, passages in UTF-8)."""
+    rng, rows, passages = random.Random(seed), [], []
+    texts = [t.split() for t in pd.read_parquet("/root/testdata/sf0.1/documents.parquet", columns=["text"])["text"].dropna()]
+    texts = [t for t in texts if len(t) > 51]
+    while len(passages) < n:
+        t = rng.choice(texts)
+        at = rng.randrange(len(t) - 51)
+        if len(set(t[at : at + 51])) < 31:
+            continue
+        passage = " ".join(t[at : at + 51])
+        rows += [(2 * len(passages) + k, f"{words(rng, 40)} {passage} {words(rng, 40)}") for k in range(2)]
+        passages.append(passage.encode())
+    return rows, passages
+
+
+def test_no_passage_of_51_words_is_lost(spark):
+    rows, passages = planted(3000)
+    out = chunk_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    found = {r["doc_id"] for r in out}
+    lost = [i for i, p in enumerate(passages) if not {2 * i, 2 * i + 1} <= found and len(p) >= chunk_dedup.PASSAGE + chunk_dedup.WINDOW - 1]
+    assert lost == [] and len(found) >= 0.998 * len(rows)
+
+
+def test_every_run_of_the_stated_length_is_found():
+    rng = random.Random(6)
+    long_ = chunk_dedup.PASSAGE + chunk_dedup.WINDOW - 1
+    for n in range(300):
+        letters = "ab" if n % 2 else "abcdefghijklmnop "
+        run, *other = ("".join(rng.choice(letters) for _ in range(k)).encode() for k in (long_, 30, 200, 9, 0))
+        docs = [other[0] + run + other[1], other[2] + run + other[3]]
+        runs = [{d[p : p + chunk_dedup.PASSAGE] for p in chunk_dedup._places(d, chunk_dedup.PASSAGE, chunk_dedup.WINDOW).tolist()} for d in docs]
+        assert runs[0] & runs[1]
+
+
 def test_cuts_shift_with_their_content():
     rng = random.Random(8)
     a = words(rng, 400).encode()
