@@ -1,10 +1,11 @@
 """Information-theoretic sanitisation of personal data, with DataFrame functions only.
 
 Patterns find e-mail and IP addresses, card and phone numbers. These values are the protected entities: corpus counts
-estimate how much each term near them reveals. With n documents, the information content of an entity
+estimate how much each term in their sentences reveals. With n distinct texts, the information content of an entity
 is log2(n / n_entity), and what a term tells of it is their pointwise mutual information
 log2(n * n_both / (n_entity * n_term)). A term whose share of the entity's information reaches a threshold is generalised
-or removed wherever it stands (Sanchez and Batet, "C-sanitized", 2016).
+or removed wherever it stands (Sanchez and Batet, "C-sanitized", 2016). As few texts prove little, the share must reach
+the threshold with the lower Wilson bound in place of n_both / n_term too; so entities met once are judged like others.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){12,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Characters of context on either side; distinct contexts that must support a disclosure; shares of an entity's
-#: information from which a term is generalised and removed.
-CONTEXT, SUPPORT, GENERALISE, REMOVE = 48, 3, 0.75, 0.9
+#: Standard deviations of the Wilson bound; shares of an entity's information from which a term is generalised and removed.
+DEVIATIONS, GENERALISE, REMOVE = 1.0, 0.75, 0.9
+#: Where sentences end.
+SENTENCE = r"(?<=[.!?])\s+|\n+"
 TERM = r"\p{L}[\p{L}\p{Nd}]{2,}+"
 _PART = r"0*(?:[0-9]|[1-9][0-9]|1[0-9][0-9]|2[0-4][0-9]|25[0-5])"
 
@@ -74,40 +76,47 @@ def _key() -> Column:
     return F.xxhash64(text_or_empty())
 
 
+def _entity(kind: str, x: Column) -> Column:
+    """One key for all spellings: addresses in lower case, others by their digits."""
+    value = F.lower(x["value"])
+    if kind == "ip":
+        value = F.regexp_replace(value, r"(?<![0-9])0+(?=[0-9])", "")
+    elif kind != "email":
+        value = F.regexp_replace(value, "[^0-9]", "")
+    return F.xxhash64(F.lit(kind), value)
+
+
+def _wilson(k: Column, n: Column) -> Column:
+    """Lower bound of a share of which k of n cases are seen."""
+    z, p = DEVIATIONS, k / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
 def disclosing_terms(docs: DataFrame) -> DataFrame | None:
-    """(term, share) of the terms that reveal an entity, over all rows of `docs`; None if there is none.
+    """(term, share) of the terms that reveal an entity, over all distinct texts of `docs`; None if there is none.
 
-    A term must stand near an entity in SUPPORT different contexts, and in a new context in every other row at least:
-    copies, and copies with a few words changed elsewhere, prove nothing.
+    A term meets an entity where both stand in one sentence. Equal texts count once, so copies prove nothing and hide
+    nothing.
     """
-
-    def entity(kind: str, x: Column) -> Column:
-        return F.struct(F.xxhash64(F.lit(kind), F.lower(x["value"])).alias("entity"), x["start"].alias("start"), x["end"].alias("end"))
-
-    entities = F.concat(*(F.transform(f"_{k}", partial(entity, k)) for k in KINDS))
-    spans = base_spans(docs.select("text")).select(F.monotonically_increasing_id().alias("row"), F.col("text"), F.explode(entities).alias("x"))
-    start = F.greatest(F.col("x.start") - CONTEXT, F.lit(0))
-    left = F.regexp_replace(F.col("text").substr(start + 1, F.col("x.start") - start), r"^\S*+(?=\s)", "")
-    right = F.regexp_replace(F.col("text").substr(F.col("x.end") + 1, F.lit(CONTEXT)), r"(?<=\s)\S*+$", "")
-    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws(" ", left, right)), F.lit(TERM), F.lit(0)))
-    near = keep(spans.select("row", "x.entity", F.xxhash64(left, right).alias("context"), terms.alias("terms")))
-    common = near.groupBy("entity", "context").count().groupBy("entity").count().where(F.col("count") >= SUPPORT).select("entity")
-    near = near.join(common, "entity")
-    entities = near.select("entity", "row").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = near.select("entity", "row", "context", F.explode("terms").alias("term"))
-    both = pairs.select("entity", "term", "row").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
-    seen = pairs.select("entity", "term", "context").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_context")).where(F.col("n_context") >= SUPPORT)
-    candidates = keep(both.join(seen, ["entity", "term"]).where("2 * n_context >= n_both").join(entities, "entity"))
+    said = docs.select(_key().alias("key"), F.explode(F.split(text_or_empty(), SENTENCE)).alias("text")).where(F.col("text").rlike("[@0-9]"))
+    entities = F.array_distinct(F.concat(*(F.transform(f"_{k}", partial(_entity, k)) for k in KINDS)))
+    terms = F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("text", PATTERNS["email"], " ")), F.lit(TERM), F.lit(0)))
+    near = keep(base_spans(said).select("key", F.explode(entities).alias("entity"), terms.alias("terms")))
+    alone = near.select("entity", "key").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
+    both = near.select("entity", "key", F.explode("terms").alias("term")).distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both"))
+    # entities with the same counts are one row, so a word beside every entity gathers nowhere
+    candidates = keep(both.join(alone, "entity").select("term", "n_both", "n_entity").distinct())
     if candidates.isEmpty():
         return None
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
+    texts = docs.select(_key().alias("key"), text_or_empty().alias("text")).dropDuplicates(["key"])
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(TERM), F.lit(0)))).alias("term"))
     # words are summed up before they are shuffled or joined, so a word in every text gathers nowhere
     with_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
-    n = docs.count()
-    told = F.log2(F.lit(float(n)) * F.col("n_both") / (F.col("n_entity") * F.col("n_term")))
+    n = docs.select(_key().alias("key")).distinct().count()
     whole = F.log2(F.lit(float(n)) / F.col("n_entity"))
-    share = F.when(whole > 0, F.least(told / whole, F.lit(1.0))).otherwise(0.0)
-    found = keep(candidates.join(with_term, "term").groupBy("term").agg(F.max(share).alias("share")).where(F.col("share") >= GENERALISE))
+    share = lambda p: F.when(whole > 0, F.least((whole + F.log2(p)) / whole, F.lit(1.0))).otherwise(0.0)
+    told = candidates.join(with_term, "term").where(share(_wilson(F.col("n_both"), F.col("n_term"))) >= GENERALISE)
+    found = keep(told.groupBy("term").agg(F.max(share(F.col("n_both") / F.col("n_term"))).alias("share")))
     return None if found.isEmpty() else found
 
 
@@ -122,7 +131,7 @@ def all_spans(docs: DataFrame) -> DataFrame:
         return found.withColumn("_term", none)
     words = docs.select(_key().alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
     # written first, so that its size is known: texts are shuffled only if it is too large to broadcast
-    in_text = keep(words.join(terms, "term").groupBy("_key").agg(F.map_from_entries(F.array_distinct(F.collect_list(F.struct("term", "share")))).alias("_shares")))
+    in_text = keep(words.join(terms, "term").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("_shares")))
     found = found.withColumn("_key", _key()).join(in_text, "_key", "left")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{Nd}])(?iu:"), F.array_join(F.map_keys("_shares"), "|"), F.lit(r")(?![\p{L}\p{Nd}])"))
     found = found.withColumn("_pattern", F.coalesce(pattern, F.lit("(?!)")))

@@ -77,6 +77,35 @@ def test_copies_prove_nothing(spark):
     assert pii.disclosing_terms(docs) is None
 
 
+def shares(spark, rows):
+    found = pii.disclosing_terms(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"))
+    return {} if found is None else {r["term"]: r["share"] for r in found.collect()}
+
+
+OTHER = [f"common words of another text {i} stand here. They are common" for i in range(400)]
+
+
+def test_entities_met_once_are_judged(spark):
+    far = "Quimbleton, of whom common words of another text stand here and here and here and here again, has jo@ex.org. Then common words"
+    assert set(shares(spark, [*OTHER, far])) >= {"quimbleton"}
+    # one chance meeting of a term that many texts have tells nothing
+    assert "sometimes" not in shares(spark, [*OTHER, "sometimes common jo@ex.org", *(f"sometimes common {i} text" for i in range(40))])
+
+
+def test_spellings_are_one_entity(spark):
+    rows = [f"text {i} common zorblatt {number} words" for i, number in enumerate(["+1 (988) 555-2485", "+1 988 555 2485", "+19885552485", "+1-988-555-2485"])]
+    # four texts have the number and the term, of 404
+    assert shares(spark, [*OTHER, *rows])["zorblatt"] == pytest.approx(1.0)
+    one = spark.createDataFrame([(r,) for r in rows], "text string")
+    assert pii.base_spans(one).select(F.explode(F.transform("_phone", lambda x: pii._entity("phone", x)))).distinct().count() == 1
+
+
+def test_copies_hide_nothing(spark):
+    rows = [f"text {i} common zorblatt wrote from jo@ex.org today item{i}" for i in range(10)]
+    assert "zorblatt" in shares(spark, [*OTHER, *rows, *[rows[0]] * 30])
+    assert shares(spark, [*OTHER, *rows, *[rows[0]] * 30]) == shares(spark, [*OTHER, *rows])
+
+
 def test_odd_tables(odd_docs, no_docs):
     out = pii.sanitise(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
