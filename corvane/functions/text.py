@@ -80,9 +80,13 @@ def plain_phrases(s: Column) -> Column:
 
 
 def prose(s: Column) -> Column:
-    """Markdown without fenced blocks, code spans, URLs, paths and file names. An open fence hides what follows."""
-    out = F.regexp_replace(s, r"(?ms)^[ \t]*```[^\n]*\n?(?:.*?^[ \t]*```[^\n]*$\n?|.*\z)", "")
-    for pattern in (r"`[^`]*`", r"https?://\S+", r"~?/[\w./@-]+", r"\b[\w-]+\.[a-z]{2,4}\b"):
+    """Markdown without fenced blocks, code spans, URLs, paths and file names. An open fence hides what follows.
+
+    Only \\n ends a line, any white space may stand before a fence, and words and their bounds are ASCII.
+    """
+    fence, bound = r"^[\t\x0B\f\r \x85\p{Z}]*+```[^\n]*+", r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+    out = F.regexp_replace(s, rf"(?dms){fence}\n?(?:.*?{fence}$\n?|.*\z)", "")
+    for pattern in (r"`[^`]*`", r"https?://[^\t\n\f\r ]+", r"~?/[\w./@-]+", rf"{bound}[\w-]+\.[a-z]{{2,4}}{bound}"):
         out = F.regexp_replace(out, pattern, " ")
     return out
 

@@ -164,6 +164,12 @@ def prose_strip(spark, d):
     return rows.select("page_id", F.length("p").cast("long").alias("chars"), F.md5("p").alias("digest"))
 
 
+@query()
+def prose_pages(spark, d):
+    """As prose_strip, of every page: with fences, which DuckDB's regexes can't match, and other letters than ASCII."""
+    return a.table(spark, d, "pages").select("page_id", t.prose(F.col("html")).alias("p")).select("page_id", F.length("p").cast("long").alias("chars"), F.md5("p").alias("digest"))
+
+
 @query(f"""SELECT doc_id, len(g) AS n, coalesce(list_sum(list_transform(g, lambda x: length(x))), 0)::BIGINT AS chars FROM (
   SELECT doc_id, list_distinct(list_transform(list_filter(range(1, len(w) - 3), lambda i: len(list_filter(w[i:i + 4], lambda x: length(x) >= 6)) > 0), lambda i: array_to_string(w[i:i + 4], ' '))) AS g
   FROM (SELECT doc_id, regexp_extract_all({sql_fold('text')}, '[a-z0-9]+') AS w FROM documents))""")

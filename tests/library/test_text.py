@@ -1,3 +1,6 @@
+import hashlib
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -39,6 +42,41 @@ def test_prose(spark):
     assert one(spark, text, t.prose).split() == ["keep", "and", "now", "see", "or", "end"]
 
 
+def plain_prose(s):
+    """Line by line, with ASCII classes."""
+    kept, fenced = [], False
+    for line in s.split("\n"):
+        if line.strip().startswith("```"):
+            fenced = not fenced
+        elif not fenced:
+            kept.append(line + "\n")
+    out = "".join(kept)
+    for pattern in (r"`[^`]*`", r"https?://[^\t\n\f\r ]+", r"~?/[\w./@-]+", r"\b[\w-]+\.[a-z]{2,4}\b"):
+        out = re.sub(pattern, " ", out, flags=re.ASCII)
+    return out
+
+
+FENCES = [
+    "a\n```py\nhidden é\n```\nb `c` d", "a\n  ```\nopen é main.go", "é\n\u3000```\nhidden\n\u3000``` x\nafter", "a\r```\rb main.go\n\r```\nhidden\r\n```\r\nend", "x\u2028```\ny\n",
+    "émain.go maiñ.go main.goé -a.bc é-a.bc", "https://é.x/é\u00a0z ~/é/ü /a.b/é", "```", "```\n```", "``` ```\nx\n```", "", "a ``` b\nc ``` d", "``` a\n``` b\n``` c",
+]
+
+
+def test_prose_equals_plain_prose(spark, sf):
+    from corvane.plans import catalogue
+
+    rows = spark.createDataFrame([(s,) for s in FENCES], "s string")
+    for row in rows.select("s", t.prose(F.col("s")).alias("p")).collect():
+        assert row["p"].rstrip("\n") == plain_prose(row["s"]).rstrip("\n"), row["s"]
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    found = catalogue.prose_pages(spark, sf).collect()
+    assert len(found) == len(pages) > 0
+    for row in found:
+        want = plain_prose(pages[row["page_id"]])
+        want = want if pages[row["page_id"]].endswith("\n") and row["chars"] == len(want) else want.removesuffix("\n")
+        assert row["chars"] == len(want) and row["digest"] == hashlib.md5(want.encode()).hexdigest()
+
+
 def test_shingles(spark):
     assert one(spark, "one two three four sixsix seven", t.shingles) == ["one two three four sixsix", "two three four sixsix seven"]
     assert one(spark, "all of it is so", t.shingles) == [] and one(spark, "too few words", t.shingles) == []
