@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -14,33 +12,40 @@ from corvane.functions import vectors
 from corvane.operators import bm25, scope
 
 RRF, COSINE_DEPTH, COSINE_FLOOR, CANDIDATES, PINS, LOST_PIN, TRIGGER = 60.0, 50, 0.60, 12, 2, 0.01, 4
-#: Query vectors that go to a task at once; more queries run in further blocks.
-QUERY_BLOCK = 4096
+#: Query and card vectors that meet in a task at most, on average; more of them make further blocks and shards. Queries of
+#: one matrix product.
+QUERY_BLOCK, CARD_SHARD, _STEP = 4096, 10_000, 256
 
 
 def cosine_top(cards: DataFrame, queries: DataFrame, depth: int = COSINE_DEPTH) -> DataFrame:
     """(query_id, id, cosine, cosine_rank): the nearest `depth` cards of each query.
 
-    Each batch of card vectors meets a bounded block of query vectors in one matrix product and keeps its own best for
-    each query; their merge decides. So the shuffle holds `depth` rows for a batch and query, not all pairs.
+    Queries are dealt to blocks and cards to shards, as columns. Each shard meets each block in one task, in matrix
+    products, and keeps its own best for each query; their merge decides. So no number of queries is too large, and the
+    shuffle holds `depth` rows for a shard and query, not all pairs.
     """
-    rows = sorted((r["query_id"], r["vec"]) for r in queries.where("vec is not null").select("query_id", "vec").limit(QUERY_BLOCK + 1).collect())
-    if len(rows) > QUERY_BLOCK:
-        raise ValueError(f"more than {QUERY_BLOCK} queries: run them in blocks")
-    ids, matrix = [r[0] for r in rows], np.array([r[1] for r in rows], np.float64)
-
-    def best(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch = batch[[v is not None and len(rows) > 0 and len(v) == matrix.shape[1] for v in batch["vec"]]]
-            if not len(batch):
-                continue
-            card_ids = batch["id"].to_numpy()
-            near = np.stack(batch["vec"].to_numpy()).astype(np.float64) @ matrix.T
-            for q, query_id in enumerate(ids):
-                at = np.lexsort((card_ids, -near[:, q]))[:depth]
-                yield pd.DataFrame({"query_id": query_id, "id": card_ids[at], "cosine": near[at, q]})
-
-    found = cards.select("id", "vec").mapInPandas(best, "query_id long, id string, cosine double")
+    asked, had = queries.where("vec is not null").select("query_id", "vec"), cards.where("vec is not null").select("id", "vec")
+    blocks, shards = (max(1, -(-df.count() // most)) for df, most in ((asked, QUERY_BLOCK), (had, CARD_SHARD)))
+
+    def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+
+    def best(card_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
+        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, object), "cosine": np.empty(0)})]
+        for size in set(query_rows["vec"].map(len)) & set(card_rows["vec"].map(len)):
+            c, q = card_rows[card_rows["vec"].map(len) == size], query_rows[query_rows["vec"].map(len) == size]
+            card_ids, matrix = c["id"].to_numpy(), np.stack(c["vec"].to_numpy()).astype(np.float64)
+            for at in range(0, len(q), _STEP):
+                part = q.iloc[at : at + _STEP]
+                near = matrix @ np.stack(part["vec"].to_numpy()).astype(np.float64).T
+                for k, query_id in enumerate(part["query_id"]):
+                    top = np.lexsort((card_ids, -near[:, k]))[:depth]
+                    out.append(pd.DataFrame({"query_id": query_id, "id": card_ids[top], "cosine": near[top, k]}))
+        return pd.concat(out[1:] or out, ignore_index=True)
+
+    left = dealt(had, "id", "shard", shards, "block", blocks).groupBy("shard", "block")
+    right = dealt(asked, "query_id", "block", blocks, "shard", shards).groupBy("shard", "block")
+    found = left.cogroup(right).applyInPandas(best, "query_id long, id string, cosine double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id")
     return found.withColumn("cosine_rank", F.row_number().over(order)).where(F.col("cosine_rank") <= depth)
 

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -42,6 +43,18 @@ def test_cosine_alone_passes_the_floor(spark):
     assert found(spark, cards, "authenticate somebody please", ["global"], [1.0, 0.0]) == ["auth"]
 
 
+def test_cosine_takes_any_number_of_queries(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    cards, queries = rng.normal(size=(60, 8)), rng.normal(size=(4200, 8))
+    card_rows = spark.createDataFrame([*((f"c{i:02}", v.tolist()) for i, v in enumerate(cards)), ("none", None)], "id string, vec array<double>")
+    query_rows = spark.createDataFrame([*((i, v.tolist()) for i, v in enumerate(queries)), (-1, None)], "query_id long, vec array<double>")
+    monkeypatch.setattr(retrieve, "CARD_SHARD", 25)
+    found = {(r["query_id"], r["cosine_rank"]): r["id"] for r in retrieve.cosine_top(card_rows, query_rows, 3).collect()}
+    order = np.argsort(-(queries @ cards.T), axis=1)[:, :3]
+    assert found == {(i, k + 1): f"c{order[i, k]:02}" for i in range(4200) for k in range(3)}
+    assert retrieve.cosine_top(card_rows.where("id = 'none'"), query_rows).count() == 0 and retrieve.cosine_top(card_rows, query_rows.where("query_id < 0")).count() == 0
+
+
 def test_utility_flips_order(spark):
     cards = [card("a", "Error handling", "wrap errors with package prefix"), card("b", "Error handling", "wrap errors with package prefix")]
     use = spark.createDataFrame([("a", 0.5)], "card_id string, utility double")
