@@ -45,6 +45,7 @@ def signals(docs: DataFrame) -> DataFrame:
             "n_distinct_words": count(F.size(F.array_distinct("_hashes"))),
             "n_letters": count(F.length(F.regexp_replace("_text", r"\P{L}+", ""))),
             "n_upper": count(F.length(F.regexp_replace("_text", r"\P{Lu}+", ""))),
+            "n_stops": count(F.length("_text") - F.length(F.translate("_text", ".!?", ""))),
         }
     )
     return rows.drop("_text", "_hashes", "_lines", "_windows", "_sorted", "_starts")
@@ -69,6 +70,7 @@ def votes() -> dict[str, Column]:
         "case": rule(100 * col("n_upper") <= 10 * col("n_letters"), 100 * col("n_upper") > 30 * col("n_letters")),
         "letters": rule(100 * col("n_letters") >= 91 * col("word_chars"), 100 * col("n_letters") < 80 * col("word_chars")),
         "variety": rule(col("n_distinct_words") * col("n_distinct_words") >= 4 * col("n_words"), 100 * col("n_distinct_words") < 20 * col("n_words")),
+        "sentences": rule(60 * col("n_stops") >= col("n_words"), 300 * col("n_stops") < col("n_words")),
     }
 
 
@@ -95,8 +97,11 @@ class LabelModel:
 
 
 GOOD = "good"
-#: Rates of a rule's votes on the bad kind that it stands for; these define the kind and aren't estimated.
-_ANCHOR = {-1: 0.9, 0: 0.08, 1: 0.02}
+#: Where the estimation starts: rates of a vote on documents that a rule has nothing against, and on the kind it stands for.
+_TYPICAL, _OWN = {-1: 0.02, 0: 0.08, 1: 0.9}, {-1: 0.9, 0: 0.08, 1: 0.02}
+#: Share of the start in each estimate, so that rates behave alike at every size; and the least rate of bad votes of a rule
+#: on the kind that it stands for.
+_SHRINK, _CHANCE = 0.2, 0.5
 
 
 def _posterior(model: LabelModel, votes: tuple[int, ...]) -> dict[str, float]:
@@ -107,24 +112,35 @@ def _posterior(model: LabelModel, votes: tuple[int, ...]) -> dict[str, float]:
     return {k: w / total for k, w in weight.items()}
 
 
+def _rates(hits: dict[int, float], start: dict[int, float], own: bool) -> dict[int, float]:
+    """Shares of the votes, shrunk to the start; a rule that stands for the kind votes bad on half of it at least."""
+    total = sum(hits.values())
+    rates = {v: _SHRINK * start[v] + (1 - _SHRINK) * (h / total if total else start[v]) for v, h in hits.items()}
+    if own and rates[-1] < _CHANCE:
+        rates = {v: _CHANCE if v == -1 else r * (1 - _CHANCE) / (1 - rates[-1]) for v, r in rates.items()}
+    return rates
+
+
 def fit(patterns: list[tuple[tuple[int, ...], int]], names: list[str], rounds: int = 60) -> LabelModel:
     """Expectation-maximisation over the combinations of votes and their counts; there are at most 3 ** len(names).
 
     A document is good or bad in one of several kinds, one for each rule: junk comes in kinds that other rules pass, so
-    one class of bad documents would follow whichever rules agree most and turn the others round.
+    one class of bad documents would follow whichever rules agree most and turn the others round. All rates are
+    estimated, those of a rule on its own kind too, where it only has to beat chance. So a bad vote counts for as much as
+    the other rules' votes on such documents bear it out, and can be outvoted.
     """
-    typical = {-1: 0.02, 0: 0.08, 1: 0.9}
-    model = LabelModel(names, {GOOD: 0.8} | {n: 0.2 / len(names) for n in names}, {k: [dict(_ANCHOR if n == k else typical) for n in names] for k in (GOOD, *names)})
+    start = {k: [_OWN if n == k else _TYPICAL for n in names] for k in (GOOD, *names)}
+    model = LabelModel(names, {GOOD: 0.8} | {n: 0.2 / len(names) for n in names}, {k: [dict(r) for r in start[k]] for k in start})
     total = sum(n for _, n in patterns)
     for _ in range(rounds if total else 0):
         share = {k: 1.0 for k in model.shares}
-        hits = {k: [{v: 10 * typical[v] for v in (-1, 0, 1)} for _ in names] for k in model.shares}
+        hits = {k: [{-1: 0.0, 0: 0.0, 1: 0.0} for _ in names] for k in start}
         for votes, n in patterns:
             for k, p in _posterior(model, votes).items():
                 share[k] += n * p
                 for j, v in enumerate(votes):
                     hits[k][j][v] += n * p
-        rates = {k: [dict(_ANCHOR) if name == k else {v: h / sum(by.values()) for v, h in by.items()} for name, by in zip(names, hits[k], strict=True)] for k in hits}
+        rates = {k: [_rates(by, r, name == k) for name, by, r in zip(names, hits[k], start[k], strict=True)] for k in hits}
         model = LabelModel(names, {k: s / sum(share.values()) for k, s in share.items()}, rates)
     return model
 
@@ -149,7 +165,7 @@ def judge(docs: DataFrame) -> DataFrame:
     return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)).drop("_votes")
 
 
-SIGNALS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_letters", "n_upper"]
+SIGNALS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_letters", "n_upper", "n_stops"]
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
