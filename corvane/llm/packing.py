@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import keep, small_batches
+from corvane.llm.common import keep
 
 LENGTH, END = 2048, 1
 #: Pieces packed by one task; a shard leaves some sequences partly filled.
@@ -26,14 +26,15 @@ SHARD = 60_000
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 #: How the byte-level vocabulary splits texts; a fixed value.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_OTHER = re.compile(r"[^\x00-\u024f\u2010-\u203a]").search
+_OTHER = re.compile(r"[^\x00-\u024f\u2010-\u203a]|\s{5000}").search
 
 
 class Encoder:
     """Ids of texts by a byte-level vocabulary file of `tokenizers`.
 
     Texts in Latin letters go to tiktoken with the same vocabulary, which gives the same ids three times as fast; those
-    with other letters, or with the string of a special token, go to `tokenizers` itself.
+    with other letters, with the string of a special token, or with a run of 5,000 white spaces or more, which its
+    pattern would recurse on, go to `tokenizers` itself.
     """
 
     def __init__(self, path: str):
@@ -55,7 +56,10 @@ class Encoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFrame:
-    """The pieces of each row of `docs`: full sequences, then the rest; null text is empty and has the end id alone."""
+    """The pieces of each row of `docs`: full sequences, then the rest; null text is empty and has the end id alone.
+
+    A text of any length is encoded whole. A null doc_id stays null; columns besides doc_id and text are not read.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,7 +74,6 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH) -> DataFr
             frame = pd.DataFrame(out, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
             yield frame.astype({"doc_id": "Int64"})
 
-    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
 
 
