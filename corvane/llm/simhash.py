@@ -14,7 +14,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,6 +22,8 @@ from corvane.llm.common import keep
 from corvane.llm.components import components
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 3, 64
+#: Radius within which a stage of a pipeline drops near copies.
+STAGE_RADIUS = 4
 #: A bucket up to this size is compared within one task; larger ones take `_crowded_links`.
 BUCKET = 20_000
 _BLOCK = 1 << 16
@@ -163,6 +165,18 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) ->
     return links if hot is None else links.unionByName(_crowded_links(hot, masks, radius))
 
 
+def _named(prints: DataFrame, radius: int, bucket: int) -> DataFrame:
+    """(fp, component_id) of each fingerprint of (doc_id, fp) rows that have a doc_id.
+
+    Fingerprints are linked as nodes of their own: a doc_id that is repeated with several of them links none.
+    """
+    nodes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("least"))
+    moved = components(near_links(nodes.select("fp", F.col("fp").alias("rep")), radius, bucket), "a", "b")
+    roots = nodes.join(moved, nodes["fp"] == moved["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    least = roots.groupBy("root").agg(F.min("least").alias("component_id"))
+    return roots.join(least, "root").select("fp", "component_id")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """(doc_id, fp, component_id) for each row of `docs`: components of fingerprints linked within `radius` bits.
 
@@ -171,18 +185,27 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
     table gives an empty result. Other columns of `docs` are not read.
     """
     prints = keep(docs.select("doc_id", fingerprint("text").alias("fp")))
-    nodes = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    moved = components(near_links(nodes, radius, bucket), "a", "b")
-    named = nodes.join(moved, nodes["rep"] == moved["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
-
-
-def keep_one_of_each(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """`docs` with one document for each component: that of the smallest doc_id. Rows with a null doc_id stay."""
-    found = keep(near_duplicates(docs, radius).where("doc_id is not null").select("doc_id", "component_id"))
-    # the ids to drop grow with the corpus, so they are never broadcast: texts are dealt by doc_id, evenly
-    dropped = found.where("doc_id != component_id").select("doc_id").hint("shuffle_merge")
-    rest = docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
-    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return rest
-    return rest.where("doc_id is null").unionByName(rest.where("doc_id is not null").dropDuplicates(["doc_id"]))
+    return prints.join(_named(prints, radius, bucket), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one_of_each(docs: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
+    """`docs` with one row for each component: that of the smallest doc_id, and among its rows of the least text hash.
+
+    Rows are told apart by doc_id and text, so rows that share a doc_id are judged each by its own text; equal ones leave
+    one. Rows with a null doc_id stay. Null and empty texts are copies of each other. An empty table stays empty, and the
+    columns of `docs`, whatever their names, stay as they are.
+    """
+    text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
+    prints = keep(docs.select("doc_id", fingerprint("text").alias("fp"), text_hash).where("doc_id is not null"))
+    labelled = keep(prints.join(_named(prints, radius, BUCKET), "fp").select("doc_id", "text_hash", "component_id"))
+    # a row number within a component would gather a large one; its least row is summed up before the shuffle
+    first = labelled.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*", F.lit(True).alias("stays"))
+    judged = labelled.select("doc_id", "text_hash", F.lit(False).alias("stays")).unionByName(first)
+    judged = keep(judged.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count_if(~F.col("stays")).alias("n")))
+    # what is dropped grows with the corpus, so it is never broadcast: texts are dealt by doc_id and text, evenly
+    dropped = judged.where("not stays").select(F.col("doc_id").alias("id"), "text_hash").hint("shuffle_merge")
+    rest = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), text_hash).join(dropped, ["id", "text_hash"], "left_anti")
+    if not judged.where("n > 1").isEmpty():
+        nth = F.row_number().over(Window.partitionBy("id", "text_hash").orderBy("row"))
+        rest = rest.where("id is not null").withColumn("nth", nth).where("nth = 1").drop("nth").unionByName(rest.where("id is null"))
+    return rest.select("row.*")

@@ -88,3 +88,20 @@ def test_odd_tables(odd_docs, no_docs):
     assert kept.columns == odd_docs.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id is not null").collect()) == [1, 4, 6, 8] and kept.where("doc_id is null").count() == 2
     assert simhash.near_duplicates(no_docs).count() == 0 and simhash.keep_one_of_each(no_docs).count() == 0
+
+
+def test_rows_that_share_an_id_are_judged_by_their_texts(spark):
+    a, z = ("the quick brown fox jumps over a lazy dog again and again until it rests", "some other words that have nothing in common with those of the first text")
+    rows = [(1, a), (2, z), (2, a), (3, z), (4, "all on its own with words that nobody else has ever put in this order")]
+    kept = simhash.keep_one_of_each(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [rows[0], rows[1], rows[4]]
+    found = simhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["component_id"]) for r in found) == [(1, 1), (2, 1), (2, 2), (3, 2), (4, 4)]
+
+
+def test_stage_radius_and_clashing_columns(spark):
+    words = [f"w{i}" for i in range(60)]
+    rows = [(1, " ".join(words), 5, "a"), (2, " ".join(words), 6, "b"), (2, " ".join(words), 6, "b"), (None, " ".join(words), 7, "c")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp long, row string")
+    kept = simhash.keep_one_of_each(docs)
+    assert kept.columns == docs.columns and sorted(r["fp"] for r in kept.collect()) == [5, 7]
