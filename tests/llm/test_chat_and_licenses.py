@@ -1,4 +1,5 @@
 import hashlib
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,3 +52,27 @@ def test_licence_notices_and_odd_tables(spark, odd_docs, no_docs):
     found = licenses.scan(odd_docs, known)
     assert found.where("line = 0").count() == odd_docs.count() and found.where(F.col("license").isNotNull()).count() == 0
     assert licenses.scan(no_docs, known).count() == 0
+
+
+def test_licences_on_one_line(spark):
+    """Texts that don't name themselves are found on a line of a document as well."""
+    texts = [("ISC", licenses._ISC), ("BSD-2-Clause", licenses._BSD_GRANT + licenses._BSD_ITEMS + licenses._BSD_END), ("Zlib", licenses._ZLIB), ("Unlicense", licenses._UNLICENSE)]
+    docs = spark.createDataFrame([(i, f"A title\n\n{t}\nmore") for i, (_, t) in enumerate(texts)], "doc_id long, text string")
+    out = licenses.scan(docs, licenses.known_digests(spark)).where("line > 0").collect()
+    assert sorted((r["doc_id"], r["line"], r["license"]) for r in out) == [(i, 3, n) for i, (n, _) in enumerate(texts)]
+
+
+def test_whole_licence_files(spark):
+    """Files that the system has are found by digest, as they are and in other case, spacing and copyright lines."""
+    folder = Path("/usr/share/common-licenses")
+    files = {"GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "Apache-2.0": "Apache-2.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    have = [(f, n) for f, n in files.items() if (folder / f).exists()]
+    if not have:
+        pytest.skip("no licence files")
+    rows = []
+    for f, n in have:
+        text = (folder / f).read_text()
+        rows += [(n, text), (n, "Copyright (c) 2031 A Name\n" + text.upper().replace("\n", "\r\n  ")), (None, text + " but changed")]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    out = licenses.scan(docs, licenses.known_digests(spark)).where("line = 0").collect()
+    assert {r["doc_id"]: r["license"] for r in out} == {i: n for i, (n, _) in enumerate(rows)}
