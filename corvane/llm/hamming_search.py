@@ -1,109 +1,101 @@
-"""Exact top-k search over binary codes by incremental multi-index hashing.
+"""Exact top-k search over binary codes by incremental multi-index hashing, with DataFrame functions.
 
-A code is cut into segments with an index each. If two codes differ in fewer than segments * (r + 1) bits, they differ
-in at most r bits of some segment; so after radius r every code within segments * (r + 1) - 1 bits has been met. The
-radius grows until that bound covers the k-th best distance verified so far (Norouzi et al., 2012).
+A code is cut into segments, and one index of (segment, value) holds all codes. If two codes differ in fewer than
+segments * (r + 1) bits, they differ in at most r bits of some segment; so after radius r every code within
+segments * (r + 1) - 1 bits has been met. All queries grow their radius together, round by round, and each leaves once that
+bound covers the k-th best distance that it has verified (Norouzi, Punjani and Fleet, 2012).
 """
 
 from __future__ import annotations
 
-from itertools import combinations
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.llm.common import keep
+
 BITS, TOP = 64, 10
-#: Codes of one shard of the index, and queries that are run against it at once.
-SHARD, BLOCK = 8192, 2048
+#: Least and greatest bits of a segment; between them about one code for each value of a segment.
+NARROW, WIDE = 4, 16
 
 
 def sign_code(vector: Column) -> Column:
-    """64-bit code of a vector: bit i is 1 if element i is over zero; nulls, NaN and missing elements give 0."""
+    """64-bit code of a vector: bit i is 1 if element i is over zero; nulls, NaN and missing elements give 0.
+
+    A vector of more than 64 elements is an error, as its code would leave some of them out.
+    """
     bit = lambda x, i: F.when((x > 0) & ~F.isnan(x), F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))
-    return F.aggregate(F.transform(F.slice(F.coalesce(vector, F.array().cast("array<float>")), 1, BITS), bit), F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
-
-
-class SegmentIndex:
-    """Multi-index over an array of codes."""
-
-    def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        width = min(16, max(4, round(np.log2(max(len(codes), 2)))))  # about one code for each value of a segment
-        cuts = [*range(0, BITS, width), BITS]
-        self.segments = []
-        for lo, hi in zip(cuts, cuts[1:], strict=False):
-            value = ((codes >> np.uint64(lo)) & np.uint64((1 << hi - lo) - 1)).astype(np.int64)
-            order = np.argsort(value, kind="stable")
-            self.segments.append((lo, hi - lo, order, np.searchsorted(value[order], np.arange((1 << hi - lo) + 1))))
-        self.flips: dict[tuple[int, int], np.ndarray] = {}
-
-    def _probes(self, width: int, radius: int) -> np.ndarray:
-        if (width, radius) not in self.flips:
-            self.flips[width, radius] = np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
-        return self.flips[width, radius]
-
-    def search(self, query: np.uint64, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and distances of all codes not farther than the k-th nearest."""
-        seen = np.zeros(len(self.codes), bool)
-        met, distance = np.empty(0, np.int64), np.empty(0, np.int64)
-        for radius in range(BITS + 1):
-            for lo, width, order, start in self.segments:
-                if radius > width:
-                    continue
-                probe = (int(query) >> lo & (1 << width) - 1) ^ self._probes(width, radius)
-                size = start[probe + 1] - start[probe]
-                full = size > 0
-                first, size = start[probe[full]], size[full]
-                at = order[np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                at = at[~seen[at]]
-                seen[at] = True
-                met, distance = np.append(met, at), np.append(distance, np.bitwise_count(self.codes[at] ^ query).astype(np.int64))
-            covered = len(self.segments) * (radius + 1) - 1
-            if len(met) >= k and (worst := np.partition(distance, k - 1)[k - 1]) <= covered:
-                return met[distance <= worst], distance[distance <= worst]
-            if len(met) == len(self.codes):
-                break
-        return met, distance
-
-
-def top_k(queries: DataFrame, index: DataFrame, k: int = TOP, shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    bits = F.transform(F.coalesce(vector, F.array().cast("array<float>")), bit)
+    code = F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    return F.when(F.size(vector) > BITS, F.raise_error(F.lit(f"a vector has over {BITS} elements")).cast("long")).otherwise(code)
+
+
+def segments(codes: int) -> list[tuple[int, int]]:
+    """(lowest bit, number of bits) of the segments for an index of so many codes; they differ by one bit at most."""
+    n = -(-BITS // min(WIDE, max(NARROW, round(math.log2(max(codes, 2))))))
+    ends = [BITS * i // n for i in range(n + 1)]
+    return [(lo, hi - lo) for lo, hi in zip(ends, ends[1:], strict=False)]
+
+
+def _value(code: Column, segment: tuple[int, int]) -> Column:
+    lo, width = segment
+    return F.shiftrightunsigned(code, lo).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+
+
+def postings(codes: DataFrame, cut: list[tuple[int, int]]) -> DataFrame:
+    """(seg, value, code, ids) of each segment of each code."""
+    values = F.array(*(_value(F.col("code"), s) for s in cut))
+    return codes.select("code", "ids", F.posexplode(values).alias("seg", "value"))
+
+
+def candidates(asked: DataFrame, index: DataFrame, cut: list[tuple[int, int]], least: int, radius: int) -> DataFrame:
+    """(query, id, distance) of codes that are met at the radii from `least` to `radius` and not before, each once.
+
+    A pair is met first at its least segment distance, and there in the first segment that has it.
+    """
+    flips = {w: F.from_json(F.lit(str([x for x in range(1 << w) if least <= x.bit_count() <= radius])), "array<bigint>") for w in {w for _, w in cut}}
+
+    def near(i: int) -> Column:
+        own = _value(F.col("query"), cut[i])
+        return F.transform(flips[cut[i][1]], lambda f: F.struct(F.lit(i).alias("seg"), own.bitwiseXOR(f).alias("value")))
+
+    probe = [near(i) for i in range(len(cut))]
+    probes = asked.select("query", F.explode(F.concat(*probe)).alias("p")).select("query", "p.*")
+    pairs = probes.join(index, ["seg", "value"]).withColumn("differ", F.col("query").bitwiseXOR(F.col("code")))
+    pairs = pairs.withColumn("far", F.array(*(F.bit_count(_value(F.col("differ"), s)) for s in cut))).where(F.array_position("far", F.array_min("far")) == F.col("seg") + 1)
+    return pairs.select("query", F.explode("ids").alias("id"), F.bit_count("differ").alias("distance"))
+
+
+def top_k(queries: DataFrame, index: DataFrame, k: int = TOP) -> DataFrame:
     """The k codes of `index` nearest to each code of `queries`: (query_id, id, distance, rank), ties by id.
 
     Both have (id, code long). Rows with a null id or code take no part, and fewer than k rows are returned only where
     the index has fewer. Of the ids that share a code only the k smallest can be results, so each code keeps those; they
-    are found before the shuffle, and a very common code gathers nowhere. Queries with equal codes are searched once.
-    The index is dealt to shards and the query codes to blocks; each pair of them is searched by one task, whose size is fixed.
+    are found before the shuffle, and a very common code gathers nowhere. Queries with equal codes are searched once. Each
+    round joins the probes of the open queries with the one index and keeps k rows for each query, so what is carried on
+    doesn't grow; every round is a written table. An empty table on either side gives no row.
     """
     by_id = Window.partitionBy("code").orderBy("id")
-    kept = index.where("id is not null and code is not null").withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k).select("id", "code")
-    asked = queries.where("id is not null and code is not null").select("id", "code")
-    distinct = asked.select("code").distinct()
-    shards, blocks = max(1, -(-index.count() // shard)), max(1, -(-queries.count() // block))
-    dealt = lambda df, n, name: df.withColumn(name, F.pmod(F.xxhash64("code"), F.lit(n)).cast("int"))
-    parts = dealt(kept, shards, "shard").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    asks = dealt(distinct, blocks, "block").withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            rows = left.sort_values(["code", "id"], ignore_index=True)
-            codes, first, count = np.unique(rows["code"].to_numpy().view(np.uint64), return_index=True, return_counts=True)
-            order = np.argsort(rows["code"].to_numpy().view(np.uint64), kind="stable")  # unsigned, as `codes`
-            ids = rows["id"].to_numpy()[order]
-            first = np.cumsum(count) - count
-            segments = SegmentIndex(codes)
-            for code in right["code"].to_numpy():
-                at, distance = segments.search(np.int64(code).view(np.uint64), k)
-                size = count[at]
-                id_ = ids[np.repeat(first[at] - np.cumsum(size) + size, size) + np.arange(size.sum())]
-                far = np.repeat(distance, size)
-                best = np.lexsort((id_, far))[:k]
-                out.append(pd.DataFrame({"code": code, "id": id_[best], "distance": far[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"code": [], "id": [], "distance": []}, dtype="int64")
-
-    found = parts.groupBy("shard", "block").cogroup(asks.groupBy("shard", "block")).applyInPandas(run, "code long, id long, distance int")
-    order = Window.partitionBy("code").orderBy("distance", "id")
-    best = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return asked.withColumnRenamed("id", "query_id").distinct().join(best, "code").select("query_id", "id", "distance", "rank")
+    kept = index.where("id is not null and code is not null").withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k)
+    codes = keep(kept.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")))
+    asked = queries.where("id is not null and code is not null").select(F.col("id").alias("query_id"), F.col("code").alias("query")).distinct()
+    n, held = codes.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    cut, tasks = segments(n), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    have = keep(postings(codes, cut))
+    # few queries make many probes, so they are dealt to a fixed number of tasks
+    open_ = keep(asked.select("query").distinct().repartition(tasks, "query"))
+    best = open_.select("query", F.lit(0).cast("long").alias("id"), F.lit(0).alias("distance")).where("false")
+    order = Window.partitionBy("query").orderBy("distance", "id")
+    least = 0
+    for radius in range(1, max(w for _, w in cut) + 1):  # radius 0 alone hardly settles a query
+        if not n or open_.isEmpty():
+            break
+        met = best.select("query", "id", "distance").unionByName(candidates(open_.repartition(tasks, "query"), have, cut, least, radius))
+        least = radius + 1
+        best = keep(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
+        covered = len(cut) * (radius + 1) - 1
+        done = best.where((F.col("rank") == min(k, held)) & (F.col("distance") <= covered)).select("query")
+        open_ = keep(open_.join(done, "query", "left_anti"))
+    found = best if "rank" in best.columns else best.withColumn("rank", F.lit(0))
+    return asked.join(found, "query").select("query_id", "id", "distance", "rank")

@@ -20,7 +20,7 @@ def test_top_k_is_exact(spark, spread):
     code = lambda: rng.getrandbits(64) if spread == 64 else centres[rng.randrange(5)] ^ sum(1 << b for b in rng.sample(range(64), rng.randint(0, spread)))
     rows = [(i, code()) for i in range(700)]
     signed = spark.createDataFrame([(i, c - 2**64 if c >= 2**63 else c) for i, c in rows], "id long, code long")
-    out = hamming_search.top_k(signed.where("id % 50 = 0"), signed, k=7, shard=150, block=5).collect()
+    out = hamming_search.top_k(signed.where("id % 50 = 0"), signed, k=7).collect()
     assert {(r["query_id"], r["distance"], r["id"], r["rank"]) for r in out} == brute([x for x in rows if x[0] % 50 == 0], rows, 7)
 
 
@@ -35,6 +35,23 @@ def test_sign_code_and_nulls(spark):
     assert hamming_search.top_k(odd, odd).count() == 16
 
 
+def test_wide_vectors_are_refused(spark):
+    wide = spark.createDataFrame([(1, [1.0] * 65)], "id long, v array<float>")
+    with pytest.raises(Exception, match="over 64 elements"):
+        wide.select(hamming_search.sign_code(F.col("v"))).collect()
+
+
+def test_each_candidate_is_met_once_and_few_are(spark):
+    rng = random.Random(2)
+    rows = [(i, rng.getrandbits(64) - 2**63) for i in range(3000)]
+    codes = spark.createDataFrame([(c, [i]) for i, c in rows], "code long, ids array<long>")
+    cut = hamming_search.segments(len(rows))
+    index, asked = hamming_search.postings(codes, cut), spark.createDataFrame([(rows[k][1],) for k in range(5)], "query long")
+    met = [[(r["query"], r["id"]) for r in hamming_search.candidates(asked, index, cut, radius, radius).collect()] for radius in range(13)]
+    assert len({x for part in met for x in part}) == sum(map(len, met)) == 5 * len(rows)
+    assert sum(map(len, met[:3])) < 0.3 * 5 * len(rows)  # these radii cover 17 bits
+
+
 def words(rng, n):
     return " ".join("".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9))) for _ in range(n))
 
