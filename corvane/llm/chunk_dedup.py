@@ -3,8 +3,9 @@
 A gear hash rolls over the UTF-8 bytes of a text and depends on 16 bytes alone. A chunk ends where that hash is less than
 at the REACH places on either side, so chunks vary in length, every cut depends on the bytes around it and nothing else,
 and insertions shift no cut but those beside them (the local-extremum rule of Bjorner, Blass and Gurevich, 2010). From each
-cut on, chunks are joined until they hold LEAST bytes; these runs are deduplicated by a 128-bit digest. What shares a
-digest has LEAST bytes or more in common, and two texts with a common passage have the cuts within it in common.
+cut on, chunks are joined until they hold LEAST bytes; these runs are deduplicated by a 64-bit digest. What shares a
+digest has LEAST bytes or more in common, and two texts with a common passage have the cuts within it in common. A chance
+collision of digests is a single run, which is shorter than a passage.
 """
 
 from __future__ import annotations
@@ -20,13 +21,13 @@ from pyspark.sql import functions as F
 from corvane.llm.common import keep, table
 
 #: log2 of the bytes that the hash spans, places on either side that a cut is compared with, greatest length of a chunk.
-SPAN, REACH, MOST = 4, 12, 256
+SPAN, REACH, MOST = 4, 18, 256
 #: Bytes of a run at least, and of a repeated passage: so many words, or so many bytes where words are long.
-LEAST, WORDS, BYTES = 100, 30, 300
+LEAST, WORDS, BYTES = 100, 22, 300
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 9) for b in range(256)], np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNKS = "doc_id long, text_hash int, start int, length int, word int, words int, again boolean, hi long, lo long"
+CHUNKS = "doc_id long, text_hash int, start int, length int, word int, words int, again boolean, digest long"
 
 
 def _gear(data: np.ndarray) -> np.ndarray:
@@ -74,14 +75,14 @@ def runs(data: bytes, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
 
 
 def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """The compared runs of each text; hi and lo are the digest, `again` tells that an earlier run of the text has it.
+    """The compared runs of each text with their digests; `again` tells that an earlier run of the text has it.
 
     word is the number of words that begin before the run and words of those that begin in it. text_hash tells texts
     apart that share a doc_id. Rows with a null doc_id are left out.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_128_digest
+        digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             parts = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -92,11 +93,10 @@ def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 space = _SPACE[np.frombuffer(data, np.uint8)]
                 before = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]))])
                 found = [digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                seen: set[bytes] = set()
+                seen: set[int] = set()
                 again = [x in seen or seen.add(x) is not None for x in found]
-                halves = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
                 text_hash = np.int64(xxhash.xxh32_intdigest(data)).astype(np.int32)
-                parts.append(pd.DataFrame({"doc_id": doc_id, "text_hash": text_hash, "start": start, "length": end - start, "word": before[start], "words": before[end] - before[start], "again": again, "hi": halves[:, 0], "lo": halves[:, 1]}))
+                parts.append(pd.DataFrame({"doc_id": doc_id, "text_hash": text_hash, "start": start, "length": end - start, "word": before[start], "words": before[end] - before[start], "again": again, "digest": np.array(found, np.uint64).view(np.int64)}))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
@@ -111,8 +111,8 @@ def repeated_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
     all_ = keep(chunks(docs, least))
     once = F.when(~F.col("again"), F.xxhash64("doc_id", "text_hash"))
-    shared = all_.groupBy("hi", "lo").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(once).alias("n_texts"), F.bit_xor(once).alias("set_id"))
-    return all_.join(shared.where("first_id < last_id").drop("last_id"), ["hi", "lo"])
+    shared = all_.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(once).alias("n_texts"), F.bit_xor(once).alias("set_id"))
+    return all_.drop("again").join(shared.where("first_id < last_id").drop("last_id"), "digest")
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, words: int = WORDS, size: int = BYTES) -> DataFrame:
@@ -120,7 +120,7 @@ def repeated_passages(docs: DataFrame, least: int = LEAST, words: int = WORDS, s
 
     start and end are bytes of the UTF-8 text, end exclusive; a passage is covered by repeated runs that touch, and has
     `words` words or `size` bytes at least. A common passage is found but for the bytes before its first and after its
-    last cut, some 25 at either end. `parts` are its stretches that the same texts share, as (start, end, set_id, n_texts):
+    last cut, some 40 at either end. `parts` are its stretches that the same texts share, as (start, end, set_id, n_texts):
     two texts are linked if parts of theirs have a set_id in common, so no link is lost where a passage has many mates.
     first_id is the smallest doc_id that repeats a part of it, n_texts the most texts that share one, and later says that
     another document has it first. Null, empty and short texts have none; rows with a null doc_id are left out; equal rows
