@@ -184,9 +184,9 @@ def all_spans(docs: DataFrame) -> DataFrame:
     if terms is None:
         return found.withColumn("_term", none)
     words = docs.select(_key().alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
-    # written first, so that its size is known: texts are shuffled only if it is too large to broadcast
+    # its rows grow with the corpus, so it is never broadcast
     in_text = keep(words.join(terms, "term").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("_shares")))
-    found = found.withColumn("_key", _key()).join(in_text, "_key", "left")
+    found = found.withColumn("_key", _key()).join(in_text.hint("shuffle_merge"), "_key", "left")
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{Nd}])(?iu:"), F.array_join(F.map_keys("_shares"), "|"), F.lit(r")(?![\p{L}\p{Nd}])"))
     found = found.withColumn("_pattern", F.coalesce(pattern, F.lit("(?!)")))
     found = found.withColumn("_hits", F.when(F.col("_shares").isNotNull(), F.call_function("regexp_extract_all", text_or_empty(), F.col("_pattern"), F.lit(0))).otherwise(F.array().cast("array<string>")))
