@@ -2,13 +2,15 @@
 
 A code is cut into segments, and one index of (segment, value) holds all codes. If two codes differ in fewer than
 segments * (r + 1) bits, they differ in at most r bits of some segment; so after radius r every code within
-segments * (r + 1) - 1 bits has been met. All queries grow their radius together, round by round, and each leaves once that
-bound covers the k-th best distance that it has verified (Norouzi, Punjani and Fleet, 2012).
+segments * (r + 1) - 1 bits has been met; and once the first s segments have radius r and the others r - 1, every code
+within segments * r + s - 1 bits. All queries grow their radii together, round by round, and each leaves once that bound
+covers the k-th best distance that it has verified (Norouzi, Punjani and Fleet, 2012).
 """
 
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,8 +18,9 @@ from pyspark.sql import functions as F
 from corvane.llm.common import keep
 
 BITS, TOP = 64, 10
-#: Least and greatest bits of a segment; between them about one code for each value of a segment.
-NARROW, WIDE = 4, 16
+#: Least and greatest bits of a segment; between them about one code for each value of a segment. Narrow segments need few
+#: probes but meet a share of the index that grows with it.
+NARROW, WIDE = 16, 22
 
 
 def sign_code(vector: Column) -> Column:
@@ -49,21 +52,34 @@ def postings(codes: DataFrame, cut: list[tuple[int, int]]) -> DataFrame:
     return codes.select("code", "ids", F.posexplode(values).alias("seg", "value"))
 
 
-def candidates(asked: DataFrame, index: DataFrame, cut: list[tuple[int, int]], least: int, radius: int) -> DataFrame:
-    """(query, id, distance) of codes that are met at the radii from `least` to `radius` and not before, each once.
+def rounds(segments: int, widest: int) -> list[tuple[int, int, range]]:
+    """(least radius, radius, segments) of each round: small radii at once, large ones in halves of the segments."""
+    half = segments // 2
+    out = [(0, 1, range(segments)), (2, 2, range(segments))]  # radius 0 alone hardly settles a query
+    for r in range(3, widest + 1):
+        out += [(r, r, range(half)), (r, r, range(half, segments))]
+    return out
 
-    A pair is met first at its least segment distance, and there in the first segment that has it.
+
+def candidates(asked: DataFrame, index: DataFrame, cut: list[tuple[int, int]], least: int, radius: int, probed: range | None = None) -> DataFrame:
+    """(query, id, distance) of codes that the `probed` segments meet at the radii from `least` to `radius`, and none before.
+
+    A pair is met first at its least segment distance, and there in the first segment that has it. Where `asked` has the
+    k-th distance of a query so far as `worst`, codes beyond it are left out, as they can be no result.
     """
-    flips = {w: F.from_json(F.lit(str([x for x in range(1 << w) if least <= x.bit_count() <= radius])), "array<bigint>") for w in {w for _, w in cut}}
+    masks = lambda w: [sum(1 << i for i in c) for r in range(least, radius + 1) for c in combinations(range(w), r)]
+    flips = {w: F.from_json(F.lit(str(masks(w))), "array<bigint>") for w in {w for _, w in cut}}
 
     def near(i: int) -> Column:
         own = _value(F.col("query"), cut[i])
         return F.transform(flips[cut[i][1]], lambda f: F.struct(F.lit(i).alias("seg"), own.bitwiseXOR(f).alias("value")))
 
-    probe = [near(i) for i in range(len(cut))]
-    probes = asked.select("query", F.explode(F.concat(*probe)).alias("p")).select("query", "p.*")
-    pairs = probes.join(index, ["seg", "value"]).withColumn("differ", F.col("query").bitwiseXOR(F.col("code")))
-    pairs = pairs.withColumn("far", F.array(*(F.bit_count(_value(F.col("differ"), s)) for s in cut))).where(F.array_position("far", F.array_min("far")) == F.col("seg") + 1)
+    probe = [near(i) for i in (range(len(cut)) if probed is None else probed)]
+    asked = asked if "worst" in asked.columns else asked.withColumn("worst", F.lit(BITS))
+    probes = asked.select("query", "worst", F.explode(F.concat(*probe)).alias("p")).select("query", "worst", "p.*")
+    # never broadcast: what a query asks for is many rows, and its size isn't known beforehand
+    pairs = probes.join(index.hint("shuffle_merge"), ["seg", "value"]).withColumn("differ", F.col("query").bitwiseXOR(F.col("code")))
+    pairs = pairs.where(F.bit_count("differ") <= F.col("worst")).withColumn("far", F.array(*(F.bit_count(_value(F.col("differ"), s)) for s in cut))).where(F.array_position("far", F.array_min("far")) == F.col("seg") + 1)
     return pairs.select("query", F.explode("ids").alias("id"), F.bit_count("differ").alias("distance"))
 
 
@@ -84,18 +100,17 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = TOP) -> DataFrame:
     cut, tasks = segments(n), int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     have = keep(postings(codes, cut))
     # few queries make many probes, so they are dealt to a fixed number of tasks
-    open_ = keep(asked.select("query").distinct().repartition(tasks, "query"))
+    open_ = keep(asked.select("query", F.lit(BITS).alias("worst")).distinct().repartition(tasks, "query"))
     best = open_.select("query", F.lit(0).cast("long").alias("id"), F.lit(0).alias("distance")).where("false")
     order = Window.partitionBy("query").orderBy("distance", "id")
-    least = 0
-    for radius in range(1, max(w for _, w in cut) + 1):  # radius 0 alone hardly settles a query
+    for least, radius, probed in rounds(len(cut), max(w for _, w in cut)):
         if not n or open_.isEmpty():
             break
-        met = best.select("query", "id", "distance").unionByName(candidates(open_.repartition(tasks, "query"), have, cut, least, radius))
-        least = radius + 1
+        met = best.select("query", "id", "distance").unionByName(candidates(open_.repartition(tasks, "query"), have, cut, least, radius, probed))
         best = keep(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
-        covered = len(cut) * (radius + 1) - 1
-        done = best.where((F.col("rank") == min(k, held)) & (F.col("distance") <= covered)).select("query")
-        open_ = keep(open_.join(done, "query", "left_anti"))
+        covered = len(cut) * radius + probed[-1]
+        last = best.where(F.col("rank") == min(k, held)).select("query", F.col("distance").alias("last"))
+        open_ = open_.join(last, "query", "left").withColumn("worst", F.coalesce("last", "worst"))
+        open_ = keep(open_.where(F.col("last").isNull() | (F.col("last") > covered)).select("query", "worst"))
     found = best if "rank" in best.columns else best.withColumn("rank", F.lit(0))
     return asked.join(found, "query").select("query_id", "id", "distance", "rank")
