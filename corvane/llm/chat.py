@@ -73,7 +73,26 @@ def with_loss(formatted: DataFrame, role: str = "assistant") -> DataFrame:
     return formatted.withColumn("loss", F.transform(F.filter("turns", lambda t: t["role"] == role), lambda t: t["text"]))
 
 
+def loss_spans(formatted: DataFrame, role: str = "assistant") -> DataFrame:
+    """Adds `loss_spans`, the places (start, end) in `formatted` of what bears a loss: code points, end exclusive.
+
+    They hold texts as they are written, escapes included. A conversation without such a turn has none. Places are summed
+    up turn by turn, so a conversation of very many turns costs the square of their number.
+    """
+    parts = F.transform(F.filter(F.split("formatted", r"<\|im_start\|>"), lambda x, i: i > 0), lambda x: F.struct(F.substring_index(x, "\n", 1).alias("head"), F.length(x).alias("chars"), F.length(F.split(x, r"<\|im_end\|>\n", 2)[0]).alias("body")))
+
+    def step(acc, x):
+        start = acc["at"] + len(START) + F.length(x["head"]) + 1
+        span = F.struct(start.alias("start"), (acc["at"] + len(START) + x["body"]).alias("end"))
+        out = F.when(unescape(x["head"]) == role, F.concat(acc["out"], F.array(span))).otherwise(acc["out"])
+        return F.struct((acc["at"] + len(START) + x["chars"]).alias("at"), out.alias("out"))
+
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
+    return formatted.withColumn("loss_spans", F.aggregate(parts, zero, step, lambda acc: acc["out"]))
+
+
 def op10_chat_format(spark, sf_dir: str) -> DataFrame:
+    """All conversations and -1, read back from what was formatted; null roles and texts are empty, null ids are one."""
     from corvane.llm.common import table
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")

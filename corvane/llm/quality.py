@@ -169,5 +169,6 @@ SIGNALS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_re
 
 
 def op6_quality_rules(spark, sf_dir: str) -> DataFrame:
+    """Counts and verdict of every document; null and empty texts have no words and fail the base."""
     rows = judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality")

@@ -18,6 +18,7 @@ def tokenizer_path() -> str:
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document; null and empty texts score 0, and a null doc_id is never held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     rows = toxicity.score(docs, model)
@@ -26,20 +27,24 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents with their sequences; each row of a repeated doc_id has pieces of its own, a null text the end id."""
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document; null and empty texts have fingerprint zero and link like others."""
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document; null texts have size 0, null sources are one source, the last."""
     rows = mixing.plan(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nearest ten of each hundredth vector among all; null vectors have code 0, as no element of theirs is over zero."""
     codes = keep(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming_search.sign_code(F.col("embedding")).alias("code")))
     return hamming_search.top_k(codes.where("id % 100 = 0"), codes)
 

@@ -25,7 +25,7 @@ THRESHOLD = 0.7
 #: Sentences below this probability are no evidence.
 WEAK = 0.2
 #: Bounds of the training sample of each class: labelled rows, and characters of all its texts, the last one whole.
-SAMPLE_ROWS, SAMPLE_CHARS = 2500, 16_000_000
+SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8_000_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _CACHE = 300_000
@@ -150,7 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, sa
 
 
 def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataFrame:
-    """`docs` with the score of each whole text; null and empty texts score 0, as they have no sentence."""
+    """`docs` with `column`, the score of each whole text; null and empty texts score 0, as they have no sentence.
+
+    Texts of any length are read whole, rows are scored one by one, repeated ones alike, and an empty table stays empty.
+    A column of that name is replaced, the others stay.
+    """
 
     @F.pandas_udf("double")
     def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -162,7 +166,10 @@ def score(docs: DataFrame, model: ToxicityModel, column: str = "score") -> DataF
 
 
 def locate(docs: DataFrame, model: ToxicityModel, least: float = 0.5) -> DataFrame:
-    """`docs` with `offending`: places and scores of the sentences that score `least` or more."""
+    """`docs` with `offending`: places and scores of the sentences that score `least` or more; none for a null text.
+
+    A column of that name is replaced; rows and other columns stay.
+    """
 
     @F.pandas_udf("array<struct<start:int,end:int,score:double>>")
     def places(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -76,3 +76,11 @@ def test_whole_licence_files(spark):
     docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
     out = licenses.scan(docs, licenses.known_digests(spark)).where("line = 0").collect()
     assert {r["doc_id"]: r["license"] for r in out} == {i: n for i, (n, _) in enumerate(rows)}
+
+
+def test_loss_spans_hold_the_assistant_texts(spark):
+    rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a<|im_end|>b"), (1, 2, "user", ""), (1, 3, "assistant", "é\n"), (1, 4, "assistant", ""), (2, 0, "user", "x")]
+    done = chat.loss_spans(chat.with_loss(chat.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))))
+    out = {r["conv_id"]: r for r in done.collect()}
+    cut = [out[1]["formatted"][x["start"] : x["end"]] for x in out[1]["loss_spans"]]
+    assert cut == ["a%3C|im_end|>b", "é\n", ""] and out[1]["loss"] == ["a<|im_end|>b", "é\n", ""] and out[2]["loss_spans"] == []
