@@ -1,4 +1,10 @@
-"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next."""
+"""The corpus pipeline: five stages over `documents`, each written as Parquet and read again by the next.
+
+Every stage reads whole texts, takes null texts for empty ones (they pass the first stage, are near copies of each other
+in the second, hold nothing in the third, are never taken by the fourth) and keeps rows with a null doc_id. Repeated rows
+leave one in the second stage. Columns besides those of the last stage stay as they are, whatever their names, and an
+empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -7,14 +13,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from corvane.llm import mixing, packing, pii, simhash, toxicity
-from corvane.llm.common import shared_folder, table
+from corvane.llm.common import free_name, shared_folder, table
 from corvane.llm.queries import tokenizer_path
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold of toxicity."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_score").where(f"_score < {toxicity.THRESHOLD}").drop("_score")
+    column = free_name(docs, "_score")
+    return toxicity.score(docs, model, column).where(f"{column} < {toxicity.THRESHOLD}").drop(column)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
