@@ -8,8 +8,27 @@ from pyspark.sql import functions as F
 from corvane.functions import text as t
 
 UNIT_GAP, UNITS, MODULES = 48 * 3600, 3, 12
-NOISE = r"(?i)(?:^|/)(?:package-lock\.json|yarn\.lock|pnpm-lock\.yaml|go\.sum|cargo\.lock|poetry\.lock|gemfile\.lock|composer\.lock)$|(?:^|/)(?:vendor|node_modules|dist|build|target)/|\.(?:min\.js|map|pb\.go|lock|pem|key)$|(?:^|/)\.env|=>|credentials"
-CONVENTION = r"^(feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(\([^)]*\))?!?: "
+# Paths that are no work (lock files, vendored or generated trees, renames) or may hold secrets, by the whole
+# name, the start and end of the name in lower case, and the directory; and how a conventional subject begins.
+NOISE_NAMES = (
+    "go.sum", "package-lock.json", "yarn.lock", "pnpm-lock.yaml", "Cargo.lock", "poetry.lock", "composer.lock",
+    ".npmrc", ".netrc", ".pypirc", "id_rsa", "id_ed25519",
+)
+NOISE_STARTS = (".env", "credentials", "secret")
+NOISE_ENDS = (".pem", ".key", ".p12", ".pfx", ".keystore")
+NOISE_DIRS = ("vendor/", "node_modules/", "dist/", "build/", ".git/")
+RENAME = "=>"
+CONVENTION = r"^([a-z]+)(\([^)]*\))?!?: "
+
+
+def noisy(path: Column) -> Column:
+    """A path that tells nothing of the work on a repository, or whose contents must never be quoted."""
+    name = F.element_at(F.split(path, "/"), -1)
+    lower = F.lower(name)
+    out = path.contains(RENAME) | name.isin(*NOISE_NAMES)
+    for test in (*(lower.startswith(x) for x in NOISE_STARTS), *(lower.endswith(x) for x in NOISE_ENDS), *(F.concat(F.lit("/"), path).contains(f"/{x}") for x in NOISE_DIRS)):
+        out = out | test
+    return out
 
 
 def module_dir(path: Column) -> Column:
@@ -20,7 +39,7 @@ def module_dir(path: Column) -> Column:
 
 def churn(files: DataFrame, most: int = MODULES) -> DataFrame:
     """(repo, module, commits, lines) of the modules with the most commits; a commit counts once for a module."""
-    rows = files.where(~F.col("path").rlike(NOISE)).groupBy("repo", module_dir(F.col("path")).alias("module")).agg(F.countDistinct("sha").alias("commits"), F.sum(F.col("added") + F.col("deleted")).alias("lines"))
+    rows = files.where(~noisy(F.col("path"))).groupBy("repo", module_dir(F.col("path")).alias("module")).agg(F.countDistinct("sha").alias("commits"), F.sum(F.col("added") + F.col("deleted")).alias("lines"))
     nth = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("commits"), "module"))
     return rows.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
 

@@ -511,7 +511,7 @@ def module_churn(spark, d):
 
 
 @query("""SELECT prefix, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (
-  SELECT regexp_extract(CASE o_orderkey % 4 WHEN 0 THEN 'feat(x): ' WHEN 1 THEN 'fix: ' WHEN 2 THEN 'docs!: ' ELSE 'misc ' END || o_orderpriority, '^(feat|fix|docs|style|refactor|perf|test|build|ci|chore|revert)(\\([^)]*\\))?!?: ', 1) AS prefix FROM orders) GROUP BY prefix""".replace("\\\\", "\\"))
+  SELECT regexp_extract(CASE o_orderkey % 4 WHEN 0 THEN 'feat(x): ' WHEN 1 THEN 'fix: ' WHEN 2 THEN 'docs!: ' ELSE 'misc ' END || o_orderpriority, '^([a-z]+)(\\([^)]*\\))?!?: ', 1) AS prefix FROM orders) GROUP BY prefix""".replace("\\\\", "\\"))
 def commit_conventions(spark, d):
     k = F.col("o_orderkey") % 4
     subject = F.concat(F.when(k == 0, "feat(x): ").when(k == 1, "fix: ").when(k == 2, "docs!: ").otherwise("misc "), "o_orderpriority")
