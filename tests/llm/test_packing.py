@@ -95,3 +95,13 @@ def test_shards(spark, sf, encoder):
     rows = packing.pack(docs, tokenizer_path(), shard=50).collect()
     check(rows, {r["doc_id"]: r["text"] for r in docs.collect()}, encoder)
     assert len({r["sequence_id"] >> 40 for r in rows}) > 3
+
+
+def test_long_runs_of_white_space_are_encoded():
+    """Its pattern recurses on them, so they never go to tiktoken; shorter runs give the same ids on both ways."""
+    from corvane.llm.queries import tokenizer_path
+
+    encoder = packing.Encoder(tokenizer_path())
+    for text in (" " * 4999 + "x", "a" + " \n\t" * 1666, " " * 20_000 + "b", "x" + "\u00a0" * 6000):
+        assert encoder.encode(text) == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+    assert len(encoder.encode(" " * 1_000_000)) > 1000

@@ -1,8 +1,27 @@
 from collections import Counter
 
+import numpy as np
+
 import corpus_pipeline
 from corvane.llm import pii, simhash
 from corvane.llm.queries import op5_packing
+from tests.llm.test_simhash import brute_print
+
+
+def plain_groups(texts, radius):
+    """doc_id -> smallest doc_id reachable over fingerprints within the radius, all compared with all."""
+    ids = sorted(texts)
+    prints = np.array([brute_print(texts[i]) for i in ids], np.uint64)
+    group, left = {}, set(range(len(ids)))
+    for k in range(len(ids)):
+        reached = [k] if k in left else []
+        left -= set(reached)
+        for at in reached:
+            near = left & set(np.flatnonzero(np.bitwise_count(prints ^ prints[at]) <= radius).tolist())
+            left -= near
+            reached += sorted(near)
+        group |= {ids[at]: ids[k] for at in reached}
+    return group
 
 
 def test_stages_take_effect(spark):
@@ -20,7 +39,7 @@ def test_stages_take_effect(spark):
     assert sum(i in kept for i, t in labels.items() if t == 1) <= 0.2 * sum(t == 1 for t in labels.values())
 
     single = stage["simhash_near_dedup"](spark, clean, d).cache()
-    groups = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(clean).collect()}
+    groups = plain_groups({r["doc_id"]: r["text"] for r in clean.collect()}, simhash.STAGE_RADIUS)
     assert single.columns == columns and {r["doc_id"] for r in single.collect()} == set(groups.values())
 
     safe = stage["pii"](spark, single, d).cache()
