@@ -53,10 +53,13 @@ def conventions(commits: DataFrame) -> DataFrame:
 def work_units(commits: DataFrame, gap: int = UNIT_GAP, most: int = UNITS) -> DataFrame:
     """(repo, branch, nth, n, start, end, dirs): the largest runs of commits that follow within two days and share a directory.
 
-    commits: repo, branch, sha, time (seconds), dirs. The unit a commit joins depends on all commits before it, so the
-    fold runs over the ordered commits of one branch.
+    commits: repo, branch, sha, time (seconds), dirs. Whatever its directories are, no unit reaches across a longer gap, so
+    branches are cut there first; the fold then runs over one busy stretch of a branch, not over its whole history.
     """
-    ordered = commits.where(F.size("dirs") > 0).groupBy("repo", "branch").agg(F.sort_array(F.collect_list(F.struct("time", "sha", "dirs"))).alias("c"))
+    order = Window.partitionBy("repo", "branch").orderBy("time", "sha")
+    cut = F.coalesce(F.col("time") - F.lag("time").over(order) > gap, F.lit(True)).cast("long")
+    stretches = commits.where(F.size("dirs") > 0).withColumn("cut", cut).withColumn("stretch", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    ordered = stretches.groupBy("repo", "branch", "stretch").agg(F.sort_array(F.collect_list(F.struct("time", "sha", "dirs"))).alias("c"))
     unit = "struct<start:bigint,end:bigint,n:int,dirs:array<string>>"
     state = F.struct(F.array().cast(f"array<{unit}>").alias("done"), F.lit(None).cast(unit).alias("open"))
 
@@ -70,7 +73,7 @@ def work_units(commits: DataFrame, gap: int = UNIT_GAP, most: int = UNITS) -> Da
         return F.struct(done.alias("done"), F.when(joins, grown).otherwise(begin(c)).alias("open"))
 
     units = ordered.select("repo", "branch", F.explode(F.aggregate("c", state, step, lambda a: F.concat(a["done"], F.array(a["open"])))).alias("u"))
-    nth = F.row_number().over(Window.partitionBy("repo", "branch").orderBy(F.desc("u.n"), "u.start"))
+    nth = F.row_number().over(Window.partitionBy("repo", "branch").orderBy(F.desc("u.n"), "u.start", F.array_sort("u.dirs")))
     rows = units.withColumn("nth", nth).where(F.col("nth") <= most)
     return rows.select("repo", "branch", "nth", "u.n", "u.start", "u.end", F.array_sort("u.dirs").alias("dirs"))
 

@@ -6,10 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
+from corvane.operators import retrieve
 from corvane.operators.feedback import CREDIT
 
 COSINE_DUP, COSINE_NEAR, JACCARD_DUP, JACCARD_NEAR = 0.92, 0.78, 0.60, 0.40
 GROUP_ROWS, GROUP_SESSIONS = 3, 2
+#: A term is common if it makes up this share of all terms; so there are at most 20,000 of them, whatever the cards.
+COMMON = 1 / 20_000
 CAPS = {"rule": 3, "lesson": 5, "pattern": 2}
 
 
@@ -40,17 +43,22 @@ def best_match(candidates: DataFrame, existing: DataFrame, near: float = JACCARD
     """(id, match, similarity, verdict) of each candidate against the existing cards of its type.
 
     Below `near` the verdict is new whatever the best is, and sets at least that alike share a term among the first
-    n - ceil(near n) + 1 of each in one fixed order; so the join is on those terms, and no type is paired with itself.
+    n - ceil(near n) + 1 of each in one fixed order; so the join is on those terms, and no type is paired with itself. The
+    order puts common terms last, so that those seldom become keys of the join.
     """
+    words = t.terms(F.concat_ws(" ", "title", "summary"))
+    a, b = (rows.select("id", "type", words.alias("terms")) for rows in (candidates, existing.where("status != 'retired'")))
+    counted = b.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    total = b.agg(F.sum(F.size("terms"))).first()[0] or 0
+    common = F.broadcast(counted.where(F.col("df") > total * COMMON))
 
     def head(rows: DataFrame) -> DataFrame:
-        sized = rows.select("id", "type", t.terms(F.concat_ws(" ", "title", "summary")).alias("terms"))
-        ordered = F.transform(F.array_sort(F.transform("terms", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
-        return sized.withColumn("head", F.slice(ordered, F.lit(1), (F.size("terms") - F.ceil(near * F.size("terms") - 1e-9) + 1).cast("int")))
+        most = (F.size("terms") - F.ceil(near * F.size("terms") - 1e-9) + 1).cast("int")
+        every = rows.select("id", "type", most.alias("most"), F.explode("terms").alias("term")).join(common, "term", "left")
+        nth = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("df", F.lit(0)), F.xxhash64("term"), "term"))
+        return every.withColumn("nth", nth).where(F.col("nth") <= F.col("most")).select("id", "type", "term")
 
-    a, b = head(candidates), head(existing.where("status != 'retired'"))
-    left = a.select("id", "type", F.explode("head").alias("term"))
-    right = b.select(F.col("id").alias("match"), "type", F.explode("head").alias("term"))
+    left, right = head(a), head(b).withColumnRenamed("id", "match")
     pairs = left.join(right, ["type", "term"]).where("id != match").select("id", "match").distinct()
     alike = pairs.join(a.select("id", F.col("terms").alias("x")), "id").join(b.select(F.col("id").alias("match"), F.col("terms").alias("y")), "match")
     alike = alike.select("id", "match", F.round(t.jaccard(F.col("x"), F.col("y")), 6).alias("similarity"))
@@ -59,6 +67,29 @@ def best_match(candidates: DataFrame, existing: DataFrame, near: float = JACCARD
     return candidates.select("id").join(best, "id", "left").withColumn("verdict", verdict(F.coalesce("similarity", F.lit(0.0)), near=near))
 
 
+def semantic_match(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """(id, match, similarity) of each candidate with a vector: the nearest other card of its type that has one.
+
+    The candidates are the queries of a blocked search, so each shard of cards meets each block of them once.
+    """
+    asked = candidates.select("id", "type", "vec").toDF("query_id", "type", "vec")
+    found = retrieve.cosine_top(existing.where("status != 'retired'"), asked, 2, within="type").where("query_id != id")
+    best = found.groupBy(F.col("query_id").alias("id")).agg(F.min_by(F.struct("id", "cosine"), "cosine_rank").alias("b"))
+    return best.select("id", F.col("b.id").alias("match"), F.round("b.cosine", 6).alias("similarity"))
+
+
+def find_match(candidates: DataFrame, existing: DataFrame) -> DataFrame:
+    """(id, match, similarity, verdict, path): by vectors where the candidate and a card of its type have them, else by terms.
+
+    A new candidate has no match, whichever path judged it. Candidates without a vector take the second path.
+    """
+    near = semantic_match(candidates, existing).withColumn("verdict", verdict(F.col("similarity"), COSINE_DUP, COSINE_NEAR))
+    kept = F.col("verdict") != "new"
+    near = near.select("id", F.when(kept, F.col("match")).alias("match"), F.when(kept, F.col("similarity")).alias("similarity"), "verdict", F.lit("cosine").alias("path"))
+    rest = candidates.join(near.select("id"), "id", "left_anti")
+    return near.unionByName(best_match(rest, existing).withColumn("path", F.lit("terms")))
+
+
 def style_groups(observations: DataFrame) -> DataFrame:
     """(repo, dimension, n, sessions) of habits seen three times or more in two sessions or more."""
     dim = F.lower(F.trim("dimension")).alias("dimension")
@@ -79,10 +110,20 @@ def capped_candidates(rows: DataFrame, caps: dict[str, int] = CAPS) -> DataFrame
 
 
 def spend_cap(calls: DataFrame, most_calls: int, most_usd: float) -> DataFrame:
-    """Calls with `allowed`: what their day had spent before them is under both caps."""
-    before = Window.partitionBy(F.to_date("ts")).orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, -1)
-    usd = F.coalesce(F.sum("usd").over(before), F.lit(0.0))
-    return calls.withColumn("allowed", (F.count("*").over(before) < most_calls) & (F.round(usd, 6) < most_usd))
+    """Calls with `allowed`: what their day had spent before them is under both caps.
+
+    A day is summed up by minutes first: what went before is that of earlier minutes (one window over at most 1,440 rows
+    of a day) and of earlier calls of the minute. So no task holds the calls of a day. Calls without a time share a day.
+    """
+    timed = calls.withColumns({"_day": F.coalesce(F.to_date("ts").cast("string"), F.lit("")), "_minute": F.coalesce(F.unix_seconds(F.date_trunc("minute", F.col("ts").cast("timestamp"))), F.lit(0))})
+    minutes = timed.groupBy("_day", "_minute").agg(F.count("*").alias("_n"), F.coalesce(F.sum("usd"), F.lit(0.0)).alias("_usd"))
+    earlier = Window.partitionBy("_day").orderBy("_minute").rowsBetween(Window.unboundedPreceding, -1)
+    past = lambda c, w: F.coalesce(F.sum(c).over(w), F.lit(0))
+    minutes = minutes.select("_day", "_minute", past("_n", earlier).alias("_calls_before"), past("_usd", earlier).alias("_usd_before"))
+    within = Window.partitionBy("_day", "_minute").orderBy("ts", "call_id").rowsBetween(Window.unboundedPreceding, -1)
+    rows = timed.join(minutes, ["_day", "_minute"])
+    fewer = F.col("_calls_before") + F.count("*").over(within) < most_calls
+    return rows.withColumn("allowed", fewer & (F.round(F.col("_usd_before") + past("usd", within), 6) < most_usd)).select(*calls.columns, "allowed")
 
 
 def merged_lessons(lessons: DataFrame, cards: DataFrame, least: float = JACCARD_DUP) -> DataFrame:

@@ -17,21 +17,23 @@ RRF, COSINE_DEPTH, COSINE_FLOOR, CANDIDATES, PINS, LOST_PIN, TRIGGER = 60.0, 50,
 QUERY_BLOCK, CARD_SHARD, _STEP = 4096, 10_000, 256
 
 
-def cosine_top(cards: DataFrame, queries: DataFrame, depth: int = COSINE_DEPTH) -> DataFrame:
-    """(query_id, id, cosine, cosine_rank): the nearest `depth` cards of each query.
+def cosine_top(cards: DataFrame, queries: DataFrame, depth: int = COSINE_DEPTH, within: str | None = None) -> DataFrame:
+    """(query_id, id, cosine, cosine_rank): the nearest `depth` cards of each query, among those of its `within` if given.
 
     Queries are dealt to blocks and cards to shards, as columns. Each shard meets each block in one task, in matrix
     products, and keeps its own best for each query; their merge decides. So no number of queries is too large, and the
     shuffle holds `depth` rows for a shard and query, not all pairs.
     """
-    asked, had = queries.where("vec is not null").select("query_id", "vec"), cards.where("vec is not null").select("id", "vec")
+    same = [within] if within else []
+    asked, had = queries.where("vec is not null").select("query_id", "vec", *same), cards.where("vec is not null").select("id", "vec", *same)
+    id_type = queries.schema["query_id"].dataType.simpleString()
     blocks, shards = (max(1, -(-df.count() // most)) for df, most in ((asked, QUERY_BLOCK), (had, CARD_SHARD)))
 
     def dealt(df: DataFrame, key: str, own: str, n: int, other: str, m: int) -> DataFrame:
         return df.withColumn(own, F.pmod(F.xxhash64(key), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
 
     def best(card_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
-        out = [pd.DataFrame({"query_id": np.empty(0, np.int64), "id": np.empty(0, object), "cosine": np.empty(0)})]
+        out = [pd.DataFrame({"query_id": query_rows["query_id"].head(0), "id": np.empty(0, object), "cosine": np.empty(0)})]
         for size in set(query_rows["vec"].map(len)) & set(card_rows["vec"].map(len)):
             c, q = card_rows[card_rows["vec"].map(len) == size], query_rows[query_rows["vec"].map(len) == size]
             card_ids, matrix = c["id"].to_numpy(), np.stack(c["vec"].to_numpy()).astype(np.float64)
@@ -43,9 +45,9 @@ def cosine_top(cards: DataFrame, queries: DataFrame, depth: int = COSINE_DEPTH)
                     out.append(pd.DataFrame({"query_id": query_id, "id": card_ids[top], "cosine": near[top, k]}))
         return pd.concat(out[1:] or out, ignore_index=True)
 
-    left = dealt(had, "id", "shard", shards, "block", blocks).groupBy("shard", "block")
-    right = dealt(asked, "query_id", "block", blocks, "shard", shards).groupBy("shard", "block")
-    found = left.cogroup(right).applyInPandas(best, "query_id long, id string, cosine double")
+    left = dealt(had, "id", "shard", shards, "block", blocks).groupBy("shard", "block", *same)
+    right = dealt(asked, "query_id", "block", blocks, "shard", shards).groupBy("shard", "block", *same)
+    found = left.cogroup(right).applyInPandas(best, f"query_id {id_type}, id string, cosine double")
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id")
     return found.withColumn("cosine_rank", F.row_number().over(order)).where(F.col("cosine_rank") <= depth)
 

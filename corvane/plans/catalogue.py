@@ -495,6 +495,21 @@ def near_dup_match(spark, d):
     return learning.best_match(cards.where("status = 'candidate'"), cards)
 
 
+@query(
+    _with(CARDS, f"t AS (SELECT id, type, status, vec, {sql_terms("title || ' ' || summary")} AS terms FROM cards)")
+    + f""", near AS (SELECT x.id, y.id AS match, round({_DOT.format(x='x.vec', y='y.vec')}, 6) AS similarity FROM t x JOIN t y ON x.type = y.type AND x.id <> y.id WHERE x.status = 'candidate' AND y.status <> 'retired' AND x.vec IS NOT NULL AND y.vec IS NOT NULL),
+by_vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, match) AS r FROM near) WHERE r = 1),
+alike AS (SELECT x.id, y.id AS match, round({sql_jaccard('x.terms', 'y.terms')}, 6) AS similarity FROM t x JOIN t y ON x.type = y.type AND x.id <> y.id WHERE x.status = 'candidate' AND y.status <> 'retired' AND x.id NOT IN (SELECT id FROM by_vec)),
+by_terms AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, match) AS r FROM alike) WHERE r = 1 AND similarity >= 0.4)
+SELECT id, CASE WHEN similarity >= 0.78 THEN match END AS match, CASE WHEN similarity >= 0.78 THEN similarity END AS similarity, CASE WHEN similarity >= 0.92 THEN 'dup' WHEN similarity >= 0.78 THEN 'near' ELSE 'new' END AS verdict, 'cosine' AS path FROM by_vec
+UNION ALL SELECT t.id, match, similarity, CASE WHEN similarity >= 0.6 THEN 'dup' WHEN similarity >= 0.4 THEN 'near' ELSE 'new' END, 'terms' FROM t LEFT JOIN by_terms USING (id) WHERE status = 'candidate' AND t.id NOT IN (SELECT id FROM by_vec)"""
+)
+def candidate_match(spark, d):
+    """Candidates by vectors, and by terms where they have none."""
+    cards = a.cards(spark, d, vectors=True)
+    return learning.find_match(cards.where("status = 'candidate'"), cards)
+
+
 @query(_with(INJ) + "SELECT cwd AS repo, lower(event) AS dimension, count(*) AS n, count(DISTINCT session_id) AS sessions FROM inj GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT session_id) >= 2")
 def style_groups(spark, d):
     return learning.style_groups(a.observations(spark, d))
@@ -518,7 +533,16 @@ def commit_conventions(spark, d):
     return history.conventions(a.table(spark, d, "orders").select(subject.alias("subject")))
 
 
-@query()
+@query("""WITH RECURSIVE f AS (SELECT o_custkey AS repo, o_orderstatus AS branch, o_orderkey::VARCHAR AS sha, epoch(o_orderdate)::BIGINT AS time, list_sort(list(DISTINCT p_brand)) AS dirs
+  FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY ALL),
+c AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY repo, branch ORDER BY time, sha) AS k FROM f),
+r AS (SELECT repo, branch, k, time, time AS start, dirs FROM c WHERE k = 1
+  UNION ALL SELECT c.repo, c.branch, c.k, c.time, CASE WHEN j THEN c.was ELSE c.time END, CASE WHEN j THEN list_distinct(list_concat(c.had, c.dirs)) ELSE c.dirs END FROM (
+    SELECT c.*, r.start AS was, r.dirs AS had, c.time - r.time <= 90 * 86400 AND list_has_any(r.dirs, c.dirs) AS j FROM r JOIN c ON c.repo = r.repo AND c.branch = r.branch AND c.k = r.k + 1) c),
+u AS (SELECT repo, branch, new AS first, count(*)::INTEGER AS n, min(time) AS start, max(time) AS "end", list_sort(list_distinct(flatten(list(dirs)))) AS dirs FROM (
+  SELECT *, count(*) FILTER (begins) OVER (PARTITION BY repo, branch ORDER BY k) AS new FROM (
+    SELECT *, coalesce(start <> lag(start) OVER w OR len(dirs) < lag(len(dirs)) OVER w OR NOT list_has_all(dirs, lag(dirs) OVER w), TRUE) AS begins FROM r WINDOW w AS (PARTITION BY repo, branch ORDER BY k))) GROUP BY ALL)
+SELECT repo, branch, nth::INTEGER AS nth, n, start, "end", dirs FROM (SELECT *, row_number() OVER (PARTITION BY repo, branch ORDER BY n DESC, start, dirs) AS nth FROM u) WHERE nth <= 3""")
 def work_units(spark, d):
     return history.work_units(a.commits(spark, d), gap=90 * 86_400)
 
