@@ -111,3 +111,35 @@ def trend(days: DataFrame) -> DataFrame:
 
 def human(tokens: Column) -> Column:
     return t.human_tokens(tokens)
+
+
+def top_scores(stats: DataFrame, score: Column, most: int = 3, least: float = 0.5) -> DataFrame:
+    """(card_id, score): the best `most` cards that score `least` or more; ties by id."""
+    rows = stats.select("card_id", F.round(score, 6).alias("score")).where(F.col("score") >= least)
+    return rows.orderBy(F.desc("score"), "card_id").limit(most)
+
+
+def effectiveness_report(verdicts: DataFrame, usage: DataFrame) -> DataFrame:
+    """(bucket, card_id, pull_rate, tokens) of judged cards, by bucket: by pull rate and tokens, expensive ones by tokens."""
+    rows = verdicts.where("bucket != 'uncertain'").join(usage.select("card_id", "tokens"), "card_id", "left").fillna(0, ["tokens"])
+    rate = F.when(F.col("bucket") == "expensive", 0.0).otherwise(F.col("pull_rate"))
+    return rows.orderBy("bucket", F.desc(rate), F.desc("tokens"), "card_id").select("bucket", "card_id", "pull_rate", "tokens")
+
+
+def cards_by_use(cards: DataFrame, stats: DataFrame, usage: DataFrame) -> DataFrame:
+    """(id, index_seq, injected): all cards, the most delivered first, then as indexed."""
+    rows = cards.select("id", "index_seq").join(stats.select(F.col("card_id").alias("id"), F.round("injected").cast("long").alias("a")), "id", "left")
+    rows = rows.join(usage.select(F.col("card_id").alias("id"), F.col("injections").alias("b")), "id", "left")
+    injected = F.greatest(F.coalesce("a", F.lit(0)), F.coalesce("b", F.lit(0))).alias("injected")
+    return rows.select("id", "index_seq", injected).orderBy(F.desc("injected"), "index_seq")
+
+
+def review_queue(cards: DataFrame) -> DataFrame:
+    """Candidates, the newest first."""
+    return cards.where("status = 'candidate'").orderBy(F.desc("index_seq"))
+
+
+def newest_jobs(jobs: DataFrame, most: int = 50) -> DataFrame:
+    """The newest `most` jobs; all if that is negative."""
+    ordered = jobs.orderBy(F.desc("created"), "job_id")
+    return ordered if most < 0 else ordered.limit(most)

@@ -69,3 +69,18 @@ def abandoned_pointers(injections: DataFrame, expanded: DataFrame) -> DataFrame:
 def penalties(abandoned: DataFrame, ended: Column) -> DataFrame:
     """Feedback rows for abandoned pointers."""
     return abandoned.select("card_id", F.lit("downvoted").alias("kind"), F.lit(PENALTY).alias("delta"), ended.alias("ts"))
+
+
+def folded(stats: DataFrame, as_of: Column, new: DataFrame, now: Column) -> DataFrame:
+    """The counters of `stats`, as of a time, decayed to `now` and raised by new feedback.
+
+    So a run reads the last snapshot and what came since, not the whole log. Feedback of another kind counts nothing.
+    """
+    old = stats.select("card_id", *(F.coalesce(F.col(k) * decay(as_of, now), F.lit(0.0)).alias(k) for k in KINDS))
+    rows = old.unionByName(decayed_stats(new, now))
+    return rows.groupBy("card_id").agg(*(F.sum(k).alias(k) for k in KINDS))
+
+
+def expansions(found: DataFrame, ts: Column) -> DataFrame:
+    """Feedback rows for cards that were asked for in full."""
+    return found.select(F.col("id").alias("card_id"), F.lit("expanded").alias("kind"), F.lit(1.0).alias("delta"), ts.alias("ts"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.history import line_delta
+
 
 def sync_plan(files: DataFrame, state: DataFrame) -> DataFrame:
     """(path, action): insert, update, delete or keep, by the fingerprint of size and time."""
@@ -66,3 +68,54 @@ def reset_session(injections: DataFrame, resets: DataFrame) -> DataFrame:
     """The log without rows of a session from before its last reset."""
     last = resets.groupBy("session_id").agg(F.max("ts").alias("reset_at"))
     return injections.join(last, "session_id", "left").where("reset_at is null or ts >= reset_at").drop("reset_at")
+
+
+def retained(log: DataFrame, now: Column, days: int) -> DataFrame:
+    """The rows of a log that are no older than `days`; rows without a time go."""
+    return log.where(F.col("ts") >= now - F.make_dt_interval(F.lit(days)))
+
+
+def staged_apply(staged: DataFrame, live: DataFrame, force: bool = False) -> DataFrame:
+    """(path, outcome, added, removed): what applying reviewed files does, by path and content.
+
+    Files under `residual/` are never applied. A live file with other content is a conflict, with the lines that the staged
+    one adds and removes, unless `force`; equal content counts as applied.
+    """
+    rows = staged.select("path", F.col("content").alias("new")).join(live.select("path", F.col("content").alias("old")), "path", "left")
+    clash = F.col("old").isNotNull() & (F.col("old") != F.col("new")) & F.lit(not force)
+    outcome = F.when(F.startswith("path", F.lit("residual/")), "residual").when(clash, "conflict").otherwise("applied")
+    added, removed = line_delta(F.col("old"), F.col("new"))
+    rows = rows.withColumn("outcome", outcome)
+    shown = F.col("outcome") == "conflict"
+    return rows.select("path", "outcome", F.when(shown, added).alias("added"), F.when(shown, removed).alias("removed"))
+
+
+def residuals(staged: DataFrame, repos: DataFrame, files: DataFrame, suffix: str = ".CLAUDE.md", name: str = "CLAUDE.md") -> DataFrame:
+    """(path, repo, repo_path, missing) of staged residual files, with the watched repository of that base name, if any.
+
+    repos: repo_path; files: path of the files that repositories have. Of repositories with one base name the last by path counts.
+    """
+    base = lambda c: F.element_at(F.split(c, "/"), -1)
+    rows = staged.where(F.startswith("path", F.lit("residual/"))).select("path", base(F.col("path")).alias("repo"))
+    rows = rows.withColumn("repo", F.when(F.endswith("repo", F.lit(suffix)), F.expr(f"left(repo, length(repo) - {len(suffix)})")).otherwise(F.col("repo")))
+    known = repos.groupBy(base(F.col("repo_path")).alias("repo")).agg(F.max("repo_path").alias("repo_path"))
+    have = files.where(F.endswith("path", F.lit("/" + name))).select(F.expr(f"left(path, length(path) - {len(name) + 1})").alias("repo_path"), F.lit(True).alias("has")).distinct()
+    return rows.join(known, "repo", "left").join(have, "repo_path", "left").select("path", "repo", "repo_path", F.col("has").isNull().alias("missing"))
+
+
+def by_reference(cards: DataFrame, asked: DataFrame) -> DataFrame:
+    """Cards that an `asked` (ref) names by id or by short id; an id wins over another card's equal short id.
+
+    Each card is listed under both names, so the lookup is one equi-join.
+    """
+    names = cards.select("*", F.explode(F.array(F.struct(F.col("id").alias("ref"), F.lit(0).alias("by")), F.struct(F.col("short_id").alias("ref"), F.lit(1).alias("by")))).alias("_n"))
+    found = names.select(F.col("_n.ref").alias("ref"), F.col("_n.by").alias("_by"), *cards.columns).join(asked.select(F.trim("ref").alias("ref")).distinct(), "ref")
+    return found.withColumn("_nth", F.row_number().over(Window.partitionBy("ref").orderBy("_by", "id"))).where("_nth = 1").drop("_nth", "_by")
+
+
+def moved_branches(before: DataFrame, now: DataFrame, base: str, most: int = 4) -> DataFrame:
+    """(repo, branch, sha): new and moved tips besides `base`, the first `most` of a repository by name."""
+    old = before.select("repo", "branch", F.col("sha").alias("old"))
+    rows = now.where(F.col("branch") != base).join(old, ["repo", "branch"], "left").where("old is null or old != sha")
+    nth = F.row_number().over(Window.partitionBy("repo").orderBy("branch"))
+    return rows.withColumn("nth", nth).where(F.col("nth") <= most).select("repo", "branch", "sha")

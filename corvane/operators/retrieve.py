@@ -113,3 +113,13 @@ def capped(rows: DataFrame, pins: int = PINS, most: int = CANDIDATES) -> DataFra
     rows = rows.withColumns({"pinned": F.col("pinned") & ~F.col("lost"), "score": F.col("score") + F.when(F.col("lost"), LOST_PIN).otherwise(0.0)}).drop("lost")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("pinned"), by_score, "id"))
     return rows.withColumn("place", place).where(F.col("place") <= most)
+
+
+def search(cards: DataFrame, queries: DataFrame, allowed: list[str], utility: DataFrame | None = None) -> DataFrame:
+    """(query_id, place, id, short_id, type, title, summary, score): what an explicit search returns; no gate skips it.
+
+    cards: as for `retrieve`, and short_id. A query without letters finds nothing.
+    """
+    asked = queries.where(F.trim("query") != "")
+    found = retrieve(cards, asked, allowed, utility).select("query_id", "id", "place", "score")
+    return found.join(cards.select("id", "short_id", "type", "title", "summary"), "id").select("query_id", "place", "id", "short_id", "type", "title", "summary", "score")

@@ -245,6 +245,31 @@ def hybrid_retrieve(spark, d):
     return found.select("query_id", "id", "place", F.round("score", 7).alias("score"), "pinned", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("bm25_rank", "cosine_rank")))
 
 
+_SHORT = "short AS (SELECT id, left(sha256(id), 4) || CASE WHEN n > 0 THEN n::VARCHAR ELSE '' END AS short_id FROM (SELECT id, row_number() OVER (PARTITION BY left(sha256(id), 4) ORDER BY index_seq) - 1 AS n FROM cards))"
+
+
+@query(
+    _with(CARDS, LIVE, SHOWN, PROMPTS, INJ, FEEDBACK, STATS, UTILITY, SCORED, COSINE, PINS, HYBRID, _SHORT)
+    + "SELECT query_id, place::INTEGER AS place, id, short_id, type, title, summary, round(score, 7) AS score FROM ranked JOIN cards USING (id) JOIN short USING (id)"
+)
+def search_cards(spark, d):
+    """Every benchmark text as an explicit search."""
+    use = feedback.utility(feedback.decayed_stats(a.feedback(spark, d), F.expr(a.NOW)))
+    return retrieve.search(pack.short_ids(a.cards(spark, d, vectors=True)), a.prompts(spark, d), a.ALLOWED, use).withColumn("score", F.round("score", 7))
+
+
+@query(
+    _with(CARDS, _SHORT)
+    + f"SELECT CASE WHEN doc_id % 2 = 0 THEN id ELSE short_id END AS ref, id, title, md5(body) AS body, 'expanded' AS kind, 1.0::DOUBLE AS delta FROM cards JOIN short USING (id)"
+)
+def expand_cards(spark, d):
+    """Every card asked for, by id or by short id, with the feedback that this gives."""
+    cards = pack.short_ids(a.cards(spark, d))
+    found = lifecycle.by_reference(cards, cards.select(F.when(F.col("doc_id") % 2 == 0, F.col("id")).otherwise(F.col("short_id")).alias("ref")))
+    given = feedback.expansions(found, F.expr(a.NOW)).select(F.col("card_id").alias("id"), "kind", "delta")
+    return found.select("ref", "id", "title", F.md5("body").alias("body")).join(given, "id").select("ref", "id", "title", "body", "kind", "delta")
+
+
 @query()
 def pack_budget(spark, d):
     """Candidates packed into 700 tokens for each query."""
@@ -409,6 +434,56 @@ def spend_cap(spark, d):
     return learning.spend_cap(a.calls(spark, d), 200, 10.0).select("call_id", "allowed")
 
 
+@query(
+    _with(INJ, FEEDBACK, STATS)
+    + """SELECT * FROM (SELECT 'pulled' AS report, card_id, round(3 * expanded + 5 * referenced, 6) AS score FROM stats ORDER BY score DESC, card_id LIMIT 3) WHERE score >= 0.5
+UNION ALL SELECT * FROM (SELECT 'noisy', card_id, round(downvoted, 6) AS score FROM stats ORDER BY score DESC, card_id LIMIT 3) WHERE score >= 0.5"""
+)
+def top_scores(spark, d):
+    stats = feedback.decayed_stats(a.feedback(spark, d), F.expr(a.NOW))
+    pulled = analytics.top_scores(stats, feedback.EXPANDED * F.col("expanded") + feedback.REFERENCED * F.col("referenced"))
+    noisy = analytics.top_scores(stats, F.col("downvoted"))
+    return pulled.withColumn("report", F.lit("pulled")).unionByName(noisy.withColumn("report", F.lit("noisy")))
+
+
+@query(
+    _with(INJ, FEEDBACK, STATS)
+    + """, usage AS (SELECT card_id, count(*) AS n, sum(tokens) AS tokens FROM inj GROUP BY card_id),
+j AS (SELECT card_id, 3 * coalesce(expanded, 0) + 5 * coalesce(referenced, 0) AS pos, 5 * coalesce(downvoted, 0) AS neg, coalesce(expanded, 0) + coalesce(referenced, 0) AS pulls,
+      greatest(coalesce(injected, 0), coalesce(n, 0)) AS seen, coalesce(tokens, 0) AS tokens FROM stats FULL JOIN usage USING (card_id))
+SELECT * FROM (SELECT CASE WHEN neg > pos AND neg > 1 THEN 'noisy' WHEN pos > 0 THEN 'helpful' WHEN seen < 3 THEN 'uncertain' WHEN tokens >= 1500 THEN 'expensive' ELSE 'uncertain' END AS bucket, card_id,
+  round(CASE WHEN seen > 0 THEN least(1, pulls / seen) ELSE 0 END, 6) AS pull_rate, tokens::BIGINT AS tokens FROM j) WHERE bucket <> 'uncertain'"""
+)
+def effectiveness_report(spark, d):
+    usage = feedback.window_usage(a.injections(spark, d))
+    judged = feedback.effectiveness(feedback.decayed_stats(a.feedback(spark, d), F.expr(a.NOW)), usage)
+    return analytics.effectiveness_report(judged.withColumn("pull_rate", F.round("pull_rate", 6)), usage)
+
+
+@query(_with(CARDS, INJ) + "SELECT id, index_seq, coalesce(n, 0) AS injected FROM cards LEFT JOIN (SELECT card_id AS id, count(*) AS n FROM inj GROUP BY ALL) USING (id)")
+def cards_by_use(spark, d):
+    stats = feedback.decayed_stats(a.feedback(spark, d), F.expr(a.NOW))
+    return analytics.cards_by_use(a.cards(spark, d), stats, feedback.window_usage(a.injections(spark, d)))
+
+
+@query(_with(CARDS) + "SELECT id, index_seq FROM cards WHERE status = 'candidate'")
+def review_queue(spark, d):
+    return analytics.review_queue(a.cards(spark, d)).select("id", "index_seq")
+
+
+@query(_with(INJ, FEEDBACK, STATS) + "SELECT card_id, round(injected, 6) AS injected, round(expanded, 6) AS expanded, round(referenced, 6) AS referenced, round(downvoted, 6) AS downvoted FROM stats")
+def folded_stats(spark, d):
+    """The counters in two steps, from a snapshot of the middle of the log: the same as at once."""
+    rows, half = a.feedback(spark, d), F.expr("TIMESTAMP '2024-01-15 00:00:00'")
+    stats = feedback.folded(feedback.decayed_stats(rows.where(F.col("ts") < half), half), half, rows.where(F.col("ts") >= half), F.expr(a.NOW))
+    return stats.select("card_id", *(F.round(k, 6).alias(k) for k in feedback.KINDS))
+
+
+@query(_with(INJ) + f"SELECT event_id, ts FROM inj WHERE ts >= {a.NOW} - INTERVAL 14 DAY")
+def retention(spark, d):
+    return lifecycle.retained(a.injections(spark, d), F.expr(a.NOW), 14).select("event_id", F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
 # ---- transcripts ---------------------------------------------------------------------------------------------------
 
 _NORM = f"trim(regexp_replace(regexp_replace({sql_fold('text')}, '[''’]', '', 'g'), '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+', ' ', 'g'))"
@@ -595,6 +670,28 @@ def export_status(spark, d):
     return lifecycle.export_status(want, wrote, has)
 
 
+_LINES = "list_distinct(list_filter(list_transform(string_split(replace({x}, chr(13) || chr(10), chr(10)), chr(10)), lambda l: rtrim(l, E' \\t')), lambda l: l <> ''))"
+
+
+@query(f"""WITH x AS (SELECT CASE WHEN doc_id % 10 = 7 THEN 'residual/' ELSE 'cards/' END || doc_id AS path, text AS new, CASE WHEN doc_id % 3 <> 0 THEN CASE WHEN doc_id % 2 = 0 THEN text ELSE 'another first line' || chr(10) || text END END AS old FROM documents WHERE text IS NOT NULL),
+y AS (SELECT path, CASE WHEN path LIKE 'residual/%' THEN 'residual' WHEN old <> new THEN 'conflict' ELSE 'applied' END AS outcome, {_LINES.format(x='old')} AS was, {_LINES.format(x='new')} AS now FROM x)
+SELECT path, outcome, CASE WHEN outcome = 'conflict' THEN len(list_filter(now, lambda l: NOT list_contains(was, l))) ELSE 0 END::INTEGER AS added, CASE WHEN outcome = 'conflict' THEN len(list_filter(was, lambda l: NOT list_contains(now, l))) ELSE 0 END::INTEGER AS removed FROM y""")
+def staged_apply(spark, d):
+    docs = a.table(spark, d, "documents").where("text is not null").withColumn("path", F.concat(F.when(F.col("doc_id") % 10 == 7, "residual/").otherwise("cards/"), F.col("doc_id").cast("string")))
+    live = docs.where("doc_id % 3 != 0").select("path", F.when(F.col("doc_id") % 2 == 0, F.col("text")).otherwise(F.concat(F.lit("another first line\n"), "text")).alias("content"))
+    return lifecycle.staged_apply(docs.select("path", F.col("text").alias("content")), live).fillna(0, ["added", "removed"])
+
+
+@query("""WITH t AS (SELECT o_custkey % 10 AS repo, lpad(o_custkey::VARCHAR, 9, '0') || '-' || o_orderstatus AS branch, o_orderkey AS sha, o_orderdate AS day FROM orders),
+x AS (SELECT repo, branch, max(sha) FILTER (day < TIMESTAMP '1996-01-01') AS old, max(sha) FILTER (day >= TIMESTAMP '1995-01-01') AS sha FROM t GROUP BY ALL)
+SELECT repo, branch, sha FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY branch) AS n FROM x WHERE sha IS NOT NULL AND (old IS NULL OR old <> sha) AND branch <> '000000001-O') WHERE n <= 4""")
+def moved_branches(spark, d):
+    name = F.concat(F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("-"), "o_orderstatus")
+    rows = a.table(spark, d, "orders").select((F.col("o_custkey") % 10).alias("repo"), name.alias("branch"), F.col("o_orderkey").alias("sha"), F.col("o_orderdate").cast("timestamp").alias("at"))
+    tips = lambda x: x.groupBy("repo", "branch").agg(F.max("sha").alias("sha"))
+    return lifecycle.moved_branches(tips(rows.where("at < timestamp '1996-01-01'")), tips(rows.where("at >= timestamp '1995-01-01'")), "000000001-O")
+
+
 @query(
     _with(INJ)
     + """SELECT card_id, o AS observations, CASE WHEN r > 0 THEN 'retired' WHEN c > 0 OR o >= 2 THEN 'active' ELSE 'candidate' END AS status FROM (
