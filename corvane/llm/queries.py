@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import chat, chunk_dedup, hamming_search, licenses, mixing, packing, pii, quality, simhash, toxicity
+from corvane.llm import alignment, chat, chunk_dedup, collocations, hamming_search, licenses, mixing, packing, pii, quality, simhash, suffix_match, toxicity
 from corvane.llm.common import keep, table
 
 
@@ -60,6 +60,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_chat_format": chat.op10_chat_format,
+    "op11_collocations": collocations.op11_collocations,
+    "op12_alignment": alignment.op12_alignment,
+    "op13_decontamination": suffix_match.op13_decontamination,
 }
 
 _OP8 = f"""
@@ -111,4 +114,7 @@ SELECT conv_id, count(*) AS n_turns,
 FROM written GROUP BY conv_id
 """
 
-ORACLES: dict[str, str] = {"op1_license_scan": licenses.ORACLE, "op8_mixing": _OP8, "op9_exact_top_k": _OP9, "op10_chat_format": _OP10}
+ORACLES: dict[str, str] = {
+    "op1_license_scan": licenses.ORACLE, "op8_mixing": _OP8, "op9_exact_top_k": _OP9, "op10_chat_format": _OP10,
+    "op11_collocations": collocations.ORACLE, "op13_decontamination": suffix_match.ORACLE,
+}

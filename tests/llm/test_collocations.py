@@ -1,0 +1,70 @@
+import random
+import re
+from collections import Counter
+
+import pytest
+
+from corvane.llm import collocations as m
+
+
+def plain(docs, least, top):
+    """The report by counting every phrase in Python integers."""
+    count, size = {}, Counter()
+    for lang, text in docs:
+        lang = lang or "und"
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", re.sub("[A-Z]", lambda x: x[0].lower(), text or "")):
+            w = re.findall(r"[^\x20\x09]+", piece)
+            size[lang] += len(w)
+            for k in range(1, 5):
+                count.setdefault(lang, Counter()).update(tuple(w[i : i + k]) for i in range(len(w) - k + 1))
+    out = []
+    for lang, f in count.items():
+        inside = lambda p, q: any(q[i : i + len(p)] == p for i in range(len(q) - len(p) + 1))
+        found = {p: n for p, n in f.items() if len(p) > 1 and n >= least}
+        rows = []
+        for p, a in found.items():
+            if any(len(q) > len(p) and 100 * b >= 80 * a and inside(p, q) for q, b in found.items()):
+                continue
+            score, _, left, right = min((2_000_000 * a // (f[p[:k]] + f[p[k:]]), k, f[p[:k]], f[p[k:]]) for k in range(1, len(p)))
+            rows.append((-score, -a, " ".join(p).encode(), left, right))
+        rows.sort()
+        out += [(lang, i + 1, p.decode(), -a, left, right, size[lang], -s) for i, (s, a, p, left, right) in enumerate(rows[:top])]
+    return sorted(out)
+
+
+def corpus(n, words):
+    rng = random.Random(n)
+    texts = [(rng.choice(["en", "fr", None]), " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for _ in range(n)]
+    return texts + [("en", None), (None, ""), ("fr", "A b\tC\x0bd, É é  É!")] * 3
+
+
+WORDS = ["the", "The", "cat", "sat,", "on", "ma\x1ct", "été.", "x;y", "\U0001f600", "of"]
+
+
+@pytest.mark.parametrize("budget,flush", [(m.BUDGET, m.FLUSH), (300, 500), (5, 200)])
+def test_equals_plain_counting(spark, budget, flush):
+    texts = corpus(150, WORDS)
+    docs = spark.createDataFrame(texts, "lang string, text string").repartition(3)
+    got = sorted(map(tuple, m.collocations(docs, least=4, budget=budget, flush=flush).collect()))
+    assert got == plain(texts, 4, m.TOP) and len(got) > 50
+    short = sorted(map(tuple, m.collocations(docs, least=4, top=7, budget=budget, flush=flush).collect()))
+    assert short == plain(texts, 4, 7)
+
+
+def test_groups_fit_the_budget():
+    words = [("en", "the", 9000), ("en", "of", 900), ("fr", "de", 800), ("en", "to", 700), ("en", "in", 650)]
+    by = m.Partition(12_000, words, 1000)
+    assert by.heavy == {("en", b"the"): 9000} and len(set(by.packed.values())) == 4 and by.groups == 12
+
+
+def test_exact_beyond_64_bits(spark):
+    big = 9 * 10**14
+    rows = [("en", "a", 1, 3 * big), ("en", "b", 1, 2 * big), ("en", "a b", 2, big)]
+    got = m.scored(spark.createDataFrame(rows, "lang string, phrase string, size int, n long")).first()
+    assert (got["score"], got["l"], got["r"]) == (2_000_000 * big // (5 * big), 3 * big, 2 * big)
+
+
+def test_odd_tables(odd_docs, no_docs):
+    rows = odd_docs.withColumnsRenamed({"component": "phrase", "size": "n", "score": "a"})
+    assert sorted(map(tuple, m.collocations(rows, least=2).collect())) == plain([(r["lang"], r["text"]) for r in rows.select("lang", "text").collect()], 2, m.TOP)
+    assert m.collocations(no_docs).count() == 0
