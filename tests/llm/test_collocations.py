@@ -41,7 +41,7 @@ def corpus(n, words):
 WORDS = ["the", "The", "cat", "sat,", "on", "ma\x1ct", "été.", "x;y", "\U0001f600", "of"]
 
 
-@pytest.mark.parametrize("budget,flush", [(m.BUDGET, m.FLUSH), (300, 500), (5, 200)])
+@pytest.mark.parametrize("budget,flush", [(m.BUDGET, m.FLUSH), (300, 500), (60, 400)])
 def test_equals_plain_counting(spark, budget, flush):
     texts = corpus(150, WORDS)
     docs = spark.createDataFrame(texts, "lang string, text string").repartition(3)
