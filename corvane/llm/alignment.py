@@ -25,7 +25,7 @@ from corvane.llm import packing
 from corvane.llm.common import keep, table
 
 #: Tokens of the first tokenizer after which a block ends, with a whole document.
-BLOCK = 2_000_000
+BLOCK = 600_000
 _SEPARATORS = ("", ",", "|", ";")
 ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, block long, at array<int>, times array<int>, pairs array<bigint>, held array<int>"
 
@@ -39,8 +39,8 @@ class ByteLevel(packing.Encoder):
 
     def ids(self, text: str) -> np.ndarray:
         if packing._OTHER(text):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int64)
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.int32)
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(np.int32)
 
     @cached_property
     def bytes_of(self) -> list[bytes]:
@@ -58,7 +58,7 @@ class Pieces:
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
 
     def ids(self, text: str) -> np.ndarray:
-        return np.array(self.model.encode(text, num_threads=1), np.int64)
+        return np.array(self.model.encode(text, num_threads=1), np.int32)
 
     @cached_property
     def bytes_of(self) -> list[bytes]:
@@ -94,9 +94,9 @@ def _aligned(path_a: str, path_b: str, block: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         a, b = ByteLevel(path_a), Pieces(path_b)
         bytes_a, bytes_b = a.bytes_of, b.bytes_of
-        size_a, size_b = (np.array([len(x) for x in y], np.int64) for y in (bytes_a, bytes_b))
+        size_a, size_b = (np.array([len(x) for x in y], np.int32) for y in (bytes_a, bytes_b))
         text_of = [f"{i}{s}" for i in range(max(len(bytes_a), len(bytes_b))) for s in _SEPARATORS]
-        none = np.empty(0, np.int64)
+        none = np.empty(0, np.int32)
 
         def encoded(text: str | None) -> tuple[np.ndarray, np.ndarray]:
             if not text:
@@ -116,6 +116,7 @@ def _aligned(path_a: str, path_b: str, block: int):
             place = (end_a - size_a[ids_a], end_a, end_b - size_b[ids_b], end_b)
             group_a, group_b = coalesced(*place)
             link_a, link_b = links(*place)
+            del place
             doc_a, doc_b = np.repeat(np.arange(n), n_a), np.repeat(np.arange(n), n_b)
             n_groups = np.bincount(doc_a[np.flatnonzero(np.diff(group_a, prepend=-1))], minlength=n)
             n_links = np.bincount(doc_a[link_a], minlength=n)
@@ -126,12 +127,14 @@ def _aligned(path_a: str, path_b: str, block: int):
             key, doc = key[order], np.concatenate([doc_a, doc_b])[order]
             step = np.where(key[1:] == key[:-1], 1, np.where(key[1:] >> 1 == key[:-1] >> 1, 2, 3))
             step = np.append(np.where(doc[1:] == doc[:-1], step, 0), 0)[: len(key)]
-            shown = (np.concatenate([ids_a, ids_b])[order] * 4 + step).tolist()
+            del side, group_a, group_b
+            shown = np.concatenate([ids_a, ids_b])[order] * 4 + step
             to = np.cumsum(n_a + n_b).tolist()
-            groups = ["".join(map(text_of.__getitem__, shown[x:y])) for x, y in zip([0, *to], to, strict=False)]
+            groups = ["".join(map(text_of.__getitem__, shown[x:y].tolist())) for x, y in zip([0, *to], to, strict=False)]
             # distinct pairs of each document, as numbers in the block's list of distinct pairs
             codes = len(bytes_a) * len(bytes_b)
-            pair, times = np.unique(doc_a[link_a] * codes + ids_a[link_a] * len(bytes_b) + ids_b[link_b], return_counts=True)
+            del shown, key, order, doc, step
+            pair, times = np.unique(doc_a[link_a] * codes + ids_a[link_a].astype(np.int64) * len(bytes_b) + ids_b[link_b], return_counts=True)
             known, at, held = np.unique(pair % codes, return_inverse=True, return_counts=True)
             ends = np.cumsum(np.bincount(pair // codes, minlength=n))
             longs = lambda x: pa.array(x, pa.int64())
