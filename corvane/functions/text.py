@@ -74,6 +74,38 @@ def short_hash(s: Column, digits: int = 16) -> Column:
     return F.substring(F.sha2(s, 256), 1, digits)
 
 
+def cut_bytes(s: Column, most: Column | int) -> Column:
+    """The first `most` bytes of a text, less what would split a character."""
+    data, most = F.encode(s, "UTF-8"), F.lit(most)
+    inside = lambda k: F.hex(F.substr(data, most + (1 - k), F.lit(1))).rlike("^[89AB]")  # noqa: E731  the byte behind begins no character
+    back = F.when(~inside(0), 0).when(~inside(1), 1).when(~inside(2), 2).otherwise(3)
+    return F.when(F.octet_length(s) <= most, s).otherwise(F.decode(F.substr(data, F.lit(1), most - back), "UTF-8"))
+
+
+def truncated(s: Column, most: int) -> Column:
+    """One line of at most `most` bytes, with an ellipsis if it was longer."""
+    line = F.replace(s, F.lit("\n"), F.lit(" ¶ "))
+    return F.when(F.octet_length(line) <= most, line).otherwise(F.concat(cut_bytes(line, most), F.lit("…")))
+
+
+def loose_json(s: Column) -> Column:
+    """The JSON object from the first `{` to the last `}` of a text, as a variant; null if that is none.
+
+    Prose and code fences around it don't matter.
+    """
+    found = F.regexp_extract(s, r"(?s)\{.*\}", 0)
+    # the parser takes no notice of what follows a value: within two kinds of brackets, nothing can follow
+    listed, held = F.try_parse_json(F.concat(F.lit("["), found, F.lit("]"))), F.try_parse_json(F.concat(F.lit('{"x":'), found, F.lit("}")))
+    alone = held.isNotNull() & F.try_variant_get(listed, "$[1]", "variant").isNull()
+    return F.when((found != "") & alone, F.try_variant_get(listed, "$[0]", "variant"))
+
+
+def folded(words: list[str] | tuple[str, ...]) -> list[str]:
+    """Words of a configuration as `fold` gives them, trimmed and without empty ones."""
+    table = str.maketrans(FOLD)
+    return [w for w in (x.strip().lower().replace("ß", "ss").translate(table) for x in words) if w]
+
+
 def plain_phrases(s: Column) -> Column:
     """Folded words with single spaces, without apostrophes and ASCII punctuation."""
     return F.trim(F.regexp_replace(F.regexp_replace(fold(s), "['’]", ""), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", " "))

@@ -143,3 +143,63 @@ def newest_jobs(jobs: DataFrame, most: int = 50) -> DataFrame:
     """The newest `most` jobs; all if that is negative."""
     ordered = jobs.orderBy(F.desc("created"), "job_id")
     return ordered if most < 0 else ordered.limit(most)
+
+
+# Presets of a time filter, in days before today or now; others mean no limit.
+PRESETS = {"today": 0, "7d": 7, "30d": 30}
+HARNESSES = ("claude", "codex")
+
+
+def newest_rows(injections: DataFrame, most: int = RECENT) -> DataFrame:
+    """The rows that a session history looks at: the newest of the log, whatever the filters (they come after)."""
+    return injections.orderBy(F.desc("ts"), "session_id", "event", "card_id", "tokens").limit(most)
+
+
+def since(preset: str, now: Column) -> Column | None:
+    """Where a preset begins; None for all."""
+    days = PRESETS.get(preset)
+    return None if days is None else F.date_trunc("day", now) if days == 0 else now - F.make_dt_interval(F.lit(days))
+
+
+def facets(rows: DataFrame) -> DataFrame:
+    """(facet, value, n): the options of the repository and harness filters, with the rows that each has.
+
+    One scan gives both (grouping sets), before any filter: so choosing one option makes no other disappear. Rows without a
+    repository or harness are no option; the known harnesses always are.
+    """
+    named = rows.select(F.when(F.col("cwd").isNull() | (F.col("cwd") == ""), None).otherwise(t.repo_of(F.col("cwd"))).alias("repo"), F.nullif("harness", F.lit("")).alias("harness"))
+    sets = named.groupingSets([[F.col("repo")], [F.col("harness")]], "repo", "harness").agg(F.count("*").alias("n"), F.grouping("repo").alias("of_harness"))
+    found = sets.select(F.when(F.col("of_harness") == 1, "harness").otherwise("repo").alias("facet"), F.when(F.col("of_harness") == 1, F.col("harness")).otherwise(F.col("repo")).alias("value"), "n").where("value is not null")
+    always = rows.sparkSession.createDataFrame([("harness", h, 0) for h in HARNESSES], "facet string, value string, n long")
+    return found.unionByName(always).groupBy("facet", "value").agg(F.sum("n").alias("n"))
+
+
+def filtered(rows: DataFrame, now: Column, repo: str = "all", harness: str = "all", preset: str = "all") -> DataFrame:
+    """Rows that pass the filters; `all`, an empty repository, and a harness that isn't known, mean no limit."""
+    if repo not in ("", "all"):
+        rows = rows.where((F.coalesce("cwd", F.lit("")) != "") & (t.repo_of(F.col("cwd")) == repo))
+    if harness in HARNESSES:
+        rows = rows.where(F.col("harness") == harness)
+    begin = since(preset, now)
+    return rows if begin is None else rows.where(F.col("ts") >= begin)
+
+
+def session_history(injections: DataFrame, now: Column, repo: str = "all", harness: str = "all", preset: str = "all", most: int = SESSIONS) -> DataFrame:
+    """(place, session_id, last_ts, deliveries, tokens, repo, harness) of the newest sessions among the filtered newest rows."""
+    rows = filtered(newest_rows(injections), now, repo, harness, preset)
+    sums = rows.groupBy("session_id").agg(
+        F.max("ts").alias("last_ts"), F.count("*").alias("deliveries"), F.sum("tokens").alias("tokens"),
+        F.max_by(t.repo_of(F.col("cwd")), F.struct("ts", "cwd")).alias("repo"), F.max_by("harness", F.struct("ts", "harness")).alias("harness"),
+    )
+    place = F.row_number().over(Window.orderBy(F.desc("last_ts"), "session_id"))  # over the sessions of 500 rows at most
+    return sums.withColumn("place", place).where(F.col("place") <= most).select("place", "session_id", "last_ts", "deliveries", "tokens", "repo", "harness")
+
+
+def verdict_counts(injections: DataFrame, judged: DataFrame, now: Column, repo: str = "all", harness: str = "all", days: int = 7) -> DataFrame:
+    """(bucket, cards): verdicts on the cards that the filters leave of a window; the verdicts themselves know no filter.
+
+    judged: card_id, bucket over the whole log. So a card's verdict never changes with a filter, only whether it counts.
+    """
+    window = injections.where(F.col("ts") >= now - F.make_dt_interval(F.lit(days)))
+    cards = filtered(window, now, repo, harness).select("card_id").distinct()
+    return cards.join(judged, "card_id", "left").groupBy(F.coalesce("bucket", F.lit("uncertain")).alias("bucket")).agg(F.count("*").alias("cards"))

@@ -57,13 +57,11 @@ def first_claims(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy("session_id").orderBy(*order))).where("nth = 1").drop("nth")
 
 
-def abandoned_pointers(injections: DataFrame, expanded: DataFrame) -> DataFrame:
-    """(session_id, card_id) of pointers that nobody followed: given as `hook`, never with content, never expanded later."""
-    hooks = injections.where("granularity = 'hook'").groupBy("session_id", "card_id").agg(F.min("ts").alias("given"))
+def abandoned_pointers(injections: DataFrame) -> DataFrame:
+    """(session_id, card_id) of pointers that nobody followed: given as `hook`, and in no other form in the same session."""
+    hooks = injections.where("granularity = 'hook'").select("session_id", "card_id").distinct()
     content = injections.where("granularity != 'hook'").select("session_id", "card_id").distinct()
-    pulled = expanded.groupBy("card_id").agg(F.max("ts").alias("pulled"))
-    left = hooks.join(content, ["session_id", "card_id"], "left_anti").join(pulled, "card_id", "left")
-    return left.where("pulled is null or pulled < given").select("session_id", "card_id")
+    return hooks.join(content, ["session_id", "card_id"], "left_anti")
 
 
 def penalties(abandoned: DataFrame, ended: Column) -> DataFrame:

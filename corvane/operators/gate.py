@@ -15,6 +15,7 @@ ACKS = (
     "lam luon", "ok luon", "chuan", "chuan roi",
 )
 SHORT, PASTE, HEAD, TAIL, SAME_TOPIC, KEPT_PROMPT = 12, 4000, 800, 400, 0.6, 4096
+# Fixed value: how lines of logs and stack traces begin.
 _LOG_LINE = r"^(?:[\s]*(?:at |Error|panic:|goroutine |0x|#|File \"|Traceback|[0-9]{4}.|\[[0-9]{2}..)|\t|    )"
 
 
@@ -34,23 +35,23 @@ def stripped(s: Column) -> Column:
     return F.regexp_replace(s, r"^[\s\u0085 ]+|[\s\u0085 ]+$", "")
 
 
-def gate(prompt: Column, last: Column) -> Column:
-    """Why a prompt is skipped: slash, ack, short, paste or novelty; null if it isn't."""
-    s = stripped(prompt)
-    ack = t.fold(F.regexp_replace(s, r"^[.!?,;:]+|[.!?,;:]+$", "")).isin(*ACKS)
+def gate(prompt: Column, last: Column, acks: tuple[str, ...] = (), stop_words: tuple[str, ...] = ()) -> Column:
+    """Why a prompt is skipped: slash, ack, short, paste or novelty; null if it isn't. `acks` and `stop_words` extend the fixed ones."""
+    s, stops = stripped(prompt), (*t.STOP_WORDS, *t.folded(stop_words))
+    ack = t.fold(F.regexp_replace(s, r"^[.!?,;:]+|[.!?,;:]+$", "")).isin(*ACKS, *t.folded(acks))
     long_ = F.octet_length(s) > PASTE
     query = F.when(long_, edges(s)).otherwise(s)
-    same = (last != "") & (t.jaccard(t.terms(query), t.terms(last)) > SAME_TOPIC)
+    same = (last != "") & (t.jaccard(t.terms(query, 0, stops), t.terms(last, 0, stops)) > SAME_TOPIC)
     return (
         F.when(s.startswith("/"), "slash").when(ack, "ack").when(F.octet_length(s) < SHORT, "short")
         .when(long_ & log_shaped(s) & ~edges(s).contains("?"), "paste").when(same, "novelty")
     )
 
 
-def gated(prompts: DataFrame) -> DataFrame:
+def gated(prompts: DataFrame, acks: tuple[str, ...] = (), stop_words: tuple[str, ...] = ()) -> DataFrame:
     """(session_id, ts, prompt) with `reason` and `query`; the last prompt counts even if it was skipped itself."""
     order = Window.partitionBy("session_id").orderBy("ts", "prompt")
     rows = prompts.withColumn("last_prompt", F.coalesce(F.lag(F.substring("prompt", 1, KEPT_PROMPT)).over(order), F.lit("")))
-    rows = rows.withColumn("reason", gate(F.col("prompt"), F.col("last_prompt")))
+    rows = rows.withColumn("reason", gate(F.col("prompt"), F.col("last_prompt"), acks, stop_words))
     s = stripped(F.col("prompt"))
     return rows.withColumn("query", F.when(F.col("reason").isNull(), F.when(F.octet_length(s) > PASTE, edges(s)).otherwise(s)))

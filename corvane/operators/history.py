@@ -6,8 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
+from corvane.functions.storage import written
 
-UNIT_GAP, UNITS, MODULES = 48 * 3600, 3, 12
+UNIT_GAP, UNITS, MODULES, CHURN_COMMITS = 48 * 3600, 3, 12, 500
+#: Subjects that tell a repository's convention, types that are named, and the share in per cent from which it has one.
+SUBJECTS, TYPES, CONVENTIONAL = 100, 6, 30
+#: Branches with work that a run mines in a repository.
+MINED = 4
 # Paths that are no work (lock files, vendored or generated trees, renames) or may hold secrets, by the whole
 # name, the start and end of the name in lower case, and the directory; and how a conventional subject begins.
 NOISE_NAMES = (
@@ -16,9 +21,12 @@ NOISE_NAMES = (
 )
 NOISE_STARTS = (".env", "credentials", "secret")
 NOISE_ENDS = (".pem", ".key", ".p12", ".pfx", ".keystore")
+NOISE_TAILS = (".pb.go", "_gen.go", ".min.js")  # of the name as it is written
 NOISE_DIRS = ("vendor/", "node_modules/", "dist/", "build/", ".git/")
 RENAME = "=>"
 CONVENTION = r"^([a-z]+)(\([^)]*\))?!?: "
+# Top directories whose own directories are modules.
+UMBRELLAS = ("internal", "cmd", "pkg", "src", "apps", "packages")
 
 
 def noisy(path: Column) -> Column:
@@ -26,28 +34,52 @@ def noisy(path: Column) -> Column:
     name = F.element_at(F.split(path, "/"), -1)
     lower = F.lower(name)
     out = path.contains(RENAME) | name.isin(*NOISE_NAMES)
-    for test in (*(lower.startswith(x) for x in NOISE_STARTS), *(lower.endswith(x) for x in NOISE_ENDS), *(F.concat(F.lit("/"), path).contains(f"/{x}") for x in NOISE_DIRS)):
+    for test in (*(lower.startswith(x) for x in NOISE_STARTS), *(lower.endswith(x) for x in NOISE_ENDS), *(name.endswith(x) for x in NOISE_TAILS), *(F.concat(F.lit("/"), path).contains(f"/{x}") for x in NOISE_DIRS)):
         out = out | test
     return out
 
 
 def module_dir(path: Column) -> Column:
-    """The first two directories of a path, or `.` for a file at the top."""
+    """The top directory of a path, with the next one below an umbrella; `.` for a file at the top, null for a blank path."""
+    path = F.trim(path, F.lit(" \t\r\n"))
     parts = F.split(path, "/")
-    return F.when(F.size(parts) > 2, F.array_join(F.slice(parts, 1, 2), "/")).when(F.size(parts) == 2, parts[0]).otherwise(".")
+    deep = parts[0].isin(*UMBRELLAS) & (F.size(parts) > 2)
+    return F.when(path == "", None).when(F.size(parts) == 1, ".").when(deep, F.concat_ws("/", parts[0], parts[1])).otherwise(parts[0])
 
 
-def churn(files: DataFrame, most: int = MODULES) -> DataFrame:
-    """(repo, module, commits, lines) of the modules with the most commits; a commit counts once for a module."""
-    rows = files.where(~noisy(F.col("path"))).groupBy("repo", module_dir(F.col("path")).alias("module")).agg(F.countDistinct("sha").alias("commits"), F.sum(F.col("added") + F.col("deleted")).alias("lines"))
+def churn(files: DataFrame, most: int = MODULES, last: int = CHURN_COMMITS) -> DataFrame:
+    """(repo, module, commits, lines) of the modules with the most of the `last` commits; a commit counts once for a module.
+
+    files: repo, sha, time, path, added, deleted; merges apart. Renames are left out, as they'd name a module that isn't there; lock files and vendored trees count.
+    """
+    recent = newest(files.select("repo", "sha", "time").distinct(), last, F.desc("time"), F.desc("sha")).select("repo", "sha")
+    rows = files.join(recent, ["repo", "sha"], "left_semi").where(~F.contains("path", F.lit(RENAME))).withColumn("module", module_dir(F.col("path"))).where("module is not null")
+    rows = rows.groupBy("repo", "module").agg(F.countDistinct("sha").alias("commits"), F.sum(F.col("added") + F.col("deleted")).alias("lines"))
     nth = F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("commits"), "module"))
     return rows.withColumn("nth", nth).where(F.col("nth") <= most).drop("nth")
 
 
-def conventions(commits: DataFrame) -> DataFrame:
-    """(prefix, n, share): how often subjects have each conventional prefix, and `` for none."""
-    rows = commits.groupBy(F.regexp_extract("subject", CONVENTION, 1).alias("prefix")).agg(F.count("*").alias("n"))
-    return rows.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()), 6))
+def newest(commits: DataFrame, most: int, *order: Column) -> DataFrame:
+    """The first `most` commits of each repository by `order`: the best of hashed shares first, so that no task sorts a whole one."""
+    share = F.pmod(F.xxhash64("sha"), F.lit(64))
+    some = commits.withColumn("_nth", F.row_number().over(Window.partitionBy("repo", share).orderBy(*order))).where(F.col("_nth") <= most)
+    return some.withColumn("_nth", F.row_number().over(Window.partitionBy("repo").orderBy(*order))).where(F.col("_nth") <= most).drop("_nth")
+
+
+def conventions(commits: DataFrame, last: int = SUBJECTS) -> DataFrame:
+    """(repo, subjects, pct, style, types) of the last subjects of each repository.
+
+    commits: repo, sha, time, subject, without merges. pct is the share of conventional subjects in whole per cent; from 30 on
+    the style is `conventional`, and `types` are its six commonest prefixes as (prefix, n), else it is `free` and has none.
+    """
+    rows = newest(commits, last, F.desc("time"), F.desc("sha")).withColumn("prefix", F.regexp_extract("subject", CONVENTION, 1))
+    known = rows.where("prefix != ''").groupBy("repo", "prefix").agg(F.count("*").alias("n"))
+    top = known.withColumn("nth", F.row_number().over(Window.partitionBy("repo").orderBy(F.desc("n"), "prefix"))).where(F.col("nth") <= TYPES)
+    types = top.groupBy("repo").agg(F.transform(F.sort_array(F.collect_list(F.struct("nth", "prefix", "n"))), lambda x: F.struct(x["prefix"].alias("prefix"), x["n"].alias("n"))).alias("types"))
+    sums = rows.groupBy("repo").agg(F.count("*").alias("subjects"), F.expr("count_if(prefix != '') * 100 div count(*)").alias("pct")).join(types, "repo", "left")
+    has = F.col("pct") >= CONVENTIONAL
+    none = F.array().cast("array<struct<prefix:string,n:bigint>>")
+    return sums.select("repo", "subjects", "pct", F.when(has, "conventional").otherwise("free").alias("style"), F.when(has, F.col("types")).otherwise(none).alias("types"))
 
 
 def work_units(commits: DataFrame, gap: int = UNIT_GAP, most: int = UNITS) -> DataFrame:
@@ -85,6 +117,65 @@ def tips_diff(before: DataFrame, now: DataFrame) -> DataFrame:
     return a.join(b, ["repo", "branch"], "full_outer").select("repo", "branch", state.alias("state"))
 
 
+def ancestors(commits: DataFrame, tips: DataFrame) -> DataFrame:
+    """(repo, sha) of all commits that can be reached from `tips` (repo, sha), the tips too.
+
+    commits: repo, sha, parents. First parents are followed by jumps that double (so a chain of n commits takes log n joins
+    of narrow rows, whatever its length); the other parents of what is reached begin the next round, and rounds are as many
+    as merges lie within merges. Each round is a written table. Parents that are no commit of the repository end a chain.
+    """
+    known = commits.select("repo", "sha", "parents").dropDuplicates(["repo", "sha"])
+    ids = known.select("repo", F.col("sha").alias("to"))
+    level = written(known.select("repo", "sha", F.get("parents", F.lit(0)).alias("to")).join(ids, ["repo", "to"]).select("repo", "sha", "to"))
+    jumps = []
+    while not level.isEmpty():
+        jumps.append(level)
+        on = level.select("repo", F.col("sha").alias("to"), F.col("to").alias("far"))
+        level = written(level.join(on, ["repo", "to"]).select("repo", "sha", F.col("far").alias("to")))
+    sides = written(known.select("repo", "sha", F.explode(F.slice("parents", 2, 1 << 30)).alias("to")).join(ids, ["repo", "to"]).select("repo", "sha", "to"))
+    reached, front = None, tips.select("repo", "sha").join(known.select("repo", "sha"), ["repo", "sha"], "left_semi").distinct()
+    while True:
+        new = written(front if reached is None else front.join(reached, ["repo", "sha"], "left_anti"))
+        if new.isEmpty():
+            return new if reached is None else reached
+        for jump in reversed(jumps):
+            both = F.explode(F.array_compact(F.array("sha", "to")))
+            new = new.join(jump, ["repo", "sha"], "left").select("repo", both.alias("sha")).distinct()
+        new = written(new)
+        reached = new if reached is None else written(reached.unionByName(new).distinct())
+        front = new.join(sides, ["repo", "sha"]).select("repo", F.col("to").alias("sha")).distinct()
+
+
+def lost_branches(before: DataFrame, now: DataFrame, commits: DataFrame, base: DataFrame) -> DataFrame:
+    """(repo, branch, sha) of deleted branches whose recorded tip isn't merged: no ancestor of the default branch's tip.
+
+    base: repo, sha. In a repository without a default branch every deleted branch is lost.
+    """
+    gone = before.select("repo", "branch", "sha").join(now.select("repo", "branch"), ["repo", "branch"], "left_anti")
+    return gone.join(ancestors(commits, base), ["repo", "sha"], "left_anti").select("repo", "branch", "sha")
+
+
+def without_lost(cards: DataFrame, lost: DataFrame) -> DataFrame:
+    """`cards` with those of a lost branch retired, if they were learnt; a card is of a branch by its scope `branch:<repo>@<branch>`."""
+    scopes = lost.select(F.concat(F.lit("branch:"), F.element_at(F.split("repo", "/"), -1), F.lit("@"), "branch").alias("scope")).distinct()
+    ids = cards.where("source = 'learn'").select("id", F.explode("scopes").alias("scope")).join(scopes, "scope").select(F.col("id").alias("_lost")).distinct()
+    status = F.when(F.col("_lost").isNotNull(), "retired").otherwise(F.col("status"))
+    return cards.join(ids, F.col("id") == F.col("_lost"), "left").select(*(status.alias(c) if c == "status" else F.col(c) for c in cards.columns))
+
+
+def mined_tips(moved: DataFrame, most: int = MINED) -> DataFrame:
+    """(repo, branch, sha, outcome, advances) of the branches that a run gets to, and whether their recorded tip advances.
+
+    moved: repo, branch, sha, outcome (`mined`, `idle`, `failed` or `stopped`). Branches go by name. Only those with work use up
+    the budget: a run ends once `most` are mined, or at the first that is stopped; idle branches advance and cost nothing,
+    failed ones are tried again by the next run.
+    """
+    before = Window.partitionBy("repo").orderBy("branch").rowsBetween(Window.unboundedPreceding, -1)
+    spent, stopped = F.coalesce(F.count_if(F.col("outcome") == "mined").over(before), F.lit(0)), F.coalesce(F.count_if(F.col("outcome") == "stopped").over(before), F.lit(0))
+    rows = moved.withColumns({"spent": spent, "stopped": stopped}).where((F.col("spent") < most) & (F.col("stopped") == 0))
+    return rows.select("repo", "branch", "sha", "outcome", F.col("outcome").isin("mined", "idle").alias("advances"))
+
+
 def drift(artifacts: DataFrame) -> DataFrame:
     """(kind, name, copies, class, canonical, similarity) of each cluster of copies.
 

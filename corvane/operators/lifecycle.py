@@ -113,9 +113,7 @@ def by_reference(cards: DataFrame, asked: DataFrame) -> DataFrame:
     return found.withColumn("_nth", F.row_number().over(Window.partitionBy("ref").orderBy("_by", "id"))).where("_nth = 1").drop("_nth", "_by")
 
 
-def moved_branches(before: DataFrame, now: DataFrame, base: str, most: int = 4) -> DataFrame:
-    """(repo, branch, sha): new and moved tips besides `base`, the first `most` of a repository by name."""
+def moved_branches(before: DataFrame, now: DataFrame, base: str) -> DataFrame:
+    """(repo, branch, sha): new and moved tips besides `base`; `history.mined_tips` tells which of them a run gets to."""
     old = before.select("repo", "branch", F.col("sha").alias("old"))
-    rows = now.where(F.col("branch") != base).join(old, ["repo", "branch"], "left").where("old is null or old != sha")
-    nth = F.row_number().over(Window.partitionBy("repo").orderBy("branch"))
-    return rows.withColumn("nth", nth).where(F.col("nth") <= most).select("repo", "branch", "sha")
+    return now.where(F.col("branch") != base).join(old, ["repo", "branch"], "left").where("old is null or old != sha").select("repo", "branch", "sha")

@@ -85,3 +85,31 @@ def without_own(entries: DataFrame, sentinel: str) -> DataFrame:
     """Sessions that hold no user turn that starts with the sentinel of a run of our own."""
     own = entries.where((F.col("role") == "user") & F.ltrim("text").startswith(sentinel)).select("session_id").distinct()
     return entries.join(own, "session_id", "left_anti")
+
+
+def byte_capped(sections: DataFrame, key: str, order: str, most: int, marker: str) -> DataFrame:
+    """(key, text): the `section` texts of each key in order, up to the first that would pass `most` bytes; then the marker.
+
+    Later sections aren't tried, even if they'd fit. What is gathered of a key is at most `most` bytes and its number of
+    sections; sizes are summed up in a window without the texts of sections that are over.
+    """
+    reach = F.sum(F.octet_length("section")).over(Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    rows = sections.select(key, order, "section", reach.alias("reach")).select(key, order, F.when(F.col("reach") <= most, F.col("section")).alias("section"))
+    kept = F.collect_list(F.when(F.col("section").isNotNull(), F.struct(order, "section")))
+    out = rows.groupBy(key).agg(F.array_join(F.transform(F.sort_array(kept), lambda x: x["section"]), "").alias("text"), F.bool_or(F.col("section").isNull()).alias("over"))
+    return out.select(key, F.when(F.col("over"), F.concat("text", F.lit(marker))).otherwise(F.col("text")).alias("text"))
+
+
+# How windows are written for a reader, and the bytes of a turn and of a tool error that are shown.
+WINDOW_HEAD, FURTHER_WINDOWS, ENTRY_BYTES, ERROR_BYTES = "--- window %d (%s) ---\n", "--- (further windows truncated) ---\n", 600, 300
+
+
+def rendered(windows: DataFrame, entries: DataFrame, most: int) -> DataFrame:
+    """(session_id, text): the windows of each session in order, with their turns and tool errors cut, in at most `most` bytes."""
+    nth = F.row_number().over(Window.partitionBy("session_id").orderBy("start"))
+    rows = window_entries(windows.select("session_id", "start", "end", "reason", nth.alias("nth")), entries)
+    errors = F.array_join(F.transform("tool_errors", lambda e: F.concat(F.lit("tool_error: "), t.truncated(e, ERROR_BYTES), F.lit("\n"))), "")
+    said = F.when(F.col("text") != "", F.concat("role", F.lit(": "), t.truncated(F.col("text"), ENTRY_BYTES), F.lit("\n"))).otherwise("")
+    turns = rows.select("session_id", "nth", "reason", "idx", F.concat(said, errors).alias("turn")).groupBy("session_id", "nth", "reason").agg(F.sort_array(F.collect_list(F.struct("idx", "turn"))).alias("turns"))
+    body = F.array_join(F.transform("turns", lambda x: x["turn"]), "")
+    return byte_capped(turns.select("session_id", "nth", F.concat(F.format_string(WINDOW_HEAD, "nth", "reason"), body).alias("section")), "session_id", "nth", most, FURTHER_WINDOWS)

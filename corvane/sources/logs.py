@@ -30,10 +30,21 @@ def numstat(lines: DataFrame) -> DataFrame:
     return rows.where(F.col("value").rlike(file) & F.col("c").isNotNull()).select("repo", "c.*", F.regexp_extract("value", file, 3).alias("path"), number(1).alias("added"), number(2).alias("deleted"))
 
 
+def ledger_rows(lines: DataFrame) -> DataFrame:
+    """Rows of a JSONL ledger of (line_no, value) that tell an observation; others, and lines that are no JSON, are skipped."""
+    rows = lines.select("line_no", F.from_json("value", LEDGER).alias("x")).where(r"x.observation rlike '[^\\s\\x85\\p{Z}]'")
+    words = [F.coalesce(F.col(f"x.{c}"), F.lit("")).alias(c) for c in ("session_id", "repo", "dimension", "observation", "evidence")]
+    return rows.select("line_no", "x.ts", *words)
+
+
 def style_ledger(lines: DataFrame, last: int = LAST_ROWS) -> DataFrame:
-    """The last valid rows of a JSONL ledger of (line_no, value)."""
-    rows = lines.select("line_no", F.from_json("value", LEDGER).alias("x")).where("x.dimension is not null")
-    return rows.orderBy(F.desc("line_no")).limit(last).select("line_no", "x.*")
+    """The last rows of a ledger that tell an observation."""
+    return ledger_rows(lines).orderBy(F.desc("line_no")).limit(last)
+
+
+def ledger_total(lines: DataFrame) -> DataFrame:
+    """(total): all rows that tell an observation; what the trigger of a synthesis counts."""
+    return ledger_rows(lines).agg(F.count("*").alias("total"))
 
 
 def dependencies(manifest: Column, name: Column) -> Column:
