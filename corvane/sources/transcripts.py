@@ -23,13 +23,26 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.where("text != '' or size(tool_errors) > 0").select("session_id", (F.row_number().over(order) - 1).alias("idx"), "role", "text", "tool_errors")
 
 
+def _said(rows: DataFrame) -> DataFrame:
+    return rows.where("text != '' or size(tool_errors) > 0").select("session_id", "line_no", "role", "text", "tool_errors")
+
+
+def message_lines(lines: DataFrame) -> DataFrame:
+    """(session_id, line_no, role, text, tool_errors) of lines with a `message`: what `message_entries` numbers, for streams too."""
+    return _said(_messages(lines))
+
+
 def message_entries(lines: DataFrame) -> DataFrame:
     """Entries of (session_id, line_no, value) lines with a `message`; unknown lines and side chains are skipped."""
+    return _numbered(_messages(lines))
+
+
+def _messages(lines: DataFrame) -> DataFrame:
     rows = lines.select("session_id", "line_no", F.from_json("value", MESSAGE).alias("x")).where("x.type in ('user', 'assistant') and not coalesce(x.isSidechain, false)")
     content = F.col("x.message.content")
     results = F.filter(F.from_json(content, PART), lambda p: (p["type"] == "tool_result") & F.coalesce(p["is_error"], F.lit(False)))
     errors = F.when(content.startswith("["), F.transform(results, lambda p: _texts(p["content"], ("text",)))).otherwise(F.array().cast("array<string>"))
-    return _numbered(rows.select("session_id", "line_no", F.coalesce("x.message.role", "x.type").alias("role"), _texts(content, ("text",)).alias("text"), F.coalesce(errors, F.array().cast("array<string>")).alias("tool_errors")))
+    return rows.select("session_id", "line_no", F.coalesce("x.message.role", "x.type").alias("role"), _texts(content, ("text",)).alias("text"), F.coalesce(errors, F.array().cast("array<string>")).alias("tool_errors"))
 
 
 def rollout_entries(lines: DataFrame) -> DataFrame:
@@ -41,3 +54,10 @@ def rollout_entries(lines: DataFrame) -> DataFrame:
     text = F.when(message, said).otherwise("")
     errors = F.when(failed, F.array(F.coalesce("x.payload.output", F.lit("")))).otherwise(F.array().cast("array<string>"))
     return _numbered(rows.where(message | failed).select("session_id", "line_no", F.coalesce("x.payload.role", F.lit("assistant")).alias("role"), text.alias("text"), errors.alias("tool_errors")))
+
+
+def grown_entries(lines: DataFrame, suffix: str = ".jsonl") -> DataFrame:
+    """(session_id, line_no, role, text, tool_errors) of `incremental.growing_lines`: a session is a file's name, a line's number its offset."""
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = lines.select(F.left(name, F.char_length(name) - len(suffix)).alias("session_id"), F.col("offset").alias("line_no"), "value")
+    return message_lines(rows)

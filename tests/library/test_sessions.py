@@ -120,11 +120,3 @@ def test_stream_equals_batch(spark, tmp_path):
     live = {(r["session_id"], r["ts"], r["reason"]) for r in spark.sql("select * from gated").collect()}
     batch = {(r["session_id"], r["ts"], r["reason"]) for r in gate.gated(spark.read.schema(schema).parquet(str(tmp_path / "p.parquet"))).collect()}
     assert live == batch and ("s", 2, "novelty") in live
-
-
-def test_streamed_upgrades(spark, tmp_path):
-    pd.DataFrame([("s", "a", 1), ("s", "a", 3), ("s", "b", 2)], columns=["session_id", "card_id", "level"]).to_parquet(tmp_path / "d.parquet")
-    stream = spark.readStream.schema("session_id string, card_id string, level long").parquet(str(tmp_path))
-    q = sessions.upgrades(stream).writeStream.format("memory").queryName("up").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert {(r["card_id"], r["level"], r["sent"]) for r in spark.sql("select * from up").collect()} == {("a", 3, True), ("b", 2, True)}
