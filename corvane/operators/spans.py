@@ -11,7 +11,7 @@ _EDGE = r"[\s\x85\p{Z}]"
 
 def span_pattern(owner: str = OWNER) -> str:
     """A span with its id, the hash of what was last written and what stands there now; lines may end in CRLF."""
-    return rf"(?ms)^<!-- {owner}:begin id=([A-Za-z0-9_-]+) hash=([0-9a-f]+) -->\r?\n(.*?)^<!-- {owner}:end id=[A-Za-z0-9_-]+ -->\r?\n?"
+    return rf"(?msd)^<!-- {owner}:begin id=([A-Za-z0-9_-]+) hash=([0-9a-f]+) -->\r?\n(.*?)^<!-- {owner}:end id=[A-Za-z0-9_-]+ -->\r?\n?"
 
 
 def stripped(s: Column) -> Column:

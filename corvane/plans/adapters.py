@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
@@ -87,8 +87,27 @@ def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """order lines as changed files of a nation's repository."""
     li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type"), "l_partkey")
-    path = F.concat_ws("/", F.replace(F.col("p_brand"), F.lit("#"), F.lit("")), F.replace(F.lower("p_type"), F.lit(" "), F.lit("/")), F.col("l_linenumber").cast("string"))
-    return li.select((F.col("l_suppkey") % 10).alias("repo"), F.col("l_orderkey").alias("sha"), path.alias("path"), F.col("l_quantity").cast("long").alias("added"), F.col("l_linenumber").cast("long").alias("deleted"))
+    top = F.when(F.col("l_linenumber") % 3 == 0, "src").when(F.col("l_linenumber") % 3 == 1, "docs")
+    path = F.concat_ws("/", top, F.replace(F.col("p_brand"), F.lit("#"), F.lit("")), F.replace(F.lower("p_type"), F.lit(" "), F.lit("/")), F.col("l_linenumber").cast("string"))
+    path = F.when(F.col("l_linenumber") == 7, "go.sum").otherwise(path)
+    return li.select((F.col("l_suppkey") % 10).alias("repo"), F.col("l_orderkey").alias("sha"), F.col("l_orderkey").alias("time"), path.alias("path"), F.col("l_quantity").cast("long").alias("added"), F.col("l_linenumber").cast("long").alias("deleted"))
+
+
+def subjects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as commits with subjects; every fifth repository hardly keeps to a convention."""
+    kinds = F.array(*map(F.lit, ("feat(x): ", "fix: ", "docs!: ", "chore: ", "test(a b): ", "perf: ", "ci: ", "misc ")))
+    key, repo = F.col("o_orderkey"), F.col("o_custkey") % 50
+    kind = F.get(kinds, F.when((repo % 5 == 0) & (key % 16 != 0), 7).otherwise(F.floor(key / 4) % 8).cast("int"))
+    return table(spark, sf_dir, "orders").select(repo.alias("repo"), key.alias("sha"), F.col("o_orderdate").cast("timestamp").alias("time"), F.concat(kind, "o_orderpriority").alias("subject"))
+
+
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders as commits of three lanes in ten repositories; the first lane merges the second now and then, the third never."""
+    repo, lane = F.col("o_custkey") % 10, F.col("o_orderkey") % 3
+    rows = table(spark, sf_dir, "orders").select(repo.alias("repo"), F.col("o_orderkey").alias("sha"), lane.alias("lane"), "o_orderpriority", "o_orderstatus")
+    own, all_ = Window.partitionBy("repo", "lane").orderBy("sha"), Window.partitionBy("repo").orderBy("sha").rowsBetween(Window.unboundedPreceding, -1)
+    other = F.when((F.col("lane") == 0) & (F.floor(F.col("sha") / 3) % 8 == 0), F.last(F.when(F.col("lane") == 1, F.col("sha")), ignorenulls=True).over(all_))
+    return rows.withColumn("parents", F.array_compact(F.array(F.lag("sha").over(own), other)))
 
 
 def artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import text as t
 from corvane.functions import vectors
-from corvane.operators import analytics, bm25, feedback, gate, history, learning, lifecycle, pack, retrieve, scope, transcript
+from corvane.operators import analytics, bm25, feedback, gate, history, learning, lifecycle, pack, queue, retrieve, scope, spans, synthesis, transcript
 from corvane.plans import adapters as a
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -307,13 +307,10 @@ def effectiveness(spark, d):
 
 @query(
     _with(INJ)
-    + """SELECT h.session_id, h.card_id FROM (SELECT session_id, card_id, min(ts) AS given FROM inj WHERE granularity = 'hook' GROUP BY ALL) h
-LEFT JOIN (SELECT card_id, max(ts) AS pulled FROM inj WHERE event = 'click' GROUP BY ALL) p USING (card_id)
-WHERE (pulled IS NULL OR pulled < given) AND NOT EXISTS (FROM inj c WHERE c.granularity <> 'hook' AND c.session_id = h.session_id AND c.card_id = h.card_id)"""
+    + """SELECT DISTINCT session_id, card_id FROM inj h WHERE granularity = 'hook' AND NOT EXISTS (FROM inj c WHERE c.granularity <> 'hook' AND c.session_id = h.session_id AND c.card_id = h.card_id)"""
 )
 def abandoned_pointers(spark, d):
-    log = a.injections(spark, d)
-    return feedback.abandoned_pointers(log, log.where("event = 'click'"))
+    return feedback.abandoned_pointers(a.injections(spark, d))
 
 
 @query(_with(INJ) + "SELECT session_id, event_id, card_id FROM (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY ts, event_id) AS n FROM inj) WHERE n = 1")
@@ -593,19 +590,38 @@ def style_groups(spark, d):
 # ---- history -------------------------------------------------------------------------------------------------------
 
 
-@query("""WITH f AS (SELECT l_suppkey % 10 AS repo, l_orderkey AS sha, replace(p_brand, '#', '') || '/' || replace(lower(p_type), ' ', '/') || '/' || l_linenumber AS path, l_quantity::BIGINT + l_linenumber AS lines FROM lineitem JOIN part ON p_partkey = l_partkey),
-m AS (SELECT repo, split_part(path, '/', 1) || '/' || split_part(path, '/', 2) AS module, count(DISTINCT sha) AS commits, sum(lines)::BIGINT AS lines FROM f GROUP BY ALL)
+@query("""WITH f AS (SELECT l_suppkey % 10 AS repo, l_orderkey AS sha, l_quantity::BIGINT + l_linenumber AS lines,
+  CASE WHEN l_linenumber = 7 THEN 'go.sum' ELSE CASE l_linenumber % 3 WHEN 0 THEN 'src/' WHEN 1 THEN 'docs/' ELSE '' END || replace(p_brand, '#', '') || '/' || replace(lower(p_type), ' ', '/') || '/' || l_linenumber END AS path FROM lineitem JOIN part ON p_partkey = l_partkey),
+recent AS (SELECT repo, sha FROM (SELECT DISTINCT repo, sha FROM f) QUALIFY row_number() OVER (PARTITION BY repo ORDER BY sha DESC) <= 500),
+m AS (SELECT repo, CASE WHEN path NOT LIKE '%/%' THEN '.' WHEN path LIKE 'src/%/%' THEN 'src/' || split_part(path, '/', 2) ELSE split_part(path, '/', 1) END AS module, count(DISTINCT sha) AS commits, sum(lines)::BIGINT AS lines FROM f JOIN recent USING (repo, sha) GROUP BY ALL)
 SELECT repo, module, commits, lines FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY commits DESC, module) AS nth FROM m) WHERE nth <= 12""")
 def module_churn(spark, d):
     return history.churn(a.files(spark, d))
 
 
-@query("""SELECT prefix, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (
-  SELECT regexp_extract(CASE o_orderkey % 4 WHEN 0 THEN 'feat(x): ' WHEN 1 THEN 'fix: ' WHEN 2 THEN 'docs!: ' ELSE 'misc ' END || o_orderpriority, '^([a-z]+)(\\([^)]*\\))?!?: ', 1) AS prefix FROM orders) GROUP BY prefix""".replace("\\\\", "\\"))
+@query(r"""WITH c AS (SELECT o_custkey % 50 AS repo, o_orderdate AS day, o_orderkey AS sha,
+  ['feat(x): ', 'fix: ', 'docs!: ', 'chore: ', 'test(a b): ', 'perf: ', 'ci: ', 'misc '][1 + CASE WHEN o_custkey % 50 % 5 = 0 AND o_orderkey % 16 <> 0 THEN 7 ELSE o_orderkey // 4 % 8 END] || o_orderpriority AS subject FROM orders),
+l AS (SELECT repo, regexp_extract(subject, '^([a-z]+)(\([^)]*\))?!?: ', 1) AS prefix FROM c QUALIFY row_number() OVER (PARTITION BY repo ORDER BY day DESC, sha DESC) <= 100),
+p AS (SELECT repo, string_agg(prefix || ' (' || n || ')', ', ' ORDER BY n DESC, prefix) AS types FROM (
+  SELECT * FROM (SELECT repo, prefix, count(*) AS n FROM l WHERE prefix <> '' GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY repo ORDER BY n DESC, prefix) <= 6) GROUP BY repo),
+s AS (SELECT repo, count(*) AS subjects, count(*) FILTER (prefix <> '') * 100 // count(*) AS pct FROM l GROUP BY repo)
+SELECT repo, subjects, pct, CASE WHEN pct >= 30 THEN 'conventional' ELSE 'free' END AS style, CASE WHEN pct >= 30 THEN types ELSE '' END AS types FROM s LEFT JOIN p USING (repo)""".replace("\\\\", "\\"))
 def commit_conventions(spark, d):
-    k = F.col("o_orderkey") % 4
-    subject = F.concat(F.when(k == 0, "feat(x): ").when(k == 1, "fix: ").when(k == 2, "docs!: ").otherwise("misc "), "o_orderpriority")
-    return history.conventions(a.table(spark, d, "orders").select(subject.alias("subject")))
+    rows = history.conventions(a.subjects(spark, d))
+    return rows.withColumn("types", F.array_join(F.transform("types", lambda x: F.concat(x["prefix"], F.lit(" ("), x["n"].cast("string"), F.lit(")"))), ", "))
+
+
+@query("""WITH RECURSIVE c AS MATERIALIZED (SELECT o_custkey % 10 AS repo, o_orderkey AS sha, o_orderkey % 3 AS lane, o_orderpriority = '1-URGENT' AS tip, o_orderstatus = 'F' AS gone,
+  lag(o_orderkey) OVER (PARTITION BY o_custkey % 10, o_orderkey % 3 ORDER BY o_orderkey) AS prev,
+  CASE WHEN o_orderkey % 3 = 0 AND o_orderkey // 3 % 8 = 0 THEN max(CASE WHEN o_orderkey % 3 = 1 THEN o_orderkey END) OVER (PARTITION BY o_custkey % 10 ORDER BY o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS side FROM orders),
+r AS (SELECT repo, max(sha) AS sha FROM c WHERE lane = 0 GROUP BY repo UNION SELECT repo, unnest([prev, side]) FROM c JOIN r USING (repo, sha) WHERE prev IS NOT NULL OR side IS NOT NULL)
+SELECT repo, 'b' || sha AS branch, sha FROM c ANTI JOIN r USING (repo, sha) WHERE tip AND gone""")
+def lost_branches(spark, d):
+    """Deleted branches that aren't merged; urgent orders are branch tips, and those in status F are gone."""
+    rows = a.history(spark, d)
+    tips = rows.where("o_orderpriority = '1-URGENT'").select("repo", F.concat(F.lit("b"), "sha").alias("branch"), "sha", "o_orderstatus")
+    base = rows.where("lane = 0").groupBy("repo").agg(F.max("sha").alias("sha"))
+    return history.lost_branches(tips, tips.where("o_orderstatus != 'F'"), rows, base)
 
 
 @query("""WITH RECURSIVE f AS (SELECT o_custkey AS repo, o_orderstatus AS branch, o_orderkey::VARCHAR AS sha, epoch(o_orderdate)::BIGINT AS time, list_sort(list(DISTINCT p_brand)) AS dirs
@@ -682,9 +698,12 @@ def staged_apply(spark, d):
     return lifecycle.staged_apply(docs.select("path", F.col("text").alias("content")), live).fillna(0, ["added", "removed"])
 
 
-@query("""WITH t AS (SELECT o_custkey % 10 AS repo, lpad(o_custkey::VARCHAR, 9, '0') || '-' || o_orderstatus AS branch, o_orderkey AS sha, o_orderdate AS day FROM orders),
-x AS (SELECT repo, branch, max(sha) FILTER (day < TIMESTAMP '1996-01-01') AS old, max(sha) FILTER (day >= TIMESTAMP '1995-01-01') AS sha FROM t GROUP BY ALL)
-SELECT repo, branch, sha FROM (SELECT *, row_number() OVER (PARTITION BY repo ORDER BY branch) AS n FROM x WHERE sha IS NOT NULL AND (old IS NULL OR old <> sha) AND branch <> '000000001-O') WHERE n <= 4""")
+_MOVED = """WITH t AS (SELECT o_custkey % 10 AS repo, lpad(o_custkey::VARCHAR, 9, '0') || '-' || o_orderstatus AS branch, o_orderkey AS sha, o_orderdate AS day FROM orders),
+x AS (SELECT repo, branch, max(sha) FILTER (day < TIMESTAMP '1996-01-01') AS old, max(sha) FILTER (day >= TIMESTAMP '1995-01-01') AS sha FROM t GROUP BY ALL),
+moved AS (SELECT repo, branch, sha FROM x WHERE sha IS NOT NULL AND (old IS NULL OR old <> sha) AND branch <> '000000001-O')"""
+
+
+@query(_MOVED + " SELECT * FROM moved")
 def moved_branches(spark, d):
     name = F.concat(F.lpad(F.col("o_custkey").cast("string"), 9, "0"), F.lit("-"), "o_orderstatus")
     rows = a.table(spark, d, "orders").select((F.col("o_custkey") % 10).alias("repo"), name.alias("branch"), F.col("o_orderkey").alias("sha"), F.col("o_orderdate").cast("timestamp").alias("at"))
@@ -692,6 +711,14 @@ def moved_branches(spark, d):
     return lifecycle.moved_branches(tips(rows.where("at < timestamp '1996-01-01'")), tips(rows.where("at >= timestamp '1995-01-01'")), "000000001-O")
 
 
+@query(_MOVED + """, o AS (SELECT *, CASE sha % 5 WHEN 0 THEN 'idle' WHEN 1 THEN 'failed' WHEN 2 THEN 'idle' ELSE 'mined' END AS outcome FROM moved)
+SELECT repo, branch, sha, outcome, outcome <> 'failed' AS advances FROM o QUALIFY count(*) FILTER (outcome = 'mined') OVER (PARTITION BY repo ORDER BY branch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 4""")
+def mined_tips(spark, d):
+    """The branches that a run gets to: its four with work, and idle and failed ones before the last of them."""
+    k = F.col("sha") % 5
+    return history.mined_tips(moved_branches(spark, d).withColumn("outcome", F.when(k.isin(0, 2), "idle").when(k == 1, "failed").otherwise("mined")))
+
+
 @query(
     _with(INJ)
     + """SELECT card_id, o AS observations, CASE WHEN r > 0 THEN 'retired' WHEN c > 0 OR o >= 2 THEN 'active' ELSE 'candidate' END AS status FROM (
@@ -712,3 +739,178 @@ def vector_dot(spark, d):
     e = a.table(spark, d, "embeddings")
     x, y = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("u")), e.select((F.col("vec_id") - 1).alias("a"), F.col("vec_id").alias("b"), F.col("embedding").alias("v"))
     return x.join(y, "a").select("a", "b", F.round(vectors.dot(F.col("u"), F.col("v")), 6).alias("dot"))
+
+
+# ---- merges, queues and views ----------------------------------------------------------------------------------------
+
+def sql_strip(x: str) -> str:
+    return f"regexp_replace({x}, '\\A[\\s\\x0B\\x{{85}}\\p{{Z}}]+|[\\s\\x0B\\x{{85}}\\p{{Z}}]+\\z', '', 'g')"
+
+
+def sql_hash8(x: str) -> str:
+    return "left(sha256(" + sql_strip(f"replace({x}, chr(13) || chr(10), chr(10))") + "), 8)"
+
+
+def sql_span(id_: str, hash_: str, text: str) -> str:
+    return f"'<!-- {spans.OWNER}:begin id={id_} hash=' || {hash_} || ' -->' || chr(10) || {text} || chr(10) || '<!-- {spans.OWNER}:end id={id_} -->' || chr(10)"
+
+
+def sql_cut(x: str, n: int) -> str:
+    return f"CASE WHEN strlen({x}) <= {n} THEN {x} ELSE left({x}, list_max(list_filter(range({n} // 4, {n} + 1), lambda k: strlen(left({x}, k)) <= {n}))::INTEGER) || '…' END"
+
+
+@query(f"""WITH x AS (SELECT doc_id, lang, substr(text, 101, 50) AS tail, {sql_strip('left(text, 100)')} AS a, CASE WHEN doc_id % 3 = 0 THEN left(text, 100) ELSE source || ' old' END AS old FROM documents WHERE text IS NOT NULL),
+y AS (SELECT *, CASE WHEN a = '' THEN 'none' WHEN doc_id % 4 = 3 THEN 'new' WHEN doc_id % 5 = 0 THEN 'conflict' WHEN {sql_hash8('old')} = {sql_hash8('a')} THEN 'same' ELSE 'changed' END AS state,
+  CASE WHEN doc_id % 4 = 3 THEN '' ELSE {sql_span('a', "CASE WHEN doc_id % 5 = 0 THEN 'ffffffff' ELSE " + sql_hash8('old') + " END", 'old')} END AS was,
+  {sql_span('a', sql_hash8('a'), 'a')} AS now, {sql_span('b', sql_hash8('lang'), 'lang')} AS b FROM x),
+z AS (SELECT *, '# ' || lang || chr(10) || CASE WHEN state = 'changed' THEN now ELSE was END || tail AS body FROM y)
+SELECT doc_id::VARCHAR AS path, body || CASE WHEN body LIKE '%' || chr(10) THEN '' ELSE chr(10) END || CASE WHEN state = 'new' THEN chr(10) || now ELSE '' END || chr(10) || b AS content,
+  CASE state WHEN 'new' THEN 'a (new),' WHEN 'changed' THEN 'a,' ELSE '' END || 'b (new)' AS applied, CASE WHEN state = 'conflict' THEN 'a' ELSE '' END AS conflicts FROM z""")
+def merged_spans(spark, d):
+    """documents as files with a span that is as it was written, edited, or not there, and two sections for each."""
+    docs = a.table(spark, d, "documents").where("text is not null")
+    k, head = F.col("doc_id"), F.substring("text", 1, 100)
+    old = F.when(k % 3 == 0, head).otherwise(F.concat("source", F.lit(" old")))
+    span = F.concat(F.lit(f"<!-- {spans.OWNER}:begin id=a hash="), F.when(k % 5 == 0, "ffffffff").otherwise(spans.content_hash(old)), F.lit(" -->\n"), old, F.lit(f"\n<!-- {spans.OWNER}:end id=a -->\n"))
+    content = F.concat(F.lit("# "), "lang", F.lit("\n"), F.when(k % 4 == 3, "").otherwise(span), F.substring("text", 101, 50))
+    files = docs.select(k.cast("string").alias("path"), content.alias("content"))
+    sections = docs.select(k.cast("string").alias("path"), F.explode(F.array(F.struct(F.lit(1).alias("nth"), F.lit("a").alias("id"), head.alias("markdown")), F.struct(F.lit(2).alias("nth"), F.lit("b").alias("id"), F.col("lang").alias("markdown")))).alias("s")).select("path", "s.*")
+    rows = spans.merge_spans(files, sections)
+    return rows.select("path", "content", F.array_join("applied", ",").alias("applied"), F.array_join("conflicts", ",").alias("conflicts"))
+
+
+@query("""WITH c AS (SELECT 'k' || doc_id // 10 AS base, 'styles/d-' || doc_id AS id, left(text, 30) AS title, ['candidate', 'confirmed', 'retired'][1 + doc_id // 2 % 3] AS status, (doc_id // 6 % 3)::INTEGER AS observations, CASE WHEN doc_id % 5 <> 1 THEN 'learn' ELSE 'hand' END AS source FROM documents WHERE text IS NOT NULL AND doc_id % 4 = 0),
+p AS (SELECT base, id, arg_min(title, doc_id) AS title, count(*)::INTEGER AS times FROM (
+    SELECT 'k' || doc_id // 10 AS base, 'styles/d-' || (doc_id - doc_id % 2) AS id, doc_id, 'T ' || doc_id AS title, (doc_id % 7)::DOUBLE / 7 + 0.3 AS confidence, doc_id % 9 <> 0 AS scoped FROM documents
+    WHERE text IS NOT NULL QUALIFY row_number() OVER (PARTITION BY doc_id // 10 ORDER BY doc_id) <= 5) WHERE confidence >= 0.6 AND scoped GROUP BY ALL),
+x AS (SELECT base, id, c.id IS NOT NULL AS here, coalesce(c.title, p.title) AS title, coalesce(c.status, 'candidate') AS was, coalesce(c.source, 'learn') AS source, coalesce(observations, 0) AS had, times,
+  CASE WHEN c.id IS NULL OR (c.source = 'learn' AND c.status <> 'retired') THEN coalesce(times, 0) ELSE 0 END AS added, doc_id IS NOT NULL AS against
+  FROM c FULL JOIN p USING (base, id) LEFT JOIN (SELECT doc_id, 'k' || doc_id // 10 AS base, 'styles/d-' || doc_id AS id FROM documents WHERE doc_id % 22 = 0) USING (base, id)),
+y AS (SELECT *, CASE WHEN here THEN added > 0 ELSE added > 1 END AS grown, against AND source = 'learn' AS gone FROM x)
+SELECT base, id, title, source, had + added AS observations, CASE WHEN gone THEN 'retired' WHEN grown AND was = 'candidate' AND had + added >= 2 THEN 'confirmed' ELSE was END AS status FROM y""")
+def style_merge(spark, d):
+    """Style cards of bases of ten documents each, once the first five proposals of each and its contradictions are merged in."""
+    docs = a.table(spark, d, "documents").where("text is not null")
+    k = F.col("doc_id")
+    base, id_ = F.concat(F.lit("k"), F.floor(k / 10).cast("string")).alias("base"), lambda x: F.concat(F.lit("styles/d-"), x.cast("string"))
+    none = F.array().cast("array<string>")
+    pick = lambda words, n: F.get(F.array(*map(F.lit, words)), n.cast("int"))
+    cards = docs.where(k % 4 == 0).select(
+        base, id_(k).alias("id"), F.lit("style").alias("type"), F.substring("text", 1, 30).alias("title"), F.lit("").alias("summary"), F.lit("b").alias("body"), none.alias("scopes"), none.alias("keywords"),
+        pick(("candidate", "confirmed", "retired"), F.floor(k / 2) % 3).alias("status"), (F.floor(k / 6) % 3).cast("int").alias("observations"), F.when(k % 5 != 1, "learn").otherwise("hand").alias("source"),
+    )
+    proposals = docs.select(
+        base, k.alias("nth"), F.concat(F.lit("D "), (k - k % 2).cast("string")).alias("slug"), F.concat(F.lit("T "), k.cast("string")).alias("title"), F.lit("").alias("summary"), F.lit("m").alias("markdown"), none.alias("keywords"),
+        F.when(k % 9 != 0, "repo:x").otherwise("global").alias("scope"), ((k % 7) / 7 + F.lit(0.3)).alias("confidence"),
+    )
+    against = a.table(spark, d, "documents").where(k % 22 == 0).select(base, id_(k).alias("id"))
+    after, _ = synthesis.merged(cards, proposals, against)
+    return after.select("base", "id", "title", "source", "observations", "status")
+
+
+@query(
+    _with(ENTRIES, MERGED)
+    + f""", w AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY start) AS nth FROM merged),
+l AS (SELECT session_id, idx, role, replace(text, chr(10), ' ¶ ') AS line, err FROM entries),
+e AS (SELECT session_id, nth, reason, idx, CASE WHEN line <> '' THEN role || ': ' || {sql_cut('line', 600)} || chr(10) ELSE '' END || CASE WHEN err IS NOT NULL THEN 'tool_error: ' || err || chr(10) ELSE '' END AS turn
+  FROM w JOIN l USING (session_id) WHERE idx BETWEEN start AND "end"),
+s AS (SELECT session_id, nth, '--- window ' || nth || ' (' || any_value(reason) || ') ---' || chr(10) || string_agg(turn, '' ORDER BY idx) AS section FROM e GROUP BY session_id, nth),
+r AS (SELECT *, sum(strlen(section)) OVER (PARTITION BY session_id ORDER BY nth) AS reach FROM s)
+SELECT session_id, coalesce(string_agg(section, '' ORDER BY nth) FILTER (reach <= 1500), '') || CASE WHEN max(reach) > 1500 THEN '--- (further windows truncated) ---' || chr(10) ELSE '' END AS text FROM r GROUP BY session_id"""
+)
+def window_texts(spark, d):
+    """The windows of each conversation as text, in 1,500 bytes at most."""
+    turns = a.entries(spark, d)
+    return transcript.rendered(transcript.merged(transcript.triggers(turns)), turns, 1500)
+
+
+@query(
+    _with(INJ)
+    + """, o AS (SELECT cwd AS repo, lower(event) AS dimension, session_id, event_id, event, row_number() OVER (PARTITION BY cwd, event ORDER BY event_id DESC) AS nth FROM inj),
+g AS (SELECT repo, dimension, count(*) AS n, count(DISTINCT session_id) AS sessions, string_agg('- [' || session_id || '] says ' || event_id || chr(10), '' ORDER BY event_id) FILTER (nth <= 12) AS lines FROM o GROUP BY ALL HAVING count(*) >= 3 AND count(DISTINCT session_id) >= 2),
+s AS (SELECT *, '### repo=' || repo || ' dimension=' || dimension || ' (' || n || ' observations, ' || sessions || ' sessions)' || chr(10) || lines || chr(10) AS section, row_number() OVER (ORDER BY n DESC, repo || dimension) AS place FROM g),
+r AS (SELECT *, sum(strlen(section)) OVER (ORDER BY place) AS reach FROM s)
+SELECT 'k' AS base, string_agg(section, '' ORDER BY place) FILTER (reach <= 4096) || CASE WHEN max(reach) > 4096 THEN '(further groups truncated)' || chr(10) ELSE '' END AS text FROM r"""
+)
+def style_input(spark, d):
+    """What a synthesis over all events as observations would read, in 4 KiB."""
+    rows = a.injections(spark, d).select(F.lit("k").alias("base"), F.col("event_id").alias("line_no"), F.col("cwd").alias("repo"), F.col("event").alias("dimension"), "session_id", F.concat(F.lit("says "), F.col("event_id").cast("string")).alias("observation"), F.lit("").alias("evidence"))
+    return synthesis.shown_groups(rows, 4096)
+
+
+@query("""WITH p AS (SELECT DISTINCT '/w/' || source || '/' || lang || CASE WHEN doc_id % 3 = 0 THEN '/d' || doc_id ELSE '' END AS cwd FROM documents),
+r AS (SELECT DISTINCT '/w/' || source AS root, 'ref: refs/heads/' || source || '-x' AS head FROM documents WHERE source <> 'src1' UNION SELECT DISTINCT '/w/' || source || '/en', sha256(source) FROM documents WHERE source > 'src2'),
+m AS (SELECT root, list_distinct([x.lang FOR x IN list_sort(list({'k': k, 'lang': lang}))]) AS langs, list_sort(list({'k': k, 'lang': lang})) AS all_ FROM (SELECT DISTINCT '/w/' || source AS root, (doc_id % 3) AS k, ['go', 'typescript', 'javascript'][1 + doc_id % 3] AS lang FROM documents) GROUP BY root),
+n AS (SELECT cwd, arg_max(root, length(root)) AS root, arg_max(head, length(root)) AS head FROM p JOIN r ON cwd = root OR starts_with(cwd, root || '/') GROUP BY cwd),
+x AS (SELECT p.cwd, n.root, coalesce(string_split(n.root, '/')[-1], '') AS repo, CASE WHEN head LIKE 'ref: %' THEN substr(head, 17) ELSE left(head, 8) END AS branch, array_to_string([y.lang FOR y IN all_], ',') AS langs FROM p LEFT JOIN n USING (cwd) LEFT JOIN m USING (root))
+SELECT cwd, repo, coalesce(branch, '') AS branch, coalesce(langs, '') AS langs,
+  CASE WHEN root IS NULL THEN 'global,dir:' || left(sha256(cwd), 8) ELSE 'global,repo:' || repo || ',branch:' || repo || '@' || branch || CASE WHEN langs IS NOT NULL THEN ',lang:' || replace(langs, ',', ',lang:') ELSE '' END END AS allowed FROM x""")
+def path_scopes(spark, d):
+    """Scopes of paths below sources as repositories, some of which hold another."""
+    docs = a.table(spark, d, "documents")
+    cwd = F.concat(F.lit("/w/"), "source", F.lit("/"), "lang", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("/d"), F.col("doc_id").cast("string"))).otherwise(""))
+    root = F.concat(F.lit("/w/"), "source")
+    roots = docs.where("source != 'src1'").select(root.alias("root"), F.concat(F.lit("ref: refs/heads/"), "source", F.lit("-x")).alias("head"))
+    roots = roots.union(docs.where("source > 'src2'").select(F.concat(root, F.lit("/en")), F.sha2("source", 256))).distinct()
+    files = docs.select(root.alias("root"), F.get(F.array(F.lit("go.mod"), F.lit("tsconfig.json"), F.lit("package.json")), (F.col("doc_id") % 3).cast("int")).alias("file")).distinct()
+    rows = scope.detected(docs.select(cwd.alias("cwd")), roots, files)
+    return rows.select("cwd", "repo", "branch", F.array_join("langs", ",").alias("langs"), F.array_join("allowed", ",").alias("allowed"))
+
+
+@query(
+    _with(INJ)
+    + """, e AS (SELECT event_id AS seq, epoch_us(ts) AS stamp, CASE event WHEN 'view' THEN 'enqueue' WHEN 'click' THEN 'enqueue' WHEN 'purchase' THEN 'done' ELSE 'fail' END AS kind, left(sha256(harness || session_id || card_id), 16) AS job FROM inj),
+b AS (SELECT *, max(seq) FILTER (kind = 'enqueue') OVER (PARTITION BY job) AS since FROM e),
+f AS (SELECT *, min(seq) FILTER (kind = 'done' AND seq > since) OVER (PARTITION BY job) AS finish FROM b WHERE since IS NOT NULL),
+s AS (SELECT job, max(stamp) FILTER (seq = since) AS enqueued_at, any_value(finish) AS finish, least(3, count(*) FILTER (kind = 'fail' AND seq > since AND (finish IS NULL OR seq < finish)))::INTEGER AS attempts FROM f GROUP BY job)
+SELECT job, CASE WHEN attempts >= 3 THEN 'parked' WHEN finish IS NOT NULL THEN 'done' ELSE 'queued' END AS state, attempts, enqueued_at FROM s"""
+)
+def queue_states(spark, d):
+    """events as those of a queue: a session and a card are a transcript."""
+    kind = F.when(F.col("event").isin("view", "click"), "enqueue").when(F.col("event") == "purchase", "done").otherwise("fail")
+    rows = a.injections(spark, d).select(F.col("event_id").alias("seq"), F.unix_micros("ts").alias("ts"), kind.alias("kind"), F.col("harness").alias("source"), "session_id", F.col("card_id").alias("transcript_path"), F.lit("stop").alias("trigger"))
+    return queue.job_states(rows).select("job", "state", "attempts", "enqueued_at")
+
+
+@query("""SELECT event_id, json_extract_string(TRY_CAST(nullif(regexp_extract(s, '(?s)\\{.*\\}'), '') AS JSON), '$.k') AS k FROM (
+  SELECT event_id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN 'Sure: ```json' || chr(10) || props || chr(10) || '```' WHEN 2 THEN props || ' and {' WHEN 3 THEN props || ' }' ELSE 'none' END AS s FROM events)""".replace("\\\\", "\\"))
+def loose_json(spark, d):
+    """Properties of events within prose and fences, broken or missing."""
+    k, p = F.col("event_id") % 5, F.col("props")
+    s = F.when(k == 0, p).when(k == 1, F.concat(F.lit("Sure: ```json\n"), p, F.lit("\n```"))).when(k == 2, F.concat(p, F.lit(" and {"))).when(k == 3, F.concat(p, F.lit(" }"))).otherwise("none")
+    return a.table(spark, d, "events").select("event_id", F.try_variant_get(t.loose_json(s), "$.k", "string").alias("k"))
+
+
+_NEWEST = "newest AS (SELECT * FROM inj ORDER BY ts DESC, session_id, event, card_id, tokens LIMIT 500)"
+
+
+@query(
+    _with(INJ, _NEWEST)
+    + """SELECT facet, value, sum(n)::BIGINT AS n FROM (SELECT 'repo' AS facet, cwd AS value, count(*) AS n FROM newest GROUP BY cwd UNION ALL SELECT 'harness', harness, count(*) FROM newest GROUP BY harness UNION ALL VALUES ('harness', 'claude', 0), ('harness', 'codex', 0)) GROUP BY ALL"""
+)
+def session_facets(spark, d):
+    return analytics.facets(analytics.newest_rows(a.injections(spark, d)))
+
+
+@query(
+    _with(INJ, _NEWEST)
+    + f"""SELECT row_number() OVER (ORDER BY max(ts) DESC, session_id)::INTEGER AS place, session_id, max(ts) AS last_ts, count(*) AS deliveries, sum(tokens)::BIGINT AS tokens, arg_max(cwd, (ts, cwd)) AS repo, 'codex' AS harness
+FROM newest WHERE harness = 'codex' AND ts >= {a.NOW} - INTERVAL 30 DAY GROUP BY session_id ORDER BY place LIMIT 15"""
+)
+def session_history(spark, d):
+    rows = analytics.session_history(a.injections(spark, d), F.expr(a.NOW), harness="codex", preset="30d")
+    return rows.withColumn("last_ts", F.col("last_ts").cast("timestamp_ntz"))
+
+
+@query(
+    _with(INJ, FEEDBACK, STATS)
+    + f""", usage AS (SELECT card_id, count(*) AS n, sum(tokens) AS tokens FROM inj GROUP BY card_id),
+j AS (SELECT card_id, 3 * coalesce(expanded, 0) + 5 * coalesce(referenced, 0) AS pos, 5 * coalesce(downvoted, 0) AS neg, greatest(coalesce(injected, 0), coalesce(n, 0)) AS seen, coalesce(tokens, 0) AS tokens FROM stats FULL JOIN usage USING (card_id)),
+v AS (SELECT card_id, CASE WHEN neg > pos AND neg > 1 THEN 'noisy' WHEN pos > 0 THEN 'helpful' WHEN seen < 3 THEN 'uncertain' WHEN tokens >= 1500 THEN 'expensive' ELSE 'uncertain' END AS bucket FROM j)
+SELECT coalesce(bucket, 'uncertain') AS bucket, count(*) AS cards FROM (SELECT DISTINCT card_id FROM inj WHERE ts >= {a.NOW} - INTERVAL 14 DAY AND harness = 'claude' AND cwd = 'repo2') LEFT JOIN v USING (card_id) GROUP BY ALL"""
+)
+def verdict_counts(spark, d):
+    """Verdicts, which know no filter, of the cards that one repository's sessions with one harness had in a fortnight."""
+    log = a.injections(spark, d)
+    judged = feedback.effectiveness(feedback.decayed_stats(a.feedback(spark, d), F.expr(a.NOW)), feedback.window_usage(log))
+    return analytics.verdict_counts(log, judged, F.expr(a.NOW), repo="repo2", harness="claude", days=14)
