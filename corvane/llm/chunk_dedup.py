@@ -3,9 +3,9 @@
 A gear hash rolls over the UTF-8 bytes of a text and depends on 16 bytes alone. A chunk ends where that hash is less than
 at the REACH places on either side, so chunks vary in length, every cut depends on the bytes around it and nothing else,
 and insertions shift no cut but those beside them (the local-extremum rule of Bjorner, Blass and Gurevich, 2010). From each
-cut on, chunks are joined until they hold LEAST bytes; these runs are deduplicated by a 64-bit digest. What shares a
-digest has LEAST bytes or more in common, and two texts with a common passage have the cuts within it in common. A chance
-collision of digests is a single run, which is shorter than a passage.
+cut on, chunks are joined until they hold LEAST bytes; these runs are deduplicated by a 128-bit digest, so that a chance
+collision is not to be expected in any corpus. What shares a digest has LEAST bytes or more in common, and two texts with a
+common passage have the cuts within it in common.
 """
 
 from __future__ import annotations
@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from corvane.llm.common import keep, table
 
 #: log2 of the bytes that the hash spans, places on either side that a cut is compared with, greatest length of a chunk.
-SPAN, REACH, MOST = 4, 18, 256
+SPAN, REACH, MOST = 4, 12, 256
 #: Bytes of a run at least, and of a repeated passage: so many words, or so many bytes where words are long.
 LEAST, WORDS, BYTES = 100, 22, 300
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 9) for b in range(256)], np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNKS = "doc_id long, text_hash int, start int, length int, word int, words int, again boolean, digest long"
+CHUNKS = "doc_id long, text_hash int, start int, length int, word int, words int, again boolean, hi long, lo long"
 
 
 def _gear(data: np.ndarray) -> np.ndarray:
@@ -82,7 +82,7 @@ def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        digest = xxhash.xxh3_64_intdigest
+        digest = xxhash.xxh3_128_digest
         for batch in batches:
             parts = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -93,10 +93,11 @@ def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 space = _SPACE[np.frombuffer(data, np.uint8)]
                 before = np.concatenate([[0], np.cumsum(~space & np.concatenate([[True], space[:-1]]))])
                 found = [digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-                seen: set[int] = set()
+                seen: set[bytes] = set()
                 again = [x in seen or seen.add(x) is not None for x in found]
                 text_hash = np.int64(xxhash.xxh32_intdigest(data)).astype(np.int32)
-                parts.append(pd.DataFrame({"doc_id": doc_id, "text_hash": text_hash, "start": start, "length": end - start, "word": before[start], "words": before[end] - before[start], "again": again, "digest": np.array(found, np.uint64).view(np.int64)}))
+                halves = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+                parts.append(pd.DataFrame({"doc_id": doc_id, "text_hash": text_hash, "start": start, "length": end - start, "word": before[start], "words": before[end] - before[start], "again": again, "hi": halves[:, 0], "lo": halves[:, 1]}))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
@@ -104,26 +105,27 @@ def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def repeated_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """Runs that stand in more than one document, with the smallest doc_id that has them, how many texts do, and which set.
+    """Runs that stand in more than one document, or again in their own, with the smallest doc_id that has them, how many texts do, and which set.
 
     set_id is the same for all runs that the same texts share. Each digest is summed up before the shuffle; the join back
-    has one row for each digest on one side, so Spark splits a very common one on the other.
+    has one row for each digest on one side, so Spark splits a very common one on the other. Texts are cut twice, for the
+    sums and for the join: that costs less than to write all runs down.
     """
-    all_ = keep(chunks(docs, least))
     once = F.when(~F.col("again"), F.xxhash64("doc_id", "text_hash"))
-    shared = all_.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(once).alias("n_texts"), F.bit_xor(once).alias("set_id"))
-    return all_.drop("again").join(shared.where("first_id < last_id").drop("last_id"), "digest")
+    sums = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(once).alias("n_texts"), F.bit_xor(once).alias("set_id"), F.max("again").alias("twice")]
+    shared = chunks(docs, least).groupBy("hi", "lo").agg(*sums).where("first_id < last_id or twice").drop("last_id", "twice")
+    return chunks(docs, least).drop("again").join(shared, ["hi", "lo"])
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, words: int = WORDS, size: int = BYTES) -> DataFrame:
-    """Passages that other documents repeat: (doc_id, text_hash, start, end, n_words, n_bytes, n_chunks, first_id, n_texts, later, parts).
+    """Passages that other documents, or the document itself, repeat: (doc_id, text_hash, start, end, n_words, n_bytes, n_chunks, first_id, n_texts, later, parts).
 
     start and end are bytes of the UTF-8 text, end exclusive; a passage is covered by repeated runs that touch, and has
     `words` words or `size` bytes at least. A common passage is found but for the bytes before its first and after its
     last cut, some 40 at either end. `parts` are its stretches that the same texts share, as (start, end, set_id, n_texts):
     two texts are linked if parts of theirs have a set_id in common, so no link is lost where a passage has many mates.
-    first_id is the smallest doc_id that repeats a part of it, n_texts the most texts that share one, and later says that
-    another document has it first. Null, empty and short texts have none; rows with a null doc_id are left out; equal rows
+    first_id is the smallest doc_id that repeats a part of it, n_texts the most texts that share one (1 where it stands twice
+    in its own document alone, with a row for each place), and later says that another document has it first. Null, empty and short texts have none; rows with a null doc_id are left out; equal rows
     are one text, and rows that share a doc_id are no repeats of each other. Columns besides doc_id and text are not read.
     """
     found = repeated_chunks(docs, least).select("doc_id", "text_hash", "start", "length", "word", "words", "first_id", "n_texts", "set_id").distinct()
@@ -182,5 +184,5 @@ def _cut(text: str, spans: list[tuple[int, int]]) -> str:
 
 
 def op2_substring_dedup(spark, sf_dir: str) -> DataFrame:
-    """Passages of all documents that other documents repeat, as `repeated_passages` defines them; odd rows too."""
+    """Passages of all documents that these or other documents repeat, as `repeated_passages` defines them; odd rows too."""
     return repeated_passages(table(spark, sf_dir, "documents"))

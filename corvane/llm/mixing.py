@@ -76,8 +76,7 @@ def plan(docs: DataFrame, seeds: int = SEEDS) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """`docs` with each row as often as `plan` says; columns and their order stay."""
-    chosen = choices(keep(sized(docs))).select("s", *(F.col(c).alias(f"_{c}") for c in ("whole", "part", "seed")))
-    copies = F.col("_whole") + (_draw(F.col("_seed")) < F.col("_part")).cast("int")
-    rows = docs.join(chosen, docs["source"].eqNullSafe(chosen["s"]))
-    return rows.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select(*(docs[c] for c in docs.columns))
+    """`docs` with each row as often as `plan` says; columns, whatever their names, and their order stay."""
+    chosen = choices(keep(sized(docs)))
+    rows = docs.select(F.struct("*").alias("row"), "doc_id", "source").join(chosen, F.col("source").eqNullSafe(F.col("s")))
+    return rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("row.*")

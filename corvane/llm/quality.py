@@ -14,15 +14,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import WORD, keep, table, text_or_empty
+from corvane.llm.common import WORD, free_name, keep, table, text_or_empty
 
 WINDOW = 8
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
 def signals(docs: DataFrame) -> DataFrame:
-    """`docs` with the counts that the rules use (null text: no words)."""
-    rows = docs.withColumn("_text", text_or_empty())
+    """`docs` with the counts that the rules use (null text: no words); they take the place of columns of their names."""
+    rows = docs.select(F.struct("*").alias("_row"), text_or_empty().alias("_text"))
     lines = F.filter(F.split("_text", "\n"), lambda x: x.rlike(WORD))
     rows = rows.withColumns({"_hashes": F.transform(F.regexp_extract_all("_text", F.lit(WORD), F.lit(0)), lambda w: F.xxhash64(w)), "_lines": lines})
     windows = F.transform(F.sequence(F.lit(0), F.size("_hashes") - WINDOW), lambda i: F.xxhash64(*(F.get("_hashes", i + k) for k in range(WINDOW))))
@@ -48,7 +48,7 @@ def signals(docs: DataFrame) -> DataFrame:
             "n_stops": count(F.length("_text") - F.length(F.translate("_text", ".!?", ""))),
         }
     )
-    return rows.drop("_text", "_hashes", "_lines", "_windows", "_sorted", "_starts")
+    return rows.select(*(F.col("_row").getField(c).alias(c) for c in docs.columns if c not in SIGNALS), *SIGNALS)
 
 
 def base_failed() -> Column:
@@ -153,16 +153,19 @@ def judge(docs: DataFrame) -> DataFrame:
     count and are judged alike; an empty table gives no rows. The text, and columns named as the new ones are, go.
     """
     rules = votes()
-    new = {*SIGNALS, "text", "base_failed", "quality", "kept", "_votes"}
+    new = {*SIGNALS, "text", "base_failed", "quality", "kept"}
     number = sum(((v + 1) * 3**j for j, v in enumerate(rules.values())), F.lit(0)).cast("int")
-    rows = keep(signals(docs).withColumn("_votes", number).select(*(c for c in docs.columns if c not in new), *SIGNALS, "_votes"))
+    rest = [c for c in docs.columns if c not in new]
+    one_row = F.struct(*(F.col(c) for c in rest), F.lit(0).alias(free_name(docs, "none")))  # what the caller has can't clash within a struct
+    rows = keep(signals(docs.select(one_row.alias("row"), "text")).select("row", *SIGNALS).withColumn("_votes", number))
     combination = lambda x: tuple(x // 3**j % 3 - 1 for j in range(len(rules)))
     counted = sorted((r["_votes"], r["count"]) for r in rows.groupBy("_votes").count().collect())
     model = fit([(combination(x), n) for x, n in counted], list(rules))
     good = {x: model.good(combination(x)) for x, _ in counted}
     by_votes = F.from_json(F.lit(json.dumps([good.get(x, 0.5) for x in range(3 ** len(rules))])), "array<double>")
     rows = rows.withColumn("base_failed", base_failed()).withColumn("quality", F.get(by_votes, F.col("_votes")))
-    return rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5)).drop("_votes")
+    rows = rows.withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= 0.5))
+    return rows.select(*(F.col("row").getField(c).alias(c) for c in rest), *SIGNALS, "base_failed", "quality", "kept")
 
 
 SIGNALS = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_distinct_words", "n_letters", "n_upper", "n_stops"]

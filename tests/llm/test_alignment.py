@@ -57,7 +57,7 @@ def aligned(df, **options):
 
 @pytest.mark.parametrize("block", [100, m.BLOCK])
 def test_equals_plain_alignment(spark, sf, plain, block):
-    docs = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect() if len(r["text"]) < 6000]
+    docs = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(80).collect() if len(r["text"]) < 1200]
     texts = docs + [None, "", " ", "a", "two  spaces", "tab\tx", "<|endoftext|> <s> <0x41>", "日本語 \U0001f600 ₿", "x\x00y", "▁ mark", "line\nend\n", "é ﬁ Ⅷ", "dup", "dup"]
     _, got = aligned(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block)
     assert [got[i] for i in range(len(texts))] == plain(texts)

@@ -51,3 +51,12 @@ def test_odd_tables(odd_docs, no_docs):
     assert rows.count() == odd_docs.count() and rows.where("copies is null or target is null").count() == 0
     assert mixing.mix(odd_docs).columns == odd_docs.columns
     assert mixing.plan(no_docs).count() == 0 and mixing.mix(no_docs).count() == 0
+
+
+def test_mix_keeps_columns_of_any_name(odd_docs):
+    names = dict(zip(("component", "score", "code", "size", "n_chars"), ("_copy", "whole", "row", "s", "seed"), strict=True))
+    rows = odd_docs.withColumnsRenamed(names)
+    out = mixing.mix(rows)
+    assert out.columns == rows.columns and {tuple(r) for r in out.collect()} <= {tuple(r) for r in rows.collect()}
+    more = odd_docs.withColumnsRenamed(dict(zip(names, ("copy", "part", "_whole", "_part", "_seed"), strict=True)))
+    assert mixing.mix(more).columns == more.columns and mixing.mix(more).count() == out.count()

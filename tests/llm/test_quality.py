@@ -63,3 +63,12 @@ def test_odd_tables(odd_docs, no_docs):
     out = quality.judge(odd_docs)
     assert out.count() == odd_docs.count() and not out.where("doc_id in (1, 2, 3)").where("kept").count()
     assert quality.judge(no_docs).count() == 0
+
+
+def test_columns_of_any_name(odd_docs):
+    plain = {r["text"]: (r["kept"], r["quality"]) for r in quality.judge(odd_docs.withColumn("own", F.col("text")).drop("text").withColumnRenamed("own", "text").withColumn("copy", F.col("text"))).withColumnRenamed("copy", "text").collect()}
+    for names in (("_hashes", "_text", "_lines", "_windows"), ("_sorted", "_starts", "_votes", "_row"), ("row", "n_words", "kept", "none")):
+        rows = odd_docs.withColumnsRenamed(dict(zip(("component", "score", "code", "size"), names, strict=True))).withColumn("copy", F.col("text"))
+        out = quality.judge(rows)
+        assert {c for c in rows.columns if c not in ("text", "n_words", "kept")} <= set(out.columns)
+        assert {r["copy"]: (r["kept"], r["quality"]) for r in out.collect()} == plain

@@ -94,6 +94,15 @@ def test_passages_of_51_words_are_found(spark):
     assert len(found) >= 0.998 * len(rows), len(found) / len(rows)
 
 
+def test_repeats_within_a_text_are_found(spark):
+    rng = random.Random(8)
+    passage = words(rng, 60)
+    text = " ".join(f"{words(rng, 30)} {passage}" for _ in range(5))
+    out = chunk_dedup.repeated_passages(spark.createDataFrame([(1, text), (2, words(rng, 300)), (3, passage)], "doc_id long, text string").where("doc_id < 3")).collect()
+    assert [r["doc_id"] for r in out] == [1] * 5 and all(not r["later"] and r["n_texts"] == 1 for r in out)
+    assert all(text.encode()[r["start"] : r["end"]].decode() in passage for r in out)
+
+
 def plain_cuts(data):
     """Cuts by their definition."""
     n, reach = len(data) - 15, chunk_dedup.REACH
@@ -123,14 +132,16 @@ def test_cuts_equal_their_definition():
 
 def test_query_equals_brute_force(spark, sf):
     texts = {r["doc_id"]: (r["text"] or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    having = {}
+    having, places = {}, {}
     for d, data in texts.items():
         for a, b in plain_runs(data):
             having.setdefault(data[a:b], set()).add(d)
+            places.setdefault((d, data[a:b]), []).append(a)
+    twice = {run for (_, run), at in places.items() if len(at) > 1}
     want = set()
     for d, data in texts.items():
         open_ = None
-        for a, b in [*((a, b) for a, b in plain_runs(data) if len(having[data[a:b]]) > 1), (10**9, 10**9)]:
+        for a, b in [*((a, b) for a, b in plain_runs(data) if len(having[data[a:b]]) > 1 or data[a:b] in twice), (10**9, 10**9)]:
             if open_ and a > open_[1]:
                 words = sum(1 for p in range(*open_[:2]) if not data[p : p + 1].isspace() and (p == 0 or data[p - 1 : p].isspace()))
                 if words >= chunk_dedup.WORDS or open_[1] - open_[0] >= chunk_dedup.BYTES:
@@ -194,4 +205,7 @@ def test_exact_copies_and_odd_tables(spark, odd_docs, no_docs):
     assert {r["doc_id"] for r in out} == {6, 7}
     assert chunk_dedup.repeated_passages(no_docs).count() == 0
     rows = spark.createDataFrame([(1, "some words that repeat within one document only. " * 20)], "doc_id long, text string")
-    assert chunk_dedup.repeated_passages(rows.unionByName(rows)).count() == 0
+    out = chunk_dedup.repeated_passages(rows.unionByName(rows)).collect()
+    assert len(out) == 1 and not out[0]["later"]  # what repeats within the text is one stretch; an equal row is no other text
+    once = spark.createDataFrame([(1, words(random.Random(1), 200))], "doc_id long, text string")
+    assert chunk_dedup.repeated_passages(once.unionByName(once)).count() == 0
