@@ -3,7 +3,7 @@
 A gear hash rolls over the UTF-8 bytes of a text and depends on 16 bytes alone. A chunk ends where that hash is less than
 at the REACH places on either side, so chunks vary in length, every cut depends on the bytes around it and nothing else,
 and insertions shift no cut but those beside them (the local-extremum rule of Bjorner, Blass and Gurevich, 2010). From each
-cut on, chunks are joined until they hold LEAST bytes; these runs are deduplicated by a 128-bit digest, so that a chance
+cut on, chunks are joined until they hold LEAST bytes; these runs are deduplicated by a 96-bit digest, so that a chance
 collision is not to be expected in any corpus. What shares a digest has LEAST bytes or more in common, and two texts with a
 common passage have the cuts within it in common.
 """
@@ -27,7 +27,7 @@ LEAST, WORDS, BYTES = 100, 22, 300
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 9) for b in range(256)], np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
-CHUNKS = "doc_id long, text_hash int, start int, length int, word int, words int, again boolean, hi long, lo long"
+CHUNKS = "doc_id long, text_hash int, start int, length int, word int, words int, again boolean, hi int, lo long"
 
 
 def _gear(data: np.ndarray) -> np.ndarray:
@@ -97,7 +97,7 @@ def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 again = [x in seen or seen.add(x) is not None for x in found]
                 text_hash = np.int64(xxhash.xxh32_intdigest(data)).astype(np.int32)
                 halves = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-                parts.append(pd.DataFrame({"doc_id": doc_id, "text_hash": text_hash, "start": start, "length": end - start, "word": before[start], "words": before[end] - before[start], "again": again, "hi": halves[:, 0], "lo": halves[:, 1]}))
+                parts.append(pd.DataFrame({"doc_id": doc_id, "text_hash": text_hash, "start": start, "length": end - start, "word": before[start], "words": before[end] - before[start], "again": again, "hi": halves[:, 0].astype(np.int32), "lo": halves[:, 1]}))
             if parts:
                 yield pd.concat(parts, ignore_index=True)
 
@@ -107,14 +107,17 @@ def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def repeated_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Runs that stand in more than one document, or again in their own, with the smallest doc_id that has them, how many texts do, and which set.
 
-    set_id is the same for all runs that the same texts share. Each digest is summed up before the shuffle; the join back
-    has one row for each digest on one side, so Spark splits a very common one on the other. Texts are cut twice, for the
-    sums and for the join: that costs less than to write all runs down.
+    set_id is the same for all runs that the same texts share. First the half `lo` of each digest is counted, summed up
+    before the shuffle; what occurs once is left out by a join, and the few that are left are summed up by whole digests
+    and joined back. Both joins have one row for each key on one side, so Spark splits a very common one on the other.
+    Texts are cut twice, for the count and for the join: that takes less disk than to write all runs down.
     """
+    often = chunks(docs, least).groupBy("lo").agg(F.count("*").alias("n")).where("n > 1").select("lo")
+    found = keep(chunks(docs, least).join(often, "lo"))
     once = F.when(~F.col("again"), F.xxhash64("doc_id", "text_hash"))
     sums = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(once).alias("n_texts"), F.bit_xor(once).alias("set_id"), F.max("again").alias("twice")]
-    shared = chunks(docs, least).groupBy("hi", "lo").agg(*sums).where("first_id < last_id or twice").drop("last_id", "twice")
-    return chunks(docs, least).drop("again").join(shared, ["hi", "lo"])
+    shared = found.groupBy("hi", "lo").agg(*sums).where("first_id < last_id or twice").drop("last_id", "twice")
+    return found.drop("again").join(shared, ["hi", "lo"])
 
 
 def repeated_passages(docs: DataFrame, least: int = LEAST, words: int = WORDS, size: int = BYTES) -> DataFrame:
