@@ -104,6 +104,22 @@ def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInPandas(run, CHUNKS)
 
 
+def _halves(docs: DataFrame, least: int) -> DataFrame:
+    """The half `lo` of each digest of `chunks`, without what else is known of a run."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        digest = xxhash.xxh3_128_digest
+        for batch in batches:
+            parts = []
+            for text in batch["text"]:
+                data = (text or "").encode()
+                start, end = runs(data, least)
+                parts += [digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+            yield pd.DataFrame({"lo": np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)[:, 1]})
+
+    return docs.where("doc_id is not null").select("text").mapInPandas(run, "lo long")
+
+
 def repeated_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """Runs that stand in more than one document, or again in their own, with the smallest doc_id that has them, how many texts do, and which set.
 
@@ -112,7 +128,7 @@ def repeated_chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
     and joined back. Both joins have one row for each key on one side, so Spark splits a very common one on the other.
     Texts are cut twice, for the count and for the join: that takes less disk than to write all runs down.
     """
-    often = chunks(docs, least).groupBy("lo").agg(F.count("*").alias("n")).where("n > 1").select("lo")
+    often = _halves(docs, least).groupBy("lo").agg(F.count("*").alias("n")).where("n > 1").select("lo")
     found = keep(chunks(docs, least).join(often, "lo"))
     once = F.when(~F.col("again"), F.xxhash64("doc_id", "text_hash"))
     sums = [F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"), F.count(once).alias("n_texts"), F.bit_xor(once).alias("set_id"), F.max("again").alias("twice")]
