@@ -5,6 +5,8 @@ segments * (r + 1) bits, they differ in at most r bits of some segment; so after
 segments * (r + 1) - 1 bits has been met; and once the first s segments have radius r and the others r - 1, every code
 within segments * r + s - 1 bits. All queries grow their radii together, round by round, and each leaves once that bound
 covers the k-th best distance that it has verified (Norouzi, Punjani and Fleet, 2012).
+
+A far query would need radii whose probes outnumber the codes. Such queries are compared with all codes instead, in blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import keep
 
 BITS, TOP = 64, 10
+#: Queries of a block that meet each code in one row.
+BLOCK = 1000
 #: Least and greatest bits of a segment; between them about one code for each value of a segment. Narrow segments need few
 #: probes but meet a share of the index that grows with it.
 NARROW, WIDE = 16, 22
@@ -83,6 +87,34 @@ def candidates(asked: DataFrame, index: DataFrame, cut: list[tuple[int, int]], l
     return pairs.select("query", F.explode("ids").alias("id"), F.bit_count("differ").alias("distance"))
 
 
+def probes(cut: list[tuple[int, int]], least: int, radius: int, probed: range) -> int:
+    """How many probes a query makes in a round."""
+    return sum(math.comb(cut[i][1], r) for i in probed for r in range(least, radius + 1))
+
+
+def compared(asked: DataFrame, codes: DataFrame, n_asked: int, k: int) -> DataFrame:
+    """(query, id, distance): the ids of each code within a query's k-th distance (`worst` of `asked`, if nearer), and no other.
+
+    Every query of `asked` meets every code, a block of queries in one row. How many ids lie at each distance is summed up
+    first, so that only the ids within the k-th distance are rows of their own.
+    """
+    blocks = -(-n_asked // BLOCK)
+    dealt = keep(asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query", "worst")).alias("asked")))
+
+    def met(dealt: DataFrame) -> DataFrame:
+        rows = codes.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).join(dealt, "block")
+        near = F.filter("asked", lambda q: F.bit_count(q["query"].bitwiseXOR(F.col("code"))) <= q["worst"])
+        rows = rows.select("code", "ids", F.explode(near).alias("q"))
+        return rows.select("ids", "q.query", F.bit_count(F.col("q.query").bitwiseXOR(F.col("code"))).alias("distance"))
+
+    so_far = F.sum("n").over(Window.partitionBy("query").orderBy("distance"))
+    reached = met(dealt).groupBy("query", "distance").agg(F.sum(F.size("ids")).alias("n")).withColumn("n", so_far).where(F.col("n") >= k)
+    kth = reached.groupBy("query").agg(F.min("distance").alias("kth"))
+    asked = asked.join(kth, "query", "left").select("query", F.least("worst", "kth").alias("worst"))
+    dealt = keep(asked.groupBy(F.pmod(F.xxhash64("query"), F.lit(blocks)).cast("int").alias("block")).agg(F.collect_list(F.struct("query", "worst")).alias("asked")))
+    return met(dealt).select("query", F.explode("ids").alias("id"), "distance")
+
+
 def top_k(queries: DataFrame, index: DataFrame, k: int = TOP) -> DataFrame:
     """The k codes of `index` nearest to each code of `queries`: (query_id, id, distance, rank), ties by id.
 
@@ -90,7 +122,8 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = TOP) -> DataFrame:
     the index has fewer. Of the ids that share a code only the k smallest can be results, so each code keeps those; they
     are found before the shuffle, and a very common code gathers nowhere. Queries with equal codes are searched once. Each
     round joins the probes of the open queries with the one index and keeps k rows for each query, so what is carried on
-    doesn't grow; every round is a written table. An empty table on either side gives no row.
+    doesn't grow; every round is a written table. Once a query would make more probes in a round than there are codes, the
+    open queries are compared with all codes (`compared`), which ends the search. An empty table on either side gives no row.
     """
     by_id = Window.partitionBy("code").orderBy("id")
     kept = index.where("id is not null and code is not null").withColumn("nth", F.row_number().over(by_id)).where(F.col("nth") <= k)
@@ -104,7 +137,13 @@ def top_k(queries: DataFrame, index: DataFrame, k: int = TOP) -> DataFrame:
     best = open_.select("query", F.lit(0).cast("long").alias("id"), F.lit(0).alias("distance")).where("false")
     order = Window.partitionBy("query").orderBy("distance", "id")
     for least, radius, probed in rounds(len(cut), max(w for _, w in cut)):
-        if not n or open_.isEmpty():
+        left = open_.count() if n else 0
+        if not left:
+            break
+        if probes(cut, least, radius, probed) > n:
+            settled = best.join(open_.select("query"), "query", "left_anti").select("query", "id", "distance")
+            met = settled.unionByName(compared(open_, codes, left, k))
+            best = keep(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))
             break
         met = best.select("query", "id", "distance").unionByName(candidates(open_.repartition(tasks, "query"), have, cut, least, radius, probed))
         best = keep(met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k))

@@ -22,16 +22,21 @@ _ZLIB = """This software is provided 'as-is', without any express or implied war
 _APACHE = """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."""
 _UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org/>"""
 _BOOST = """Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
-KNOWN = (
-    ("Unlicense", _UNLICENSE), ("BSL-1.0", _BOOST),
-    ("MIT", _MIT), ("MIT", "MIT License " + _MIT), ("MIT", "The MIT License (MIT) " + _MIT), ("ISC", _ISC), ("ISC", "ISC License " + _ISC), ("0BSD", _0BSD),
-    ("BSD-2-Clause", _BSD_GRANT + _BSD_ITEMS + _BSD_END), ("BSD-3-Clause", _BSD_GRANT + _BSD_ITEMS + _BSD_NAME + _BSD_END), ("Zlib", _ZLIB), ("Apache-2.0", _APACHE),
+_BSD_2, _BSD_3 = _BSD_GRANT + _BSD_ITEMS + _BSD_END, _BSD_GRANT + _BSD_ITEMS + _BSD_NAME + _BSD_END
+# Headings that licence texts carry.
+HEADINGS = (
+    ("MIT", _MIT, ("", "MIT License", "The MIT License", "MIT License (MIT)", "The MIT License (MIT)")), ("ISC", _ISC, ("", "ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)")),
+    ("0BSD", _0BSD, ("", "BSD Zero Clause License", "Zero-Clause BSD", "BSD Zero Clause License (0BSD)")), ("BSD-2-Clause", _BSD_2, ("", "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "Simplified BSD License")),
+    ("BSD-3-Clause", _BSD_3, ("", "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "New BSD License", "Modified BSD License")), ("Zlib", _ZLIB, ("", "zlib License", "The zlib License", "The zlib/libpng License")),
+    ("Unlicense", _UNLICENSE, ("", "Unlicense", "The Unlicense")), ("BSL-1.0", _BOOST, ("",)), ("Apache-2.0", _APACHE, ("",)),
+)
+KNOWN = tuple((name, f"{heading} {text}") for name, text, headings in HEADINGS for heading in headings) + (
     ("MIT", "Released under the MIT License."), ("MIT", "SPDX-License-Identifier: MIT"), ("Apache-2.0", "Licensed under the Apache License, Version 2.0."), ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."), ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
 )
 # Canonical digests of whole licence texts as their stewards publish them.
 DIGESTS = (
-    ("Apache-2.0", "0be25ae8b112b6c47bf696a745855eebba678079747ad8bbf877d928555027f1"),
+    ("Apache-2.0", "adf220ee02537f83220e088f4488ca0e7557d614fac1cc48967b41d13911d6e0"),
     ("Artistic-1.0-Perl", "08f1dc258c8f9e175155356aa1dd0dead8cfdec586bc1bb4c8b1452699a91702"),
     ("BSD-3-Clause", "21ce5e311a0ef74591e636cf6d0a236029bcaa0ee86324ac68d5748657aa8651"),
     ("CC0-1.0", "cccf7894e1b9f4ba9f97728bf0c5baf9e07bc2ac93da7a51556451b1fb2b868e"),
@@ -48,12 +53,27 @@ DIGESTS = (
 )
 #: Equivalent spellings in canonical form, each replaced by the second; fixed values.
 SPELLINGS = (("licence", "license"), ("sub license", "sublicense"), ("noncommercial", "non commercial"), ("non infringement", "noninfringement"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"), ("https ", "http "))
-_COPYRIGHT = r"^[^\p{L}\n]*(?:copyright\b[^\p{L}\n]*(?:\(c\)|©|[0-9]{4})|\(c\)|©|all rights reserved)[^\n]*$"
+#: Words that follow "copyright" within licence texts, so that a line which begins with them is no copyright line.
+WITHIN = (
+    "act", "also", "and", "any", "are", "as", "at", "claim", "disclaimer", "doctrine", "doctrines", "for", "from", "holder", "holders", "if", "in", "infringement", "interest", "interests", "is", "law", "laws", "licence", "licences", "license", "licenses", "like", "line", "lines", "must", "notice",
+    "notices", "of", "on", "or", "owner", "owners", "ownership", "patent", "patents", "permission", "permissions", "protection", "resulting", "rights", "shall", "statement", "statements", "status", "that", "those", "to", "treaty", "under", "which", "will", "with", "you", "your",
+)
+#: The same after "copyright the".
+WITHIN_THE = ("document", "library", "program", "software", "work")
+_START, _GAP, _END = r"^[^\p{L}\n]*", r"[^\p{L}\n]+", r"(?:[^\p{L}]|$)"
+_SIGN = rf"{_START}(?:(?:portions|parts){_GAP})?(?:copyright[^\p{{L}}\n]*(?:\(c\)|©|[0-9]{{4}})|\(c\)|©|all rights reserved)"
+_HOLDER = rf"{_START}(?:(?:portions|parts){_GAP})?copyright{_GAP}"
+_TERM = rf"(?:(?:{'|'.join(WITHIN)}){_END}|the(?:{_GAP}(?:{'|'.join(WITHIN_THE)}){_END}|[^\p{{L}}\n]*$))"
+_COPYRIGHT = rf"(?md)(?:{_SIGN}|{_HOLDER}(?!{_TERM})\p{{L}})[^\n]*$"
 
 
 def _plain(text: Column) -> Column:
-    """Lower case without copyright lines, and with one space in place of all but letters, digits and newlines."""
-    text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), rf"(?md){_COPYRIGHT}", "")
+    """Lower case without copyright lines, and with one space in place of all but letters, digits and newlines.
+
+    A copyright line begins with a sign or a year of copyright, "all rights reserved", or "copyright" and a holder: any
+    word but those that licence texts have there.
+    """
+    text = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _COPYRIGHT, "")
     return F.regexp_replace(text, r"[^\p{L}\p{Nd}\n]+", " ")
 
 
@@ -113,7 +133,8 @@ def _quoted(x: str) -> str:
 
 
 def _sql_digest(text: str) -> str:
-    text = f"regexp_replace(lower(coalesce({text}, '')), {_quoted('(?m)' + _COPYRIGHT)}, '', 'g')"
+    ours = f"regexp_matches(x, {_quoted(_SIGN)}) OR (regexp_matches(x, {_quoted(_HOLDER + r'[\p{L}]')}) AND NOT regexp_matches(x, {_quoted(_HOLDER + _TERM)}))"
+    text = f"array_to_string(list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda x: NOT ({ours})), chr(10))"
     text = f"trim(regexp_replace({text}, '[^\\p{{L}}\\p{{Nd}}]+', ' ', 'g'))"
     for other, usual in SPELLINGS:
         text = f"replace({text}, {_quoted(other)}, {_quoted(usual)})"

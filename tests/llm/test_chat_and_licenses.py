@@ -1,6 +1,9 @@
 import hashlib
+import textwrap
 from pathlib import Path
 
+import duckdb
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +87,38 @@ def test_loss_spans_hold_the_assistant_texts(spark):
     out = {r["conv_id"]: r for r in done.collect()}
     cut = [out[1]["formatted"][x["start"] : x["end"]] for x in out[1]["loss_spans"]]
     assert cut == ["a%3C|im_end|>b", "é\n", ""] and out[1]["loss"] == ["a<|im_end|>b", "é\n", ""] and out[2]["loss_spans"] == []
+
+
+HEADERS = [
+    "Copyright The Foo Authors", "Copyright Jane Doe <jane@doe.example>", "Copyright (c) 2019-2021, Jane Doe", "© Foo Inc.", "Copyright: Foo Ltd", "(c) Jane Doe",
+    "Copyright by the contributors", "Portions copyright Jane Doe", "// Copyright 2020 Foo. All rights reserved.", "All rights reserved.", "Copyright © Foo", "copyright the foo project authors",
+]
+
+
+def test_copyright_lines_of_any_form(spark):
+    """Every licence under every header and heading is known, whatever width it is wrapped to."""
+    rows = [(f"{n}/{i}/{j}", f"{h}\n\n{c}\n\n" + textwrap.fill(t, 26 + 7 * ((i + j) % 9), break_long_words=False)) for n, t, heads in licenses.HEADINGS for i, h in enumerate(heads) for j, c in enumerate(HEADERS)]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id string, text string"), licenses.known_digests(spark)).where("line = 0").collect()
+    assert len(out) == len(rows) and [r["doc_id"] for r in out if r["license"] != r["doc_id"].split("/")[0]] == []
+
+
+def test_words_after_copyright_stay(spark):
+    """Wherever a licence breaks its lines, nothing of it but its own copyright lines is taken for one."""
+    texts = [t for _, t, _ in licenses.HEADINGS] + [x.read_text(errors="replace") for x in Path("/usr/share/common-licenses").glob("*") if x.is_file()]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    broken = F.regexp_replace("text", r"(?<=[a-z,;.\"'”“])\s+(?=[\"“]?(?i:copyright)\s+(?!owner\])\p{L})", "\n")  # not within the line that names the owner
+    assert docs.where(licenses.canonical(F.col("text")) != licenses.canonical(broken)).count() == 0
+
+
+def test_licence_sql_has_the_same_rows(spark, tmp_path):
+    """The rule of copyright lines, told twice, on texts that the tables lack."""
+    lines = [*HEADERS, "copyright holders be liable", "Copyright", "Copyright the", "Copyright the \n Foo", "copyright, and", "Copyright the Software, and", "Copyright Notice Inc", "copyrighted by x", "x copyright Jane", "COPYRIGHT HOLDER OR", "© ", "Portions of it"]
+    rows = [(i, f"{x}\n{licenses._MIT}\n{y}") for i, (x, y) in enumerate((x, y) for x in lines for y in ("", "SPDX-License-Identifier: MIT"))]
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"])
+    documents.to_parquet(tmp_path / "documents.parquet")
+    with duckdb.connect() as db:
+        db.register("documents", documents)
+        want = db.sql(licenses.ORACLE).fetchall()
+    got = licenses.op1_license_scan(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"], r["line"], r["digest"], r["license"] or "") for r in got) == sorted((a, b, c, d or "") for a, b, c, d in want)

@@ -24,6 +24,23 @@ def test_top_k_is_exact(spark, spread):
     assert {(r["query_id"], r["distance"], r["id"], r["rank"]) for r in out} == brute([x for x in rows if x[0] % 50 == 0], rows, 7)
 
 
+@pytest.mark.parametrize("shared", [False, True])
+def test_far_queries_are_compared_with_all_codes(spark, shared):
+    """Queries 60 bits from everything, beside near ones; ids that share codes, more queries than a block, ties at the k-th distance."""
+    rng = random.Random(5)
+    rows = [(i, sum(1 << b for b in rng.sample(range(64), 2 if i % 2 else 3))) for i in range(600)] + [(i, 7) for i in range(600, 640 if shared else 600)]
+    asked = [(1000 + i, (2**64 - 1) ^ sum(1 << b for b in rng.sample(range(64), i % 3))) for i in range(40)] + [(2000, 7), (2001, rows[3][1])]
+    frame = lambda x: spark.createDataFrame([(i, c - 2**64 if c >= 2**63 else c) for i, c in x], "id long, code long")
+    kept, hamming_search.BLOCK = hamming_search.BLOCK, 9
+    try:
+        out = hamming_search.top_k(frame(asked), frame(rows), k=7).collect()
+    finally:
+        hamming_search.BLOCK = kept
+    assert {(r["query_id"], r["distance"], r["id"], r["rank"]) for r in out} == brute(asked, rows, 7)
+    few = hamming_search.top_k(frame(asked), frame(rows[:5]), k=7).collect()
+    assert {(r["query_id"], r["distance"], r["id"], r["rank"]) for r in few} == brute(asked, rows[:5], 7)
+
+
 def test_sign_code_and_nulls(spark):
     rows = spark.createDataFrame([(1, [0.5, -1.0, 0.0, 2.0]), (2, None), (3, [float("nan"), 1.0]), (4, [])], "id long, v array<float>")
     coded = rows.select("id", hamming_search.sign_code(F.col("v")).alias("code"))
