@@ -22,8 +22,8 @@ from corvane.llm.common import keep
 from corvane.llm.components import components
 
 SHINGLE, SEED, RADIUS, BITS = 3, 42, 3, 64
-#: Radius within which a stage of a pipeline drops near copies.
-STAGE_RADIUS = 4
+#: A stage of a pipeline drops near copies within this radius by one of so many fingerprints of their words of over SHORT characters.
+STAGE_RADIUS, PRINTS, SHORT = 4, 3, 3
 #: A bucket up to this size is compared within one task; larger ones take `_crowded_links`.
 BUCKET = 20_000
 _BLOCK = 1 << 16
@@ -45,6 +45,31 @@ def fingerprint_of(text: str | None) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view(np.uint64)[0])
 
 
+def word_fingerprints_of(text: str | None) -> list[int]:
+    """PRINTS fingerprints of the distinct words of a text, of seeds of their own: a bit is 1 if set in over half of the words' XXH64.
+
+    Words of at most SHORT characters are left out, unless they are over half of the distinct ones, as in writing with
+    spaces between syllables. An edit changes one word but up to five shingles, so near copies lie closer by their words;
+    short words, which unlike texts share too, would bring those together. Without words all are 0.
+    """
+    words = set((text or "").encode().lower().split())
+    long = [w for w in words if len(w) > SHORT and len(w.decode()) > SHORT]
+    used, out = long if 2 * len(long) >= len(words) else list(words), []
+    for seed in range(SEED, SEED + PRINTS):
+        counts = np.zeros(BITS, np.int64)
+        for at in range(0, len(used), _BLOCK):
+            hashes = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in used[at : at + _BLOCK]), np.uint64)
+            counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        out.append(int(np.packbits(2 * counts > len(used), bitorder="little").view(np.int64)[0]))
+    return out
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def word_fingerprints(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for texts in batches:
+        yield pd.Series([word_fingerprints_of(t) for t in texts], dtype=object)
+
+
 @F.pandas_udf(T.LongType())
 def fingerprint(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for texts in batches:
@@ -189,18 +214,23 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, bucket: int = BUCKET)
 
 
 def keep_one_of_each(docs: DataFrame, radius: int = STAGE_RADIUS) -> DataFrame:
-    """`docs` with one row for each component: that of the smallest doc_id, and among its rows of the least text hash.
+    """`docs` with one row for each group of near copies: that of the smallest doc_id, and among its rows of the least text hash.
 
-    Rows are told apart by doc_id and text, so rows that share a doc_id are judged each by its own text; equal ones leave
-    one. Rows with a null doc_id stay. Null and empty texts are copies of each other. An empty table stays empty, and the
-    columns of `docs`, whatever their names, stay as they are.
+    Groups are the components within the radius by the first of `word_fingerprints`; what they leave is grouped by the
+    second, and so on, so that a pair that one fingerprint parts is met by another, and groups don't grow through chains
+    of several kinds. Rows are told apart by doc_id and text, so rows that share a doc_id are judged each by its own
+    text; equal ones leave one. Rows with a null doc_id stay. Null and empty texts are copies of each other. An empty
+    table stays empty, and the columns of `docs`, whatever their names, stay as they are.
     """
     text_hash = F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash")
-    prints = keep(docs.select("doc_id", fingerprint("text").alias("fp"), text_hash).where("doc_id is not null"))
-    labelled = keep(prints.join(_named(prints, radius, BUCKET), "fp").select("doc_id", "text_hash", "component_id"))
-    # a row number within a component would gather a large one; its least row is summed up before the shuffle
-    first = labelled.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*", F.lit(True).alias("stays"))
-    judged = labelled.select("doc_id", "text_hash", F.lit(False).alias("stays")).unionByName(first)
+    prints = keep(docs.select("doc_id", word_fingerprints("text").alias("fps"), text_hash).where("doc_id is not null"))
+    # equal texts are one row before anything is joined, and a group is its least row, summed up before the shuffle
+    alive = keep(prints.groupBy("fps", "text_hash").agg(F.min("doc_id").alias("doc_id")))
+    for nth in range(PRINTS):
+        rows = alive.withColumn("fp", F.get("fps", F.lit(nth)))
+        least = rows.join(_named(rows.select("doc_id", "fp"), radius, BUCKET), "fp").groupBy("component_id").agg(F.min(F.struct("doc_id", "text_hash", "fps")).alias("least"))
+        alive = keep(least.select("least.*"))
+    judged = prints.select("doc_id", "text_hash", F.lit(False).alias("stays")).unionByName(alive.select("doc_id", "text_hash", F.lit(True).alias("stays")))
     judged = keep(judged.groupBy("doc_id", "text_hash").agg(F.max("stays").alias("stays"), F.count_if(~F.col("stays")).alias("n")))
     # what is dropped grows with the corpus, so it is never broadcast: texts are dealt by doc_id and text, evenly
     dropped = judged.where("not stays").select(F.col("doc_id").alias("id"), "text_hash").hint("shuffle_merge")
