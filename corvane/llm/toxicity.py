@@ -1,9 +1,10 @@
 """Toxicity by multiple-instance learning: sentence scores, combined by noisy-or, are trained from document labels.
 
 A document is toxic if at least one of its sentences is: P = 1 - prod(1 - p_s), with a logistic p_s over the words of a
-sentence and their first four and five letters. Only documents are labelled; training maximises their likelihood, and
-the sentence scores then locate what offends. Once trained, the score of a sentence without known words is taken out of
-p_s, and a p_s below WEAK counts as zero: neither adds up with the length of a text.
+sentence and their first four and five letters, beyond what a sentence without known words would have (the background;
+what lies under it counts as zero). Only documents are labelled; training maximises their likelihood under this very
+model, and the sentence scores then locate what offends. Clean texts joined are clean too, so in training each clean
+text also is one of JOINED of such a bag: thus small scores don't add up with the length of a text.
 """
 
 from __future__ import annotations
@@ -22,8 +23,8 @@ from pyspark.sql import functions as F
 from corvane.llm.common import keep
 
 THRESHOLD = 0.7
-#: Sentences below this probability are no evidence.
-WEAK = 0.2
+#: Weight of the bags of joined clean texts, and the share of toxic labels that need no evidence.
+JOINED, NOISE = 20, 0.05
 #: Bounds of the training sample of each class: labelled rows, and characters of all its texts, the last one whole.
 SAMPLE_ROWS, SAMPLE_CHARS = 2500, 8_000_000
 _WORDS = re.compile(r"[^\W\d_]+").findall
@@ -53,7 +54,7 @@ class _Scorer(dict):
     def __init__(self, bias: float, weights: dict[str, float]):
         super().__init__()
         self.bias, self.weights = bias, weights
-        self.background, self.weak = math.log1p(math.exp(bias)), -math.log1p(-WEAK)
+        self.background = math.log1p(math.exp(bias))
 
     def __missing__(self, word: str) -> float:
         if len(self) > _CACHE:
@@ -62,13 +63,12 @@ class _Scorer(dict):
         return w
 
     def evidence(self, sentence: str) -> float:
-        """-log(1 - p) of one sentence in lower case, beyond that of a sentence without known words; 0 if p is below WEAK."""
+        """-log(1 - p) of one sentence in lower case, beyond that of a sentence without known words; 0 if there's none beyond."""
         words = set(_WORDS(sentence))
         if not words:
             return 0.0
         z = self.bias + sum(map(self.__getitem__, words))
-        found = (math.log1p(math.exp(z)) if z < 30 else z) - self.background
-        return found if found >= self.weak else 0.0
+        return max((math.log1p(math.exp(z)) if z < 30 else z) - self.background, 0.0)
 
     def score(self, text: str | None) -> float:
         return 0.0 - math.expm1(-sum(map(self.evidence, _SENTENCE.findall((text or "").lower()))))
@@ -91,7 +91,10 @@ def _bags(text: str) -> Iterator[Counter]:
 
 
 def fit(texts: list[str], toxic: list[int], epochs: int = 200, rate: float = 0.15, decay: float = 0.03, least: int = 5) -> ToxicityModel:
-    """Trains on a bounded sample in the driver; equal texts count once. With one class only, nothing is held toxic."""
+    """Trains on a bounded sample in the driver; equal texts count once. With one class only, nothing is held toxic.
+
+    The chance of a clean label is (1 - NOISE) * prod(1 - p_s) for a single text, and prod(1 - p_s) for clean texts joined.
+    """
     rows = sorted(dict(zip(texts, toxic, strict=True)).items())
     if len({y for _, y in rows}) < 2:
         return ToxicityModel()
@@ -118,13 +121,15 @@ def fit(texts: list[str], toxic: list[int], epochs: int = 200, rate: float = 0.1
     doc, sent, feat, times = (np.array(x, np.int64) for x in (doc, sent, feat, times))
     w, b = np.zeros(len(number)), -4.0
     first, second = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
-    weigh = np.where(y == 1, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    weigh = np.where(y == 1, 0.5 / share, (0.5 + JOINED) / (1 - share)) / len(y)
     for t in range(1, epochs + 1):
         z = np.clip(b + np.bincount(sent, w[feat] * times, len(doc)), -30, 30)
-        total = np.maximum(np.bincount(doc, np.log1p(np.exp(z)), len(y)), 1e-9)
-        slope = weigh * np.where(y == 1, -1 / np.expm1(np.minimum(total, 50)), 1.0)
-        pull = slope[doc] / (1 + np.exp(-z))
-        grad = np.append(np.bincount(feat, pull[sent] * times, len(w)) + decay / len(y) * w, pull.sum())
+        evidence = np.log1p(np.exp(z)) - np.log1p(np.exp(b))
+        beyond = evidence >= 0
+        miss = (1 - NOISE) * np.exp(-np.bincount(doc, np.where(beyond, evidence, 0.0), len(y)))
+        by_doc = (weigh * np.where(y == 1, -miss / (1 - miss), 1.0))[doc] * beyond
+        pull = by_doc / (1 + np.exp(-z))
+        grad = np.append(np.bincount(feat, pull[sent] * times, len(w)) + decay / len(y) * w, pull.sum() - by_doc.sum() / (1 + np.exp(-b)))
         first, second = 0.9 * first + 0.1 * grad, 0.99 * second + 0.01 * grad**2
         step = rate * first / (1 - 0.9**t) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]

@@ -104,3 +104,32 @@ def test_odd_tables(spark, model, odd_docs, no_docs):
     assert toxicity.locate(odd_docs, model).where("size(offending) > 0").count() == 0
     labels = spark.createDataFrame([(1, None), (None, 1), (2, 0)], "doc_id long, toxic int")
     assert toxicity.train(odd_docs, labels).weights == {} and toxicity.score(no_docs, model).count() == 0
+
+
+def test_served_as_trained(model):
+    """A plain noisy-or over sentences gives the same scores as the operator."""
+    import math
+    import re
+
+    rng, scorer = random.Random(6), model.scorer()
+
+    def plain(text):
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]", text.lower()):
+            words = set(re.findall(r"[^\W\d_]+", sentence))
+            z = model.bias + sum(model.weights.get(f, 0.0) for w in words for f in [w] + [w[:k] + "*" for k in (4, 5) if len(w) > k])
+            p, least = 1 / (1 + math.exp(-z)), 1 / (1 + math.exp(-model.bias))
+            if words and p > least:
+                clean *= (1 - p) / (1 - least)
+        return 1 - clean
+
+    for i in range(100):
+        said = text(rng, i % 3 == 0).upper() + "\n? 12 _"
+        assert scorer.score(said) == pytest.approx(plain(said), abs=1e-9)
+
+
+def test_small_scores_do_not_add_up(model):
+    """Clean texts joined score no more than 0.01, though no sentence is cut off at a bound of its own."""
+    rng, scorer = random.Random(8), model.scorer()
+    found = [scorer.evidence(s) for s in text(rng, False).split(".")]
+    assert min(found) >= 0 and scorer.score(". ".join(text(rng, False) for _ in range(2000))) < 0.01
