@@ -32,16 +32,20 @@ def repeats(entries: DataFrame) -> DataFrame:
     """(session_id, idx) of user turns whose terms are mostly those of an earlier one, over three turns back.
 
     Two sets this alike share a term among the first n - ceil(0.6 n) + 1 of each in any fixed order, so only those are
-    joined: rare turns meet few others, and no session is paired with itself.
+    joined. Turns of a session with equal terms are one row there, known by the first of them, so copies make no pairs;
+    a turn is a repeat if the first of all sets like its own is far enough back.
     """
     said = entries.where("role = 'user'").select("session_id", "idx", t.terms(F.col("text")).alias("terms")).where(F.size("terms") >= REPEAT_TERMS)
     ordered = F.transform(F.array_sort(F.transform("terms", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
-    head = said.withColumn("term", F.explode(F.slice(ordered, F.lit(1), (F.size("terms") - F.ceil(REPEAT * F.size("terms") - 1e-9) + 1).cast("int"))))
-    a, b = head.select("session_id", "term", F.col("idx").alias("i")), head.select("session_id", "term", F.col("idx").alias("j"))
-    pairs = a.join(b, ["session_id", "term"]).where(F.col("j") < F.col("i") - REPEAT_GAP).select("session_id", "i", "j").distinct()
-    left, right = said.select("session_id", F.col("idx").alias("i"), F.col("terms").alias("x")), said.select("session_id", F.col("idx").alias("j"), F.col("terms").alias("y"))
+    said = said.select("session_id", "idx", ordered.alias("terms"))
+    sets = said.groupBy("session_id", "terms").agg(F.min("idx").alias("i"))
+    head = sets.select("session_id", "i", F.explode(F.slice("terms", F.lit(1), (F.size("terms") - F.ceil(REPEAT * F.size("terms") - 1e-9) + 1).cast("int"))).alias("term"))
+    pairs = head.join(head.select("session_id", "term", F.col("i").alias("j")), ["session_id", "term"]).where("j < i").select("session_id", "i", "j").distinct()
+    left, right = sets.withColumnRenamed("terms", "x"), sets.select("session_id", F.col("i").alias("j"), F.col("terms").alias("y"))
     alike = pairs.join(left, ["session_id", "i"]).join(right, ["session_id", "j"]).where(t.jaccard(F.col("x"), F.col("y")) >= REPEAT)
-    return alike.select("session_id", F.col("i").alias("idx")).distinct()
+    firsts = alike.groupBy("session_id", "i").agg(F.min("j").alias("j"))
+    first = sets.join(firsts, ["session_id", "i"], "left").select("session_id", "terms", F.coalesce("j", "i").alias("first"))
+    return said.join(first, ["session_id", "terms"]).where(F.col("first") < F.col("idx") - REPEAT_GAP).select("session_id", "idx").distinct()
 
 
 def triggers(entries: DataFrame) -> DataFrame:

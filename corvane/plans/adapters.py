@@ -54,6 +54,12 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("conv_id").alias("session_id"), F.col("turn").cast("int").alias("idx"), "role", F.coalesce("text", F.lit("")).alias("text"), errors.alias("tool_errors"))
 
 
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as sessions of one user, who says their lines."""
+    rows = table(spark, sf_dir, "documents")
+    return rows.select(F.col("doc_id").alias("session_id"), F.lit("user").alias("role"), F.posexplode(F.split("text", "\n", -1)).alias("idx", "text"))
+
+
 def injections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as the delivery log."""
     form = F.when(F.col("event_type").isin("click", "purchase"), "body").when(F.col("event_type") == "view", "summary").otherwise("hook")

@@ -541,6 +541,16 @@ def repeat_turns(spark, d):
     return transcript.repeats(a.entries(spark, d))
 
 
+@query(
+    f"""WITH lines AS (SELECT doc_id AS session_id, unnest(string_split(text, chr(10))) AS text, unnest(range(len(string_split(text, chr(10)))))::INTEGER AS idx FROM documents),
+u AS (SELECT session_id, idx, {sql_terms('text')} AS terms FROM lines)
+SELECT DISTINCT x.session_id, x.idx FROM u x JOIN u y ON x.session_id = y.session_id AND y.idx < x.idx - 3 WHERE len(x.terms) >= 5 AND len(y.terms) >= 5 AND {sql_jaccard('x.terms', 'y.terms')} >= 0.6"""
+)
+def repeat_lines(spark, d):
+    """As repeat_turns, with documents as sessions and their lines as turns."""
+    return transcript.repeats(a.lines(spark, d))
+
+
 # ---- learning ------------------------------------------------------------------------------------------------------
 
 
