@@ -122,7 +122,8 @@ def ancestors(commits: DataFrame, tips: DataFrame) -> DataFrame:
 
     commits: repo, sha, parents. First parents are followed by jumps that double (so a chain of n commits takes log n joins
     of narrow rows, whatever its length); the other parents of what is reached begin the next round, and rounds are as many
-    as merges lie within merges. Each round is a written table. Parents that are no commit of the repository end a chain.
+    as merges lie within merges. Each step of a round is a written table: a plan has one join with jumps, so at most one
+    table at a time is broadcast, by its known size. Parents that are no commit of the repository end a chain.
     """
     known = commits.select("repo", "sha", "parents").dropDuplicates(["repo", "sha"])
     ids = known.select("repo", F.col("sha").alias("to"))
@@ -139,9 +140,8 @@ def ancestors(commits: DataFrame, tips: DataFrame) -> DataFrame:
         if new.isEmpty():
             return new if reached is None else reached
         for jump in reversed(jumps):
-            both = F.explode(F.array_compact(F.array("sha", "to")))
-            new = new.join(jump, ["repo", "sha"], "left").select("repo", both.alias("sha")).distinct()
-        new = written(new)
+            far = jump.join(new.select("repo", "sha"), ["repo", "sha"]).select("repo", F.col("to").alias("sha"))
+            new = written(new.unionByName(far).distinct())
         reached = new if reached is None else written(reached.unionByName(new).distinct())
         front = new.join(sides, ["repo", "sha"]).select("repo", F.col("to").alias("sha")).distinct()
 

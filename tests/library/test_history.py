@@ -66,6 +66,15 @@ def test_ancestors_equal_a_plain_walk(spark):
     assert got == want and len(want) < len(graph)
 
 
+def test_a_step_of_the_walk_joins_once(spark, monkeypatch):
+    """A chain of 300 commits takes nine levels of jumps; no table that is written joins them all, or the driver would hold them all."""
+    joins, write = [], history.written
+    monkeypatch.setattr(history, "written", lambda df: joins.append(df._jdf.queryExecution().optimizedPlan().toString().count("Join ")) or write(df))
+    commits = spark.createDataFrame([("r", i, [i - 1]) for i in range(300)], "repo string, sha int, parents array<int>")
+    assert history.ancestors(commits, commits.where("sha = 250").select("repo", "sha")).count() == 251
+    assert len(joins) > 9 and max(joins) <= 2
+
+
 def test_cards_of_unmerged_branches_are_retired(spark):
     commits = spark.createDataFrame([("w/app", "1", []), ("w/app", "2", ["1"]), ("w/app", "3", ["1"]), ("w/app", "4", ["2", "3"]), ("w/app", "5", ["3"])], "repo string, sha string, parents array<string>")
     tips = "repo string, branch string, sha string"
