@@ -11,6 +11,8 @@ from corvane.functions.storage import written
 UNIT_GAP, UNITS, MODULES, CHURN_COMMITS = 48 * 3600, 3, 12, 500
 #: Subjects that tell a repository's convention, types that are named, and the share in per cent from which it has one.
 SUBJECTS, TYPES, CONVENTIONAL = 100, 6, 30
+#: Forms of a cluster that a block holds, on average.
+BLOCK = 1000
 #: Branches with work that a run mines in a repository.
 MINED = 4
 # Paths that are no work (lock files, vendored or generated trees, renames) or may hold secrets, by the whole
@@ -176,6 +178,35 @@ def mined_tips(moved: DataFrame, most: int = MINED) -> DataFrame:
     return rows.select("repo", "branch", "sha", "outcome", F.col("outcome").isin("mined", "idle").alias("advances"))
 
 
+def least_overlap(forms: DataFrame) -> DataFrame:
+    """(kind, name, least): the smallest overlap of the lines of two forms of a cluster.
+
+    forms: kind, name, norm, lines, and the number of `forms` of the cluster. A form whose lines have fewer other holders,
+    all counted, than there are other forms is disjoint from one, so the least is 0 and no pair is looked at. Where every
+    form may meet every other, the overlaps with the largest form give a bound, and only pairs whose lines in common to
+    all forms leave them below it are compared, in blocks: their number may be square by nature, a task's memory isn't.
+    """
+    key = ["kind", "name"]
+    lines = forms.select(*key, "norm", "forms", F.explode("lines").alias("line"))
+    held = written(lines.groupBy(*key, "line", "forms").agg(F.count("*").alias("held")).where("held > 1"))
+    met = lines.select(*key, "norm", "line").join(held, [*key, "line"]).groupBy(*key, "norm").agg(F.sum(F.col("held") - 1).alias("met"))
+    lowest = forms.select(*key, "norm", "forms").join(met, [*key, "norm"], "left").groupBy(*key, "forms").agg(F.min(F.coalesce("met", F.lit(0))).alias("lowest"))
+    apart = F.col("lowest") < F.col("forms") - 1
+    lowest = written(lowest.select(*key, apart.alias("apart")))
+    everywhere = held.where("held = forms").groupBy(*key).agg(F.count("*").alias("shared"))
+    dense = forms.join(lowest.where("not apart").select(*key), key).join(everywhere, key, "left").fillna(0, ["shared"])
+    dense = written(dense.withColumns({"n": F.size("lines"), "blocks": F.ceil(F.col("forms") / BLOCK).cast("int")}))
+    largest = dense.groupBy(*key).agg(F.max_by(F.struct("norm", "lines"), F.struct("n", "norm")).alias("top"))
+    bound = dense.join(largest, key).where(F.col("norm") != F.col("top.norm")).groupBy(*key).agg(F.min(t.jaccard(F.col("lines"), F.col("top.lines"))).alias("bound"))
+    bound = written(bound)
+    a = dense.join(bound, key).select(*key, "bound", "shared", F.col("norm").alias("m"), F.col("n").alias("p"), F.col("lines").alias("x"), F.pmod(F.xxhash64("norm"), F.col("blocks")).cast("int").alias("block"))
+    b = dense.select(*key, F.col("norm").alias("o"), F.col("n").alias("q"), F.col("lines").alias("y"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"))
+    below = F.col("shared") / (F.col("p") + F.col("q") - F.col("shared")) < F.col("bound")
+    close = a.join(b, [*key, "block"]).where((F.col("m") < F.col("o")) & below).select(*key, t.jaccard(F.col("x"), F.col("y")).alias("least"))
+    every = lowest.where("apart").select(*key, F.lit(0.0).alias("least")).unionByName(bound.select(*key, F.col("bound").alias("least"))).unionByName(close)
+    return every.groupBy(*key).agg(F.min("least").alias("least"))
+
+
 def drift(artifacts: DataFrame) -> DataFrame:
     """(kind, name, copies, class, canonical, similarity) of each cluster of copies.
 
@@ -188,9 +219,9 @@ def drift(artifacts: DataFrame) -> DataFrame:
     cluster = sized.join(union, ["kind", "name"], "left").fillna(0, ["all_lines"]).groupBy("kind", "name").agg(
         F.count("*").alias("copies"), F.countDistinct("norm").alias("forms"), F.min("repo").alias("first"), F.max("n").alias("most"), F.min_by("repo", F.struct(-F.col("n"), "repo")).alias("richest"), F.first("all_lines").alias("all_lines")
     )
-    forms = rows.select("kind", "name", "norm", "lines").dropDuplicates(["kind", "name", "norm"])
-    a, b = forms.select("kind", "name", F.col("norm").alias("m"), F.col("lines").alias("x")), forms.select("kind", "name", F.col("norm").alias("o"), F.col("lines").alias("y"))
-    pairs = a.join(b, ["kind", "name"]).where("m < o").groupBy("kind", "name").agg(F.min(t.jaccard(F.col("x"), F.col("y"))).alias("least"))
+    split = cluster.where((F.col("forms") > 1) & (F.col("most") != F.col("all_lines"))).select("kind", "name", "forms")
+    forms = written(rows.select("kind", "name", "norm", "lines").dropDuplicates(["kind", "name", "norm"]).join(split, ["kind", "name"]))
+    pairs = least_overlap(forms)
     kind = F.when(F.col("copies") == 1, "unique").when(F.col("forms") == 1, "identical").when(F.col("most") == F.col("all_lines"), "superset").otherwise("diverged")
     done = cluster.join(pairs, ["kind", "name"], "left").withColumn("class", kind)
     canonical = F.when(F.col("class").isin("unique", "identical"), F.col("first")).otherwise(F.col("richest"))
