@@ -10,6 +10,8 @@ from corvane.functions import text as t
 #: Weights of the fields, depth of the ranking, and the usual constants.
 WEIGHTS = {"title": 4, "summary": 2, "body": 1, "extra": 3}
 DEPTH, K1, B = 50, 1.2, 0.75
+#: Scores of a query's term and a card that a task sums up, on average; more of them make further tasks.
+SUMMED = 1_000_000
 #: No word is empty, so the empty term counts cards.
 _CARD = ""
 
@@ -23,17 +25,17 @@ def _words(cards: DataFrame) -> DataFrame:
     return rows.select("id", ends[-1].alias("dl"), F.concat(*(f"_{k}" for k in fields)).alias("words"), F.array(*ends).alias("until"))
 
 
-def postings(cards: DataFrame, wanted: DataFrame) -> DataFrame:
+def postings(cards: DataFrame, wanted: DataFrame, parts: int) -> DataFrame:
     """(id, dl, term, tf) of the `wanted` (term) terms: weighted frequency over the fields of a card, and its number of words.
 
-    Only those words leave the row of their card, and they are dealt by card: a term that most cards have is spread over
-    all tasks.
+    Only those words leave the row of their card, and they are dealt by card, to `parts` tasks: a term that most cards have
+    is spread over all of them, and their number isn't lowered where words take little room but give many scores.
     """
     rows = _words(cards).select("id", "dl", "until", F.posexplode("words").alias("pos", "term"))
     weight = F.lit(list(WEIGHTS.values())[-1])
     for k, w in reversed(list(enumerate(WEIGHTS.values()))[:-1]):
         weight = F.when(F.col("pos") < F.get("until", k), w).otherwise(weight)
-    found = rows.join(wanted, "term", "left_semi").select("id", "dl", "term", weight.alias("w")).repartition("id")
+    found = rows.join(wanted, "term", "left_semi").select("id", "dl", "term", weight.alias("w")).repartition(parts, "id")
     return found.groupBy("id", "dl", "term").agg(F.sum("w").alias("tf"))
 
 
@@ -70,7 +72,9 @@ def scores(cards: DataFrame, queries: DataFrame) -> DataFrame:
     known = stats.where(F.col("term") != _CARD).withColumn("k", F.lit(1)).join(F.broadcast(whole), "k")  # `whole` is one row
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = _sized(wanted.join(known.select("term", idf.alias("idf"), "avgdl"), "term"))
-    hits = postings(cards, stats.where(F.col("term") != _CARD).select("term"))
+    summed = wanted.join(stats, "term").agg(F.sum("df")).first()[0] or 0
+    parts = max(int(cards.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-summed // SUMMED))
+    hits = postings(cards, stats.where(F.col("term") != _CARD).select("term"), parts)
     norm = F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / norm
     return hits.join(asked, "term").groupBy("query_id", "id").agg(F.sum(part).alias("bm25"))
