@@ -39,8 +39,13 @@ def repeats(entries: DataFrame) -> DataFrame:
     ordered = F.transform(F.array_sort(F.transform("terms", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
     said = said.select("session_id", "idx", ordered.alias("terms"))
     sets = said.groupBy("session_id", "terms").agg(F.min("idx").alias("i"))
-    head = sets.select("session_id", "i", F.explode(F.slice("terms", F.lit(1), (F.size("terms") - F.ceil(REPEAT * F.size("terms") - 1e-9) + 1).cast("int"))).alias("term"))
-    pairs = head.join(head.select("session_id", "term", F.col("i").alias("j")), ["session_id", "term"]).where("j < i").select("session_id", "i", "j").distinct()
+    most = (F.size("terms") - F.ceil(REPEAT * F.size("terms") - 1e-9) + 1).cast("int")
+    head = sets.select("session_id", "i", F.size("terms").alias("n"), F.posexplode(F.slice("terms", F.lit(1), most)).alias("at", "term"))
+    earlier = head.select("session_id", "term", F.col("i").alias("j"), F.col("n").alias("m"), F.col("at").alias("bt"))
+    # sets this alike have `need` terms in common: of those before the shared one at most the fewer, and so behind it
+    need = F.ceil((F.col("n") + F.col("m")) * (REPEAT / (1 + REPEAT)) - 1e-9)
+    fits = F.least("at", "bt") + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) >= need
+    pairs = head.join(earlier, ["session_id", "term"]).where((F.col("j") < F.col("i")) & fits & (F.least("n", "m") >= need)).select("session_id", "i", "j").distinct()
     left, right = sets.withColumnRenamed("terms", "x"), sets.select("session_id", F.col("i").alias("j"), F.col("terms").alias("y"))
     alike = pairs.join(left, ["session_id", "i"]).join(right, ["session_id", "j"]).where(t.jaccard(F.col("x"), F.col("y")) >= REPEAT)
     firsts = alike.groupBy("session_id", "i").agg(F.min("j").alias("j"))
