@@ -136,7 +136,8 @@ def disclosing_terms(docs: DataFrame) -> DataFrame | None:
     A term meets an entity where both stand in one sentence. Equal texts count once, so copies prove nothing and hide
     nothing.
     """
-    said = docs.select(_key().alias("key"), F.explode(F.split(text_or_empty(), SENTENCE)).alias("text")).where(F.col("text").rlike("[@0-9]"))
+    # keys come before sentences and words: made after, they would put a copy of the whole text beside each of them
+    said = docs.select(_key().alias("key"), F.split(text_or_empty(), SENTENCE).alias("parts")).select("key", F.explode("parts").alias("text")).where(F.col("text").rlike("[@0-9]"))
     entities = F.array_distinct(F.concat(*(F.transform(f"_{k}", partial(_entity, k)) for k in KINDS)))
     terms = F.array_distinct(F.regexp_extract_all(F.lower(F.regexp_replace("text", PATTERNS["email"], " ")), F.lit(TERM), F.lit(0)))
     near = keep(base_spans(said).select("key", entities.alias("entities"), terms.alias("terms")).where(F.size("entities") > 0))
@@ -183,7 +184,7 @@ def all_spans(docs: DataFrame) -> DataFrame:
     none = F.array().cast(f"array<{PLACE}>")
     if terms is None:
         return found.withColumn("_term", none)
-    words = docs.select(_key().alias("_key"), F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0)))).alias("term"))
+    words = docs.select(_key().alias("_key"), F.array_distinct(F.regexp_extract_all(F.lower(text_or_empty()), F.lit(TERM), F.lit(0))).alias("words")).select("_key", F.explode("words").alias("term"))
     # its rows grow with the corpus, so it is never broadcast
     in_text = keep(words.join(terms, "term").groupBy("_key").agg(F.map_from_entries(F.collect_set(F.struct("term", "share"))).alias("_shares")))
     found = found.withColumn("_key", _key()).join(in_text.hint("shuffle_merge"), "_key", "left")
