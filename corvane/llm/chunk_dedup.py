@@ -27,6 +27,8 @@ LEAST, WORDS, BYTES = 100, 22, 300
 GEAR = np.array([xxhash.xxh32_intdigest(bytes([b]), 9) for b in range(256)], np.uint32)
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Runs that a task hands on at once, or those of one text if there are more.
+PIECE = 100_000
 CHUNKS = "doc_id long, text_hash int, start int, length int, word int, words int, again boolean, hi int, lo long"
 
 
@@ -83,8 +85,10 @@ def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_128_digest
+        names = [c.split()[0] for c in CHUNKS.split(", ")]
+        joined = lambda parts: pd.DataFrame({c: np.concatenate(x) for c, x in zip(names, zip(*parts, strict=True), strict=True)}, copy=False)
         for batch in batches:
-            parts = []
+            parts, n = [], 0
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 data = (text or "").encode()
                 start, end = runs(data, least)
@@ -97,9 +101,14 @@ def chunks(docs: DataFrame, least: int = LEAST) -> DataFrame:
                 again = [x in seen or seen.add(x) is not None for x in found]
                 text_hash = np.int64(xxhash.xxh32_intdigest(data)).astype(np.int32)
                 halves = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
-                parts.append(pd.DataFrame({"doc_id": doc_id, "text_hash": text_hash, "start": start, "length": end - start, "word": before[start], "words": before[end] - before[start], "again": again, "hi": halves[:, 0].astype(np.int32), "lo": halves[:, 1]}))
+                whole = lambda x, of=len(start): np.full(of, x)
+                parts.append((whole(np.int64(doc_id)), whole(text_hash), *(x.astype(np.int32) for x in (start, end - start, before[start], before[end] - before[start])), np.array(again), halves[:, 0].astype(np.int32), halves[:, 1].copy()))
+                n += len(start)
+                if n >= PIECE:
+                    yield joined(parts)
+                    parts, n = [], 0
             if parts:
-                yield pd.concat(parts, ignore_index=True)
+                yield joined(parts)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInPandas(run, CHUNKS)
 
@@ -109,13 +118,17 @@ def _halves(docs: DataFrame, least: int) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         digest = xxhash.xxh3_128_digest
+        joined = lambda parts: pd.DataFrame({"lo": np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)[:, 1]})
         for batch in batches:
             parts = []
             for text in batch["text"]:
                 data = (text or "").encode()
                 start, end = runs(data, least)
                 parts += [digest(data[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)]
-            yield pd.DataFrame({"lo": np.frombuffer(b"".join(parts), "<i8").reshape(-1, 2)[:, 1]})
+                if len(parts) >= PIECE:
+                    yield joined(parts)
+                    parts = []
+            yield joined(parts)
 
     return docs.where("doc_id is not null").select("text").mapInPandas(run, "lo long")
 
