@@ -60,3 +60,24 @@ def test_scores_are_dealt_by_their_number(spark, monkeypatch):
     queries = spark.createDataFrame([(1, "lantern"), (2, "violet lantern")], "query_id long, query string")
     scored = bm25.scores(cards, queries)
     assert "RepartitionByExpression [id" in (plan := scored._jdf.queryExecution().optimizedPlan().toString()) and "], 30" in plan and scored.count() == 200
+
+
+def test_best_match_over_blocks_and_shards(spark, monkeypatch):
+    """Sets and open candidates of several sizes in many tasks: as by brute force, and no row of the plan is a pair that shares a term."""
+    monkeypatch.setattr(learning, "ASKED_BLOCK", 7)
+    monkeypatch.setattr(learning, "SET_SHARD", 11)
+    rng = random.Random(17)
+    words = WORDS + [f"w{i}" for i in range(60)]
+    bases = [rng.sample(words, rng.choice([1, 2, 5, 12, 25, 40])) for _ in range(40)]
+    edited = lambda x: {w for w in x if rng.random() < 0.8} | set(rng.sample(words, rng.randint(0, 4)))
+    rows = [(f"c{i:03}", rng.choice("xy"), rng.choice(["candidate", "active"]), edited(rng.choice(bases))) for i in range(300)]
+    cards = spark.createDataFrame([(i, k, s, " ".join(sorted(w)), "") for i, k, s, w in rows], "id string, type string, status string, title string, summary string")
+    want = {}
+    for i, k, s, x in rows:
+        if s == "candidate":
+            first = min((-round(overlap(x, y), 6), j) for j, l, _, y in rows if l == k and j != i)
+            want[i] = (first[1], -first[0]) if -first[0] >= learning.JACCARD_NEAR else (None, None)
+    found = learning.best_match(cards.where("status = 'candidate'"), cards)
+    assert {r["id"]: (r["match"], r["similarity"]) for r in found.collect()} == want and len({v[1] for v in want.values()}) > 20
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroups" in plan and "posexplode" not in plan
