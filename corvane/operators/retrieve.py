@@ -17,9 +17,11 @@ RRF, COSINE_DEPTH, COSINE_FLOOR, CANDIDATES, PINS, LOST_PIN, TRIGGER = 60.0, 50,
 QUERY_BLOCK, CARD_SHARD, _STEP = 4096, 10_000, 256
 
 
-def cosine_top(cards: DataFrame, queries: DataFrame, depth: int = COSINE_DEPTH, within: str | None = None) -> DataFrame:
+def cosine_top(cards: DataFrame, queries: DataFrame, depth: int = COSINE_DEPTH, within: str | None = None, digits: int = 9) -> DataFrame:
     """(query_id, id, cosine, cosine_rank): the nearest `depth` cards of each query, among those of its `within` if given.
 
+    Cosines that are equal in `digits` digits go by id.
+
     Queries are dealt to blocks and cards to shards, as columns. Each shard meets each block in one task, in matrix
     products, and keeps its own best for each query; their merge decides. So no number of queries is too large, and the
     shuffle holds `depth` rows for a shard and query, not all pairs.
@@ -34,21 +36,28 @@ def cosine_top(cards: DataFrame, queries: DataFrame, depth: int = COSINE_DEPTH,
 
     def best(card_rows: pd.DataFrame, query_rows: pd.DataFrame) -> pd.DataFrame:
         out = [pd.DataFrame({"query_id": query_rows["query_id"].head(0), "id": np.empty(0, object), "cosine": np.empty(0)})]
+        card_rows = card_rows.sort_values("id")
         for size in set(query_rows["vec"].map(len)) & set(card_rows["vec"].map(len)):
             c, q = card_rows[card_rows["vec"].map(len) == size], query_rows[query_rows["vec"].map(len) == size]
-            card_ids, matrix = c["id"].to_numpy(), np.stack(c["vec"].to_numpy()).astype(np.float64)
+            card_ids, matrix = c["id"].to_numpy(), np.stack(c["vec"].to_numpy()).astype(np.float64).T
             for at in range(0, len(q), _STEP):
                 part = q.iloc[at : at + _STEP]
-                near = matrix @ np.stack(part["vec"].to_numpy()).astype(np.float64).T
-                for k, query_id in enumerate(part["query_id"]):
-                    top = np.lexsort((card_ids, -near[:, k]))[:depth]
-                    out.append(pd.DataFrame({"query_id": query_id, "id": card_ids[top], "cosine": near[top, k]}))
+                near = np.stack(part["vec"].to_numpy()).astype(np.float64) @ matrix
+                told = near.round(digits)
+                # only what reaches a query's depth is put in order, and equal ones by their place, which is that of the id
+                least = np.partition(told, -depth, axis=1)[:, -depth, None] if len(c) > depth else -np.inf
+                row, col = np.nonzero(told >= least)
+                order = np.lexsort((col, -told[row, col], row))
+                row, col = row[order], col[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < depth
+                row, col = row[kept], col[kept]
+                out.append(pd.DataFrame({"query_id": part["query_id"].to_numpy()[row], "id": card_ids[col], "cosine": near[row, col]}))
         return pd.concat(out[1:] or out, ignore_index=True)
 
     left = dealt(had, "id", "shard", shards, "block", blocks).groupBy("shard", "block", *same)
     right = dealt(asked, "query_id", "block", blocks, "shard", shards).groupBy("shard", "block", *same)
     found = left.cogroup(right).applyInPandas(best, f"query_id {id_type}, id string, cosine double")
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", 9)), "id")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("cosine", digits)), "id")
     return found.withColumn("cosine_rank", F.row_number().over(order)).where(F.col("cosine_rank") <= depth)
 
 

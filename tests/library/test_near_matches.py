@@ -81,3 +81,11 @@ def test_best_match_over_blocks_and_shards(spark, monkeypatch):
     assert {r["id"]: (r["match"], r["similarity"]) for r in found.collect()} == want and len({v[1] for v in want.values()}) > 20
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert "CoGroups" in plan and "posexplode" not in plan
+
+
+def test_cosines_equal_in_six_digits_go_by_id(spark):
+    """0.9999998 is no nearer than 0.9999996 to one who reads six digits."""
+    rows = [("a", [1.0, 9e-4]), ("b", [1.0, 6e-4]), ("q", [1.0, 0.0])]
+    unit = [(i, "x", "active", [x / (x * x + y * y) ** 0.5, y / (x * x + y * y) ** 0.5]) for i, (x, y) in rows]
+    cards = spark.createDataFrame(unit, "id string, type string, status string, vec array<double>")
+    assert [tuple(r) for r in learning.semantic_match(cards.where("id = 'q'"), cards).collect()] == [("q", "a", 1.0)]
