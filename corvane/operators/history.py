@@ -207,23 +207,33 @@ def least_overlap(forms: DataFrame) -> DataFrame:
     return every.groupBy(*key).agg(F.min("least").alias("least"))
 
 
+def digest(line: Column) -> Column:
+    """144 bits of a line's SHA-256 as 24 characters: strings, as only those are hashed when arrays of them meet."""
+    return F.substring(F.base64(F.unhex(F.sha2(line, 256))), 1, 24)
+
+
 def drift(artifacts: DataFrame) -> DataFrame:
     """(kind, name, copies, class, canonical, similarity) of each cluster of copies.
 
     artifacts: repo, kind, name, content. A cluster is unique, identical (blank lines and trailing blanks aside),
-    superset (one copy holds the lines of all others) or diverged, then with the smallest overlap of two copies.
+    superset (one copy holds the lines of all others) or diverged, then with the smallest overlap of two copies. Contents
+    are read once; what is shuffled from then on are digests of lines, and only those of clusters with several forms.
     """
-    rows = artifacts.select("kind", "name", "repo", F.array_distinct(t.lines_of(F.col("content"))).alias("lines"), F.sha2(F.array_join(t.lines_of(F.col("content")), "\n"), 256).alias("norm"))
-    sized = rows.select("kind", "name", "repo", F.size("lines").alias("n"), "norm")
-    union = rows.select("kind", "name", F.explode("lines").alias("line")).distinct().groupBy("kind", "name").agg(F.count("*").alias("all_lines"))
-    cluster = sized.join(union, ["kind", "name"], "left").fillna(0, ["all_lines"]).groupBy("kind", "name").agg(
-        F.count("*").alias("copies"), F.countDistinct("norm").alias("forms"), F.min("repo").alias("first"), F.max("n").alias("most"), F.min_by("repo", F.struct(-F.col("n"), "repo")).alias("richest"), F.first("all_lines").alias("all_lines")
+    key = ["kind", "name"]
+    told = lambda x: F.struct(F.size(F.array_distinct(x)).alias("n"), F.sha2(F.array_join(x, "\n"), 256).alias("norm"), F.array_distinct(F.transform(x, digest)).alias("lines"))
+    rows = written(artifacts.select(*key, "repo", F.transform(F.array(t.lines_of(F.col("content"))), told)[0].alias("c")).select(*key, "repo", "c.*"))
+    cluster = rows.groupBy(*key).agg(
+        F.count("*").alias("copies"), F.countDistinct("norm").alias("forms"), F.min("repo").alias("first"), F.max("n").alias("most"), F.min_by("repo", F.struct(-F.col("n"), "repo")).alias("richest")
     )
-    split = cluster.where((F.col("forms") > 1) & (F.col("most") != F.col("all_lines"))).select("kind", "name", "forms")
-    forms = written(rows.select("kind", "name", "norm", "lines").dropDuplicates(["kind", "name", "norm"]).join(split, ["kind", "name"]))
-    pairs = least_overlap(forms)
-    kind = F.when(F.col("copies") == 1, "unique").when(F.col("forms") == 1, "identical").when(F.col("most") == F.col("all_lines"), "superset").otherwise("diverged")
-    done = cluster.join(pairs, ["kind", "name"], "left").withColumn("class", kind)
+    cluster = written(cluster)
+    some = cluster.where("forms > 1").select(*(F.col(k).alias(f"_{k}") for k in key), "forms", "most")
+    same = F.col("kind").eqNullSafe(F.col("_kind")) & F.col("name").eqNullSafe(F.col("_name"))
+    forms = written(rows.select(*key, "norm", "lines").join(some, same).drop("_kind", "_name").dropDuplicates([*key, "norm"]))
+    union = forms.select(*key, "most", F.explode("lines").alias("line")).distinct().groupBy(*key, "most").agg(F.count("*").alias("all_lines"))
+    whole = written(union.where("all_lines = most").select(*(F.col(k).alias(f"_{k}") for k in key), F.lit(True).alias("whole")))
+    pairs = least_overlap(forms.drop("most").join(whole, same, "left_anti"))
+    kind = F.when(F.col("copies") == 1, "unique").when(F.col("forms") == 1, "identical").when(F.col("whole"), "superset").otherwise("diverged")
+    done = cluster.join(whole, same, "left").join(pairs, key, "left").withColumn("class", kind)
     canonical = F.when(F.col("class").isin("unique", "identical"), F.col("first")).otherwise(F.col("richest"))
     return done.select("kind", "name", "copies", "class", canonical.alias("canonical"), F.when(F.col("class") == "diverged", F.round("least", 6)).alias("similarity"))
 

@@ -2,9 +2,11 @@
 
 import random
 from itertools import combinations
+from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from corvane.functions.storage import shared_folder
 from corvane.operators import bm25, history, learning
 
 WORDS = ["lantern", "harbour", "violet", "granite", "meadow", "copper", "saffron", "willow", "thunder", "marble", "anchor", "ribbon"]
@@ -89,3 +91,20 @@ def test_cosines_equal_in_six_digits_go_by_id(spark):
     unit = [(i, "x", "active", [x / (x * x + y * y) ** 0.5, y / (x * x + y * y) ** 0.5]) for i, (x, y) in rows]
     cards = spark.createDataFrame(unit, "id string, type string, status string, vec array<double>")
     assert [tuple(r) for r in learning.semantic_match(cards.where("id = 'q'"), cards).collect()] == [("q", "a", 1.0)]
+
+
+def test_drift_moves_digests_not_lines(spark):
+    """What is written for later steps is small beside the lines, however long they are."""
+    rng = random.Random(19)
+    size = lambda: sum(f.stat().st_size for f in Path(shared_folder(spark).removeprefix("file:")).rglob("*") if f.is_file())
+    lines = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=2000)) for _ in range(1000)]
+    forms = [[lines[0], *lines[i * 16 : i * 16 + 16]] for i in range(60)]
+    files = spark.createDataFrame([(f"r{i:02}", "k", "n", "\n".join(x)) for i, x in enumerate(forms)], "repo string, kind string, name string, content string")
+    before = size()
+    assert [tuple(r)[2:] for r in history.drift(files).collect()] == [(60, "diverged", "r01", round(1 / 33, 6))]
+    assert size() - before < sum(map(len, lines)) / 4
+
+
+def test_drift_of_artifacts_without_a_kind(spark):
+    files = spark.createDataFrame([("a", None, "n", "x\ny"), ("b", None, "n", "x"), ("c", "k", None, "x\ny"), ("d", "k", None, "z")], "repo string, kind string, name string, content string")
+    assert {(r["kind"], r["class"], r["canonical"]) for r in history.drift(files).collect()} == {(None, "superset", "a"), ("k", "diverged", "c")}
