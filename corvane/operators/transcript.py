@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corvane.functions import text as t
+from corvane.functions.storage import written
 
 BEFORE, AFTER, MOST, REPEAT_TERMS, REPEAT_GAP, REPEAT = 2, 2, 12, 5, 3, 0.6
+#: Terms of sets that meet in a task, on average, and turns that a row of equal ones spans.
+TASK_TERMS, TURNS = 1 << 20, 1 << 16
 # Phrases of a correction (anywhere, at the start), and marks of a rejected tool.
 PHRASES = (
     "dont", "do not", "not what", "wrong", "instead", "actually", "i already", "i said", "i told you", "undo", "revert", "stop",
@@ -28,29 +36,67 @@ def is_rejection(tool_errors: Column) -> Column:
     return F.exists(tool_errors, lambda e: t.fold(e).rlike("|".join(REJECTED)))
 
 
+def _again() -> Callable[[pa.Table], pa.Table]:
+    """The turns of a table of sets whose first like one, of the same session, is far enough back.
+
+    Terms in common are counted for one set at a time, by the earlier sets of its session that hold them.
+    """
+
+    def again(sets: pa.Table) -> pa.Table:
+        sets = sets.append_column("s", sets["session_id"].combine_chunks().dictionary_encode().indices)
+        sets = sets.take(pc.sort_indices(sets, [("s", "ascending"), ("first", "ascending")]))
+        s, first = sets["s"].to_numpy().astype(np.int64), sets["first"].to_numpy().astype(np.int64)
+        words = pc.split_pattern(sets["terms"].combine_chunks(), " ")
+        n = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        word, row = words.flatten().dictionary_encode(), np.repeat(np.arange(len(n)), n)
+        _, term = np.unique(s[row] * len(word.dictionary) + word.indices.to_numpy(), return_inverse=True)
+        holders = row[np.argsort(term, kind="stable")]
+        start = np.r_[0, np.cumsum(np.bincount(term))]
+        # where a set stands among the holders of each of its terms: those before are of its session, and earlier
+        at = np.empty(len(row), np.int64)
+        at[np.argsort(term, kind="stable")] = np.arange(len(row))
+        begin, end, ends = start[term].tolist(), at.tolist(), np.r_[0, np.cumsum(n)].tolist()
+        opens = np.searchsorted(s, s).tolist()
+        earliest = first.copy()
+        for i in range(len(n)):
+            lo = opens[i]
+            found = [holders[begin[k] : end[k]] for k in range(ends[i], ends[i + 1]) if begin[k] < end[k]]
+            if found:
+                both = np.bincount(np.concatenate(found) - lo, minlength=i - lo)
+                alike = both / (n[lo:i] + n[i] - both) >= REPEAT
+                if alike.any():
+                    earliest[i] = first[lo + int(alike.argmax())]
+        turns = sets["turns"].combine_chunks()
+        size = pc.list_value_length(turns).to_numpy(zero_copy_only=False)
+        row, idx = np.repeat(np.arange(len(n)), size), turns.flatten().to_numpy()
+        far = earliest[row] < idx - REPEAT_GAP
+        return pa.table({"session_id": sets["session_id"].take(row[far]), "idx": idx[far]})
+
+    return again
+
+
 def repeats(entries: DataFrame) -> DataFrame:
     """(session_id, idx) of user turns whose terms are mostly those of an earlier one, over three turns back.
 
-    Two sets this alike share a term among the first n - ceil(0.6 n) + 1 of each in any fixed order, so only those are
-    joined. Turns of a session with equal terms are one row there, known by the first of them, so copies make no pairs;
-    a turn is a repeat if the first of all sets like its own is far enough back.
+    Equal turns of a session are one set, known by the first of them (a row for each `TURNS` places, so no row grows without
+    bound). Sessions are dealt to tasks by their number of terms, and the sets of a larger session to parts, each two of which
+    meet in a task. So sets are shuffled, pairs never; a turn is a repeat if the first of all sets like its own is far enough back.
     """
-    said = entries.where("role = 'user'").select("session_id", "idx", t.terms(F.col("text")).alias("terms")).where(F.size("terms") >= REPEAT_TERMS)
-    ordered = F.transform(F.array_sort(F.transform("terms", lambda w: F.struct(F.xxhash64(w).alias("h"), w.alias("w")))), lambda x: x["w"])
-    said = said.select("session_id", "idx", ordered.alias("terms"))
-    sets = said.groupBy("session_id", "terms").agg(F.min("idx").alias("i"))
-    most = (F.size("terms") - F.ceil(REPEAT * F.size("terms") - 1e-9) + 1).cast("int")
-    head = sets.select("session_id", "i", F.size("terms").alias("n"), F.posexplode(F.slice("terms", F.lit(1), most)).alias("at", "term"))
-    earlier = head.select("session_id", "term", F.col("i").alias("j"), F.col("n").alias("m"), F.col("at").alias("bt"))
-    # sets this alike have `need` terms in common: of those before the shared one at most the fewer, and so behind it
-    need = F.ceil((F.col("n") + F.col("m")) * (REPEAT / (1 + REPEAT)) - 1e-9)
-    fits = F.least("at", "bt") + F.least(F.col("n") - F.col("at"), F.col("m") - F.col("bt")) >= need
-    pairs = head.join(earlier, ["session_id", "term"]).where((F.col("j") < F.col("i")) & fits & (F.least("n", "m") >= need)).select("session_id", "i", "j").distinct()
-    left, right = sets.withColumnRenamed("terms", "x"), sets.select("session_id", F.col("i").alias("j"), F.col("terms").alias("y"))
-    alike = pairs.join(left, ["session_id", "i"]).join(right, ["session_id", "j"]).where(t.jaccard(F.col("x"), F.col("y")) >= REPEAT)
-    firsts = alike.groupBy("session_id", "i").agg(F.min("j").alias("j"))
-    first = sets.join(firsts, ["session_id", "i"], "left").select("session_id", "terms", F.coalesce("j", "i").alias("first"))
-    return said.join(first, ["session_id", "terms"]).where(F.col("first") < F.col("idx") - REPEAT_GAP).select("session_id", "idx").distinct()
+    said = entries.where("role = 'user' and session_id is not null").select("session_id", "idx", F.array_sort(t.terms(F.col("text"))).alias("terms")).where(F.size("terms") >= REPEAT_TERMS)
+    said = said.select("session_id", "idx", F.array_join("terms", " ").alias("terms"), F.size("terms").alias("n"))
+    sets = written(said.groupBy("session_id", "terms", "n", F.floor(F.col("idx") / TURNS)).agg(F.min("idx").alias("first"), F.collect_list("idx").alias("turns")).select("session_id", "terms", "n", "first", "turns"))
+    sizes = sets.groupBy("session_id").agg(F.sum("n").alias("size")).withColumn("parts", F.ceil(F.col("size") / TASK_TERMS).cast("int"))
+    buckets = max(1, -(-(sets.agg(F.sum("n")).first()[0] or 0) // TASK_TERMS))
+    large = written(sizes.where("parts > 1").select(F.col("session_id").alias("large"), "parts"))
+    rows = sets.join(large, F.col("session_id") == F.col("large"), "left").withColumn("part", F.pmod(F.xxhash64("terms"), F.col("parts")).cast("int"))
+    # a part meets each other one, and itself along with them
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("part"))
+    meets = F.transform(F.coalesce(others, F.array(F.lit(0))), lambda k: F.struct(F.least(k, "part").alias("a"), F.greatest(k, "part").alias("b")))
+    rows = rows.select("session_id", "terms", "first", "turns", "large", F.pmod(F.xxhash64("session_id"), F.lit(buckets)).alias("bucket"), F.explode(meets).alias("meets"))
+
+    kinds = dict(entries.dtypes)
+    found = rows.groupBy("bucket", "large", "meets").applyInArrow(_again(), f"session_id {kinds['session_id']}, idx {kinds['idx']}")
+    return found.distinct()
 
 
 def triggers(entries: DataFrame) -> DataFrame:

@@ -28,3 +28,23 @@ def test_many_equal_turns(spark):
     entries = spark.range(20_000).selectExpr("1L as session_id", "cast(id as int) as idx", "'user' as role", f"'{' '.join(WORDS)}' as text", "array('') as tool_errors")
     assert transcript.repeats(entries).count() == 20_000 - 4
     assert transcript.repeats(entries.limit(0)).count() == 0
+
+
+def test_repeats_over_tasks_and_parts(spark, monkeypatch):
+    """Small and large sessions (one without an id too) in many tasks: as by brute force, and no row of the plan is a pair of turns."""
+    monkeypatch.setattr(transcript, "TASK_TERMS", 60)
+    monkeypatch.setattr(transcript, "TURNS", 16)
+    rng = random.Random(5)
+    words = WORDS + [f"w{i}" for i in range(12)]
+    bases = [rng.sample(words, 9) for _ in range(12)]
+    edited = lambda x: {w for w in x if rng.random() < 0.85} | set(rng.sample(words, rng.randint(0, 3)))
+    turns = [(s, i, edited(rng.choice(bases))) for s, n in (("a", 90), ("b", 40), ("c", 7), ("d", 5)) for i in range(n)]
+    turns += [("e", i, set(WORDS)) for i in range(50)]
+    rows = [(s, i, "user", " ".join(sorted(x, key=lambda w: rng.random())), []) for s, i, x in turns] + [(None, i, "user", " ".join(WORDS), []) for i in range(9)]
+    entries = spark.createDataFrame(rows, "session_id string, idx int, role string, text string, tool_errors array<string>")
+    found = transcript.repeats(entries)
+    assert found.dtypes == [("session_id", "string"), ("idx", "int")]
+    got = [tuple(r) for r in found.collect()]
+    assert set(got) == brute(turns) and len(got) == len(set(got)) and 60 < len(got) < len(turns)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow" in plan and "posexplode" not in plan
