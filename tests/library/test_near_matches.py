@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.storage import shared_folder
 from corvane.operators import bm25, history, learning
+from corvane.plans import adapters
 
 WORDS = ["lantern", "harbour", "violet", "granite", "meadow", "copper", "saffron", "willow", "thunder", "marble", "anchor", "ribbon"]
 
@@ -108,3 +109,9 @@ def test_drift_moves_digests_not_lines(spark):
 def test_drift_of_artifacts_without_a_kind(spark):
     files = spark.createDataFrame([("a", None, "n", "x\ny"), ("b", None, "n", "x"), ("c", "k", None, "x\ny"), ("d", "k", None, "z")], "repo string, kind string, name string, content string")
     assert {(r["kind"], r["class"], r["canonical"]) for r in history.drift(files).collect()} == {(None, "superset", "a"), ("k", "diverged", "c")}
+
+
+def test_cards_join_without_whole_texts(spark, sf):
+    """A query for titles joins titles to labels, not texts."""
+    plan = adapters.cards(spark, sf).select("id", "title", "status")._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring" in plan[plan.index("Join") :]
